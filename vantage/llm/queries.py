@@ -22,6 +22,30 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(WORDS))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.secrets import secret_digest
+
+    return secret_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.line_dedup import line_digest
+
+    return line_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.media import media_features, to_media
+
+    return media_features(to_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.url_filter import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
