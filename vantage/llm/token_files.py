@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,23 +19,32 @@ FILES = "part int, shard int, part_start long, n_docs long, n_tokens long, paylo
 ROWS = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def token_ids(docs: DataFrame, file: str) -> DataFrame:
-    """(doc_id, ids) with the ids of each text as little-endian 16-bit numbers where the vocabulary allows, else 32-bit."""
+def token_ids(docs: DataFrame, file: str, cuts: Broadcast) -> DataFrame:
+    """(part, doc_id, ids): the ids of each text as little-endian numbers of 16 bits where the vocabulary allows, else 32.
+
+    part: how many of the cuts are below doc_id; 0 for a null one.
+    """
 
     def encode(batches):
         coder = tokenizer(file)
-        kind = "<u2" if coder.library.get_vocab_size() <= 0xFFFF else "<u4"
+        kind = id_type(coder.library.get_vocab_size())
         for batch in slices(batches, "text"):
             counts, ids = coder.encode(texts(batch))
             at = starts(counts * np.dtype(kind).itemsize)
             raw = pa.py_buffer(ids.astype(kind).tobytes())
             column = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.tobytes()), raw])
-            yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "ids": column.cast(pa.binary())})
+            doc_id = batch.column("doc_id")
+            part = np.searchsorted(cuts.value, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
+            yield pa.record_batch({"part": pa.array(part, pa.int32()), "doc_id": doc_id, "ids": column.cast(pa.binary())})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "part int, doc_id long, ids binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary")
+def id_type(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 0xFFFF else "<u4"
 
 
-def write_files(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int = 2_000_000, rounds: int = 3) -> DataFrame:
+def write_files(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int = 1_000_000, rounds: int = 3) -> DataFrame:
     """Write the token files of docs and return them as a table of shards, in the order (part, shard).
 
     Parts are ranges of doc_id with about equal numbers of documents, cut at quantiles of that column; a part's task
@@ -47,21 +56,10 @@ def write_files(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)], F.lit(10_000)) if parts > 1 else F.lit(None)).first()[0]
     cuts = np.array(sorted(set(cuts or [])), np.int64)
-    given = spark.sparkContext.broadcast(cuts)
-
-    def deal(batches):
-        for batch in batches:
-            ids = batch.column("doc_id")
-            at = np.searchsorted(given.value, np.nan_to_num(ids.fill_null(np.iinfo(np.int64).min).to_numpy()), side="left")
-            yield pa.record_batch({"part": pa.array(at, pa.int32()), "doc_id": ids, "ids": batch.column("ids")})
-
-    dealt = token_ids(docs, file).mapInArrow(deal, "part int, doc_id long, ids binary")
-    vocabulary_of = file
+    vocabulary = tokenizer(file).library.get_vocab_size()
+    kind = id_type(vocabulary)
 
     def shards(batches):
-        coder = tokenizer(vocabulary_of)
-        vocabulary = coder.library.get_vocab_size()
-        kind = "<u2" if vocabulary <= 0xFFFF else "<u4"
         at_part, ids, names, counts, held, total, number = None, [], [], [], 0, 0, 0
 
         def flush():
@@ -86,6 +84,7 @@ def write_files(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int =
         if held:
             yield flush()
 
+    dealt = token_ids(docs, file, spark.sparkContext.broadcast(cuts))
     ordered = dealt.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
     return settle(ordered.mapInArrow(shards, FILES), "token_files")
 
@@ -122,7 +121,7 @@ def read_files(files: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_and_read(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int = 2_000_000) -> DataFrame:
+def encode_and_read(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int = 1_000_000) -> DataFrame:
     """Write docs as token files and read them back.
 
     Cases: a null or empty text holds the end id alone; repeated rows follow each other; a null doc_id comes first and
