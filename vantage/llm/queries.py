@@ -16,6 +16,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(WORDS))
 
 
+def op3_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.toxicity import judge
+
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.token_files import encode_and_read
 
@@ -28,6 +34,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.html_text import extract
+
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.line_dedup import line_digest
 
