@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 WORDS = "word_bpe_49k.json"
 
 
+def op1_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.decontamination import find_leaks
+
+    return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.packing import pack
 
