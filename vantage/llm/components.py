@@ -1,0 +1,31 @@
+"""Connected components of a graph given as edges, by least labels and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vantage.runtime import discard, settle
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(id, root) of every id on an edge (a, b); root: the least id that it is joined with, itself included.
+
+    Each round takes the least label among an id and its neighbours, then the label of that label. A round is a join and
+    an aggregate, and is written out; the loop ends when no label changes. Loops and repeated edges do no harm.
+    """
+    pairs = edges.select("a", "b").filter(F.col("a") != F.col("b"))
+    both = settle(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = settle(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("root")), "labels")
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("m"))
+        lower = labels.join(near, "id").select("id", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        up = labels.select(F.col("id").alias("root"), F.col("root").alias("top"))
+        new = settle(lower.join(up, "root", "left").select("id", "old", F.least("root", F.coalesce("top", "root")).alias("root")), "labels")
+        changed = not new.filter(F.col("old") != F.col("root")).isEmpty()
+        discard(labels)
+        labels = new.drop("old")
+        labels._vantage_path = new._vantage_path
+        if not changed:
+            return labels
+    raise RuntimeError("the components did not settle")

@@ -34,6 +34,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(WORDS))
 
 
+def op5_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.ngram_join import join_texts
+
+    return join_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.secrets import secret_digest
 
