@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("metrics",)
+AREAS = ("metrics", "event_log")
 
 
 def load_all() -> None:
