@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("metrics", "event_log")
+AREAS = ("metrics", "event_log", "commerce")
 
 
 def load_all() -> None:
