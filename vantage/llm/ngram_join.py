@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.llm.arrays import U64, mix, slices, starts, texts
-from vantage.llm.components import components
 from vantage.llm.words import word_hashes
+from vantage.operators.graph import components
 from vantage.runtime import settle
 
 WORDS = 5
@@ -60,52 +60,66 @@ def _set_ids(sizes: np.ndarray, hashes: np.ndarray) -> list[bytes]:
 
 
 def signatures(sizes: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Minimum hashes, 16 bits each, one row a set; an empty set has zeros."""
-    out = np.zeros((len(sizes), TOKENS), np.uint16)
+    """Minimum hashes of 32 bits, one row a set; an empty set has zeros."""
+    out = np.zeros((len(sizes), TOKENS), np.uint32)
     full = np.flatnonzero(sizes)
     if len(full):
         at = starts(sizes)[:-1][full]
         low = (hashes >> U64(32)).astype(np.uint32)
         for j in range(TOKENS):
-            out[full, j] = np.minimum.reduceat(low * _ODD[j] + _PLUS[j], at) * np.uint32(0x9E3779B1) >> np.uint32(16)
+            out[full, j] = np.minimum.reduceat(low * _ODD[j] + _PLUS[j], at)
     return out
 
 
-def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, id, n, tokens): each text's set by its 128-bit hash, the set's size, and its minimum hashes."""
+def _children(path: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, child path) for every token chosen on a path."""
+    token = mix(tokens.astype(U64) * U64(TOKENS) + np.arange(TOKENS, dtype=U64) + U64(1))
+    h = mix(path[:, None] ^ token)
+    row, j = np.nonzero(h < U64(int(2**64 / (threshold * TOKENS))))
+    return row, mix(h[row, j] + U64(0x5851F42D4C957F2D))
+
+
+def members(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
+    """(doc_id, id, n, paths, tokens): each text's set by its 128-bit hash, the set's size, its buckets below the root of
+    every run, and its minimum hashes, cut to a byte each.
+
+    Buckets below the root are chosen on the whole minimum hashes; further down, a byte tells a bucket's sets apart.
+    """
 
     def run(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        roots = mix(np.arange(1, runs + 1).astype(U64))
+        for batch in slices(batches, "text", 2 << 20):
             sizes, hashes = shingle_sets(texts(batch))
             tokens = signatures(sizes, hashes)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "id": pa.array(_set_ids(sizes, hashes), pa.binary()), "n": pa.array(sizes, pa.int32()), "tokens": pa.array([x.tobytes() for x in tokens], pa.binary())})
+            row, path = (np.concatenate(x) for x in zip(*[_children(np.full(len(tokens), r), tokens, threshold) for r in roots], strict=True))
+            order = np.argsort(row, kind="stable")
+            at = starts(np.bincount(row, minlength=len(tokens)) * 8)
+            paths = pa.Array.from_buffers(pa.large_binary(), len(tokens), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(path[order].tobytes())])
+            small = (mix(tokens) >> U64(56)).astype(np.uint8)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "id": pa.array(_set_ids(sizes, hashes), pa.binary()), "n": pa.array(sizes, pa.int32()), "paths": paths.cast(pa.binary()), "tokens": pa.array([x.tobytes() for x in small], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, id binary, n int, tokens binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, id binary, n int, paths binary, tokens binary")
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, TOKENS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, TOKENS)
 
 
-def _children(path: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, child path) for every token chosen on a path."""
-    token = mix(tokens.astype(U64) * U64(TOKENS) + np.arange(TOKENS, dtype=U64) + U64(1))
-    h = mix(path[:, None] ^ token)
-    row, j = np.nonzero(h < U64(int(2**64 / (threshold * TOKENS))))
-    return row, mix(h[row, j] + U64(0x5851F42D4C957F2D))
+def _first(batches):
+    """A row for each bucket below the root."""
+    for batch in batches:
+        raw = batch.column("paths").to_pylist()
+        row = np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw])
+        yield pa.record_batch({"path": pa.array(np.frombuffer(b"".join(raw), np.int64)), "id": batch.column("id").take(pa.array(row))})
 
 
-def _split(threshold: float, runs: int) -> Callable:
-    """From the root in each of `runs` runs, or, for 0 runs, from the column path on."""
+def _further(threshold: float) -> Callable:
+    """A row for each bucket below the column path."""
 
     def split(batches):
         for batch in slices(batches, "tokens", 1 << 20):
-            tokens, ids = _tokens(batch.column("tokens")), batch.column("id")
-            roots = mix(np.arange(1, runs + 1).astype(U64))
-            paths = [np.full(len(tokens), x) for x in roots] if runs else [batch.column("path").to_numpy().view(U64)]
-            for path in paths:
-                row, child = _children(path, tokens, threshold)
-                yield pa.record_batch({"path": pa.array(child.view(np.int64)), "id": ids.take(pa.array(row))})
+            row, child = _children(batch.column("path").to_numpy().view(U64), _tokens(batch.column("tokens")), threshold)
+            yield pa.record_batch({"path": pa.array(child.view(np.int64)), "id": batch.column("id").take(pa.array(row))})
 
     return split
 
@@ -164,11 +178,14 @@ def _rough(batches):
             yield pa.record_batch({"a": ids.take(pa.array(far)), "b": ids.take(pa.array(root[far]))})
 
 
-def coarse_edges(sets: DataFrame, threshold: float = 0.8, recall: float = 0.998, brute: int = 128, depth: int = 10) -> DataFrame:
-    """(a, b): candidate links between different sets (id, tokens), as stars over the similar sets of each bucket."""
-    runs = math.ceil(math.log(1 - recall) / math.log(MISS))
+def runs_for(recall: float) -> int:
+    return math.ceil(math.log(1 - recall) / math.log(MISS))
+
+
+def coarse_edges(sets: DataFrame, threshold: float = 0.8, brute: int = 128, depth: int = 10) -> DataFrame:
+    """(a, b): candidate links between different sets (id, paths, tokens), as stars over the similar sets of a bucket."""
     tokens = sets.select("id", "tokens")
-    paths = tokens.mapInArrow(_split(threshold, runs), "path long, id binary")
+    paths = sets.select("id", "paths").mapInArrow(_first, "path long, id binary")
     buckets: list[DataFrame] = []
     for level in range(depth):
         many = paths.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
@@ -178,7 +195,7 @@ def coarse_edges(sets: DataFrame, threshold: float = 0.8, recall: float = 0.998,
         if large.isEmpty():
             break
         if level + 1 < depth:
-            paths = large.select("path", "id").join(tokens, "id").mapInArrow(_split(threshold, 0), "path long, id binary").distinct()
+            paths = large.select("path", "id").join(tokens, "id").mapInArrow(_further(threshold), "path long, id binary").distinct()
         else:  # pairs of blocks, so that a pair of sets still meets
             blocks = F.ceil(2 * F.col("n") / brute).cast("int")
             own = F.pmod(F.xxhash64("id"), blocks).cast("int")
@@ -255,16 +272,16 @@ def join_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998, b
     null if all are null; an empty table gives no rows; columns other than doc_id and text are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = settle(members(own), "members")
-    sets = settle(rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")), "sets")
-    coarse = components(coarse_edges(sets.filter(F.col("n") > 0), threshold, recall))
+    rows = settle(members(own, threshold, runs_for(recall)), "members")
+    sets = settle(rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")), "sets")
+    coarse = components(coarse_edges(sets.filter(F.col("n") > 0), threshold))
     nodes = coarse.join(sets.select("id", "first", "n"), "id")
     # a class's sets are dealt to blocks of about block_shingles; each set goes to the pairs of its block with every block
     sums = nodes.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
     nodes = nodes.join(sums, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def hashes(batches):
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             sizes, flat = shingle_sets(texts(batch))
             at = starts(sizes).tolist()
             found = pa.array(_set_ids(sizes, flat), pa.binary())
