@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a text or binary column holds about `most` bytes in each; a longer row stands alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -10,6 +10,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vantage.llm.arrays import U64, list_parts, slices, starts, texts
 from vantage.llm.mph import Index, build
@@ -69,8 +71,11 @@ def shard_arrays(counts: DataFrame, min_docs: int) -> DataFrame:
     return settle(dealt.groupBy("shard").applyInPandas(pack, "shard int, bytes long, payload binary"), "line_arrays").withColumn("shards", F.lit(shards))
 
 
-def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: int) -> DataFrame:
-    """Add `marked`, a byte a line: 1 where the line's key occurs in at least min_docs documents."""
+def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: int, finish: Callable, schema: T.StructType | str) -> DataFrame:
+    """Mark each line, a byte a line: 1 where the line's key occurs in at least min_docs documents.
+
+    finish: from a batch and its marks, one bytes object a row, to a batch of `schema`; it runs with the last wave.
+    """
     sizes = sorted((r.shard, r.bytes, r.shards) for r in arrays.select("shard", "bytes", "shards").collect())
     waves, held = [[]], 0
     for shard, size, _ in sizes:
@@ -81,12 +86,12 @@ def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: in
         held += size
     total = sizes[0][2] if sizes else 1
     spark = docs.sparkSession
-    docs = docs.withColumn("marked", F.lit(None).cast("binary"))
-    schema = docs.schema
+    docs = docs.withColumn("__marked", F.lit(None).cast("binary"))
+    between = docs.schema
     for k, wave in enumerate(waves):
         given = spark.sparkContext.broadcast([(r.shard, bytes(r.payload)) for r in arrays.filter(F.col("shard").isin(wave)).select("shard", "payload").collect()] if wave else [])
 
-        def probe(batches, given=given):
+        def probe(batches, given=given, last=k + 1 == len(waves)):
             held = {shard: Index(raw) for shard, raw in given.value}
             for batch in slices(batches, "text"):
                 per_doc, lines = list_parts(pc.split_pattern(texts(batch), "\n"))
@@ -97,27 +102,29 @@ def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: in
                     at = np.flatnonzero(of == shard)
                     common[at] = index.count(hashes[at]) >= min_docs
                 mark = common[codes].astype(np.uint8)  # code -1 reads the last entry, which stays false
-                before = batch.column("marked")
+                before = batch.column("__marked")
                 if before.null_count < len(before):
                     mark |= np.frombuffer(b"".join(before.to_pylist()), np.uint8)
-                column = pa.Array.from_buffers(pa.large_binary(), len(per_doc), [None, pa.py_buffer(starts(per_doc).tobytes()), pa.py_buffer(mark.tobytes())])
-                names = batch.schema.names
-                yield pa.record_batch([column.cast(pa.binary()) if x == "marked" else batch.column(x) for x in names], names=names)
+                raw, at = mark.tobytes(), starts(per_doc).tolist()
+                marks = [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+                names = [x for x in batch.schema.names if x != "__marked"]
+                plain = batch.select(names)
+                yield finish(plain, marks) if last else pa.record_batch([*plain.columns, pa.array(marks, pa.binary())], names=[*names, "__marked"])
 
         if k:
             docs = settle(docs, "line_marks")
-        docs = docs.mapInArrow(probe, schema)
+        docs = docs.mapInArrow(probe, schema if k + 1 == len(waves) else between)
     return docs
 
 
-def find_lines(docs: DataFrame, min_docs: int = 10, wave_bytes: int = 64 << 20) -> DataFrame:
-    """docs with `marked`, for kept_text() and digest()."""
-    return mark_lines(docs, shard_arrays(line_counts(docs), min_docs), min_docs, wave_bytes)
+def find_lines(docs: DataFrame, min_docs: int, wave_bytes: int, finish: Callable, schema: T.StructType | str) -> DataFrame:
+    """All three steps; finish and schema as in mark_lines()."""
+    return mark_lines(docs, shard_arrays(line_counts(docs), min_docs), min_docs, wave_bytes, finish, schema)
 
 
-def _kept(batch: pa.RecordBatch) -> tuple[list[str], list[int], list[int]]:
+def _kept(batch: pa.RecordBatch, marks: list[bytes]) -> tuple[list[str], list[int], list[int]]:
     out, total, dropped = [], [], []
-    for text, mark in zip(texts(batch).to_pylist(), batch.column("marked").to_pylist(), strict=True):
+    for text, mark in zip(texts(batch).to_pylist(), marks, strict=True):
         total.append(len(mark))
         gone = mark.count(1)
         dropped.append(gone)
@@ -130,26 +137,24 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, wave_bytes: int = 64 << 20)
 
     A key is the line without ASCII white space at both ends, A-Z lower-cased; empty keys always stay. A null text counts
     as one empty line and becomes an empty text. All lines of a key go, in every document, repeats included; the rest is
-    joined by line feeds, so a document may become empty. An empty table gives no rows. A column named marked is not
-    allowed; others are kept as they are.
+    joined by line feeds, so a document may become empty. An empty table gives no rows. Other columns are kept as they
+    are.
     """
     schema = docs.schema
 
-    def rebuild(batches):
-        for batch in slices(batches, "text"):
-            kept = pa.array(_kept(batch)[0], pa.string())
-            yield pa.record_batch([kept if x == "text" else batch.column(x) for x in schema.names], names=schema.names)
+    def rebuild(batch, marks):
+        kept = pa.array(_kept(batch, marks)[0], pa.string())
+        return pa.record_batch([kept if x == "text" else batch.column(x) for x in schema.names], names=schema.names)
 
-    return find_lines(docs, min_docs, wave_bytes).mapInArrow(rebuild, schema)
+    return find_lines(docs, min_docs, wave_bytes, rebuild, schema)
 
 
 def line_digest(docs: DataFrame, min_docs: int = 10, wave_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_sha256) of drop_lines(), the same cases holding."""
 
-    def digest(batches):
-        for batch in slices(batches, "text"):
-            kept, total, dropped = _kept(batch)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept])})
+    def digest(batch, marks):
+        kept, total, dropped = _kept(batch, marks)
+        return pa.record_batch({"doc_id": batch.column("doc_id"), "n_lines": pa.array(total, pa.int64()), "n_dropped": pa.array(dropped, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in kept])})
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return find_lines(own, min_docs, wave_bytes).mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return find_lines(own, min_docs, wave_bytes, digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

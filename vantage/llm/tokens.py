@@ -24,7 +24,7 @@ _TOGETHER = 512
 class WordTokenizer:
     """Encodes Arrow text arrays; keeps the ids of up to `limit` distinct pieces."""
 
-    def __init__(self, file: str, limit: int = 600_000):
+    def __init__(self, file: str, limit: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
