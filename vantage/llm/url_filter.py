@@ -104,10 +104,20 @@ _BLOCK, _ALLOW = frozenset(BLOCK_SEEDS), frozenset(ALLOW_SEEDS)
 
 
 def unigrams(urls: DataFrame, most: int) -> dict[str, int]:
-    """Counts of the words that non-letters separate in all hosts and paths, and seeds; the `most` commonest are kept."""
+    """Counts of the words that non-letters separate in all hosts and paths, and seeds; the `most` commonest are kept.
+
+    Names made of seeds alone count for their parts.
+    """
     word = F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"\p{L}+"), F.lit(0)))
     rows = urls.select(word.alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
     found = {r.word: r["count"] for r in rows if len(r.word) <= LONGEST_WORD}
+    seeds = Words({w: 1 for w in (*BLOCK_SEEDS, *ALLOW_SEEDS) if len(w) > 2})
+    for w in [w for w in found if w not in seeds.cost]:  # a name that seeds make up is no word, its parts are
+        parts = seeds.split(w)
+        if len(parts) > 1 and all(x in seeds.cost for x in parts):
+            n = found.pop(w)
+            for x in parts:
+                found[x] = found.get(x, 0) + n
     share = max(1, sum(found.values()) // 20_000)
     for w in (*BLOCK_SEEDS, *ALLOW_SEEDS):
         found[w] = found.get(w, 0) + share * (1 if len(w) < 3 else 10)
