@@ -47,6 +47,9 @@ def build(ids: np.ndarray, end: int, first_rule: int, rounds: int, per_round: in
         k[k == len(chosen)] = 0
         good = chosen[k] == pair[at]
         at, rank = at[good], order[k[good]].astype(np.int64)
+        follows = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (rank[1:] == rank[:-1])])  # a run of one symbol
+        place = np.arange(len(at)) - np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
+        at, rank = at[place % 2 == 0], rank[place % 2 == 0]  # every other pair of a run
         none = len(chosen)
         by = np.full(len(seq) + 1, none, np.int32)
         by[at + 1] = rank
