@@ -64,7 +64,7 @@ class Items:
                 self.codes.append(x)
         self.size = np.array([len(x) for x in self.codes], np.int64)
         # the budget, lowered for short items so that the bound stays positive
-        self.edits = np.minimum((rate * self.size).astype(np.int64), np.maximum(0, (self.size - Q) // (2 * Q)))
+        self.edits = np.minimum((rate * self.size).astype(np.int64), np.maximum(0, (self.size - 2 * Q) // Q))
         self.least = self.size + 1 - Q * (self.edits + 1)
         self.width = np.int64(1) << np.ceil(np.log2(np.maximum(self.edits, 16))).astype(np.int64) if len(self.size) else self.size
         hashes = [grams(x) for x in self.codes]
@@ -155,7 +155,7 @@ def regions(codes: np.ndarray, bounds: np.ndarray, items: Items) -> list[tuple[i
     return found
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, slice_chars: int = 8 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, slice_chars: int = 8 << 20) -> DataFrame:
     """One row for each place where a benchmark item occurs in a document: (doc_id, item_id, start, end, edits, item_chars).
 
     rate: edits allowed per character of the item. Cases: null or empty texts have no places; items of fewer than 8
@@ -201,7 +201,7 @@ def _scan(given, rate: float):
     return scan
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08) -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06) -> DataFrame:
     """docs without the documents that hold a benchmark item; a null doc_id is never dropped."""
     leaked = find_leaks(docs, benchmark, rate).select("doc_id").distinct()
     return docs.join(leaked, "doc_id", "left_anti").select(*docs.columns)
