@@ -153,13 +153,17 @@ def learn(urls: DataFrame, most: int = 50_000) -> tuple[Words, dict[str, float],
     totals = rows.groupBy("word").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a"))
     kept = {r.word: (r.b, r.a) for r in totals.orderBy(F.desc(F.col("word") == ""), F.desc(F.col("a") + F.col("b")), "word").limit(most).collect()}
     pages = kept.pop("", (0, 0))
+    # seeds count a tenth of what their class holds, and smoothing stays small, so that few pages suffice
+    tokens = [max(1.0, sum(x[k] for x in kept.values())) for k in (0, 1)]
     for seeds, k in ((BLOCK_SEEDS, 0), (ALLOW_SEEDS, 1)):
         for w in seeds:
+            more = [0.0, 0.0]
+            more[k] = 0.1 * tokens[k] / len(seeds)
             b, a = kept.get("h:" + w, (0, 0))
-            kept["h:" + w] = (b + (k == 0), a + (k == 1))
+            kept["h:" + w] = (b + more[0], a + more[1])
     nb, na = (sum(x[k] for x in kept.values()) for k in (0, 1))
     v = len(kept)
-    ratio = {w: math.log((b + 0.5) / (nb + 0.5 * v)) - math.log((a + 0.5) / (na + 0.5 * v)) for w, (b, a) in kept.items()}
+    ratio = {w: math.log((b + 0.1) / (nb + 0.1 * v)) - math.log((a + 0.1) / (na + 0.1 * v)) for w, (b, a) in kept.items()}
     return model, ratio, math.log((pages[0] + 1) / (pages[1] + 1))
 
 
