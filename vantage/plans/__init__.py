@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("metrics", "event_log", "commerce")
+AREAS = ("metrics", "event_log", "commerce", "corpus")
 
 
 def load_all() -> None:
