@@ -28,7 +28,7 @@ from vantage.runtime import settle
 
 WORDS = 5
 TOKENS = 128
-MISS = 0.62  # share of pairs at the threshold that one run may miss, after three levels
+MISS = 0.53  # share of pairs at the threshold that one run may miss, after two levels
 ROUGH = 0.68  # least share of equal tokens; 3.4 standard deviations below 0.8
 _ODD = mix(np.arange(1, TOKENS + 1).astype(U64)).astype(np.uint32) | np.uint32(1)
 _PLUS = mix(np.arange(1001, TOKENS + 1001).astype(U64)).astype(np.uint32)
@@ -167,8 +167,8 @@ def _rough(batches):
         size = np.diff(edge)
         for step in range(1, int(size.max())):  # pairs at this distance in their bucket, for all buckets at once
             a = np.concatenate([np.arange(s, e - step) for s, e in zip(edge[:-1][size > step], edge[1:][size > step], strict=True)])
-            for at in range(0, len(a), 20_000):
-                some = a[at : at + 20_000]
+            for at in range(0, len(a), 50_000):
+                some = a[at : at + 50_000]
                 good = some[(tokens[some] == tokens[some + step]).sum(1) >= ROUGH * TOKENS]
                 x.append(good)
                 y.append(good + step)
@@ -182,7 +182,7 @@ def runs_for(recall: float) -> int:
     return math.ceil(math.log(1 - recall) / math.log(MISS))
 
 
-def coarse_edges(sets: DataFrame, threshold: float = 0.8, brute: int = 128, depth: int = 10) -> DataFrame:
+def coarse_edges(sets: DataFrame, threshold: float = 0.8, brute: int = 2048, depth: int = 10) -> DataFrame:
     """(a, b): candidate links between different sets (id, paths, tokens), as stars over the similar sets of a bucket."""
     tokens = sets.select("id", "tokens")
     paths = sets.select("id", "paths").mapInArrow(_first, "path long, id binary")
