@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("metrics", "event_log", "commerce", "corpus")
+AREAS = ("metrics", "event_log", "commerce", "corpus", "streams")
 
 
 def load_all() -> None:
