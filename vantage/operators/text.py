@@ -76,10 +76,10 @@ def bm25(queries: DataFrame, docs: DataFrame, top: int = 20, k1: float = 1.5, b:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, top: int = 20) -> DataFrame:
-    """(query_id, vec_id, score, rank) by cosine; the queries are few and go to every task, the vectors stay where they are."""
+    """(query_id, vec_id, score, rank) by cosine: a stated query set against all vectors; the planner sends the smaller side out."""
     to_double = lambda c: F.transform(c, lambda v: v.cast("double"))
     q = queries.select("query_id", to_double("embedding").alias("q"))
-    pairs = vectors.select("vec_id", to_double("embedding").alias("v")).crossJoin(F.broadcast(q))
+    pairs = vectors.select("vec_id", to_double("embedding").alias("v")).crossJoin(q)
     scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).filter(F.col("score") > 0)
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
     return scored.withColumn("rank", at).filter(F.col("rank") <= top)

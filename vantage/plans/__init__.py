@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("metrics", "event_log", "commerce", "corpus", "streams")
+AREAS = ("metrics", "event_log", "commerce", "corpus", "streams", "records")
 
 
 def load_all() -> None:

@@ -251,7 +251,7 @@ def r08(spark, sf_dir):
     d, q = table(spark, sf_dir, "documents"), benchmark(spark, sf_dir)
     best = X.bm25(q, d).select("query_id", "doc_id", "rank")
     fused = X.fuse([(best, 1.0)], "doc_id")
-    t = fused.join(d.select("doc_id", F.array_distinct(X.tokens("text")).alias("t")), "doc_id").join(F.broadcast(q.select("query_id", F.array_distinct(X.tokens("text")).alias("q"))), "query_id")
+    t = fused.join(d.select("doc_id", F.array_distinct(X.tokens("text")).alias("t")), "doc_id").join(q.select("query_id", F.array_distinct(X.tokens("text")).alias("q")), "query_id")
     rerank = 0.6 * F.size(F.array_intersect("q", "t")) / F.size("q") + 0.25 * X.jaccard(F.col("q"), F.col("t"))
     fresh = F.pow(F.lit(0.5), (F.col("doc_id") % 365) / 90.0)
     scored = t.withColumn("rerank", rerank).filter(F.col("rerank") >= 0.05).withColumn("score", F.round(0.8 * F.col("rerank") + 0.2 * fresh, 6))
