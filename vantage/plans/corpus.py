@@ -59,13 +59,13 @@ def x05(spark, sf_dir):
     return d.select("doc_id", X.jaccard(F.col("q"), F.col("t")).alias("j"))
 
 
-@query("X06_lexical_score", r"""WITH q AS (SELECT list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS q, lower(substr(text, 1, 12)) AS phrase FROM benchmark WHERE item_id = 1), d AS (SELECT doc_id, lower(text) AS low, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS t FROM documents) SELECT doc_id, round(least(1.0, 0.6 * len(list_intersect(q, t)) / len(q) + 0.25 * len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t))) + CASE WHEN contains(low, phrase) THEN 0.2 ELSE 0 END), 6) AS score FROM d, q""")
+@query("X06_lexical_score", r"""WITH q AS (SELECT list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS q, lower(substr(text, 1, 12)) AS phrase FROM benchmark WHERE item_id = 1), d AS (SELECT doc_id, lower(text) AS low, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS t FROM documents) SELECT doc_id, round(least(1.0, 0.6 * len(list_intersect(q, t)) / len(q) + 0.25 * len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t))) + CASE WHEN contains(low, phrase) THEN 0.2 ELSE 0 END) + 1e-9, 6) AS score FROM d, q""")
 def x06(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").filter("item_id = 1").select(F.array_distinct(X.tokens("text")).alias("q"), F.lower(F.substring("text", 1, 12)).alias("phrase"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"), F.array_distinct(X.tokens("text")).alias("t")).crossJoin(F.broadcast(q))
     cover = F.size(F.array_intersect("q", "t")) / F.size("q")
     score = 0.6 * cover + 0.25 * X.jaccard(F.col("q"), F.col("t")) + F.when(F.contains("low", F.col("phrase")), 0.2).otherwise(0.0)
-    return d.select("doc_id", F.round(F.least(F.lit(1.0), score), 6).alias("score"))
+    return d.select("doc_id", F.round(F.least(F.lit(1.0), score) + 1e-9, 6).alias("score"))
 
 
 @query("X07_freshness", r"""SELECT doc_id, round(pow(0.5, (doc_id % 365) / 90.0), 8) AS freshness, doc_id % 365 > 180 AS stale FROM documents""")
