@@ -15,31 +15,36 @@ from vantage.llm.line_dedup import drop_lines
 from vantage.llm.ngram_join import keep_one
 from vantage.llm.packing import pack
 from vantage.llm.toxicity import drop_toxic
-from vantage.runtime import settle
+from vantage.runtime import settle, small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose score is 0.5 or more."""
+    small_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines found in at least 10 documents. A document that only held such lines stays, with an empty text."""
+    small_batches(spark)
     return drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each class of texts with similarity 0.8 or more."""
+    small_batches(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item."""
+    small_batches(spark)
     return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of at most 2048 tokens."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

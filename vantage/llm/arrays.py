@@ -24,6 +24,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:

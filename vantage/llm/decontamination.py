@@ -180,7 +180,7 @@ def _scan(given, rate: float):
     def scan(batches):
         items = Items(given.value, rate)
         gap = np.zeros(Q, np.uint32)
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             folded = [fold(x) for x in texts(batch).to_pylist()]
             bounds = starts(np.array([len(x) + Q for x in folded]))
             found = regions(np.concatenate([y for x in folded for y in (x, gap)]), bounds, items) if len(items.size) else []

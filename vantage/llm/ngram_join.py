@@ -244,7 +244,7 @@ def _exact(threshold: float) -> Callable:
         return x[linked], y[linked]
 
     def run(batches):
-        for table in _groups(batches, "block"):
+        for table in _groups(_once(batches), "block"):
             table = table.combine_chunks()
             block = table.column("block").to_numpy()
             ids, sides = table.column("id").combine_chunks(), table.column("side").to_numpy()
@@ -295,8 +295,8 @@ def join_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998, b
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(low == high, 2).when(F.col("own") == low, 0).otherwise(1).cast("int")
     dealt = dealt.select(F.xxhash64("root", low, high).alias("block"), "id", side.alias("side"), "hashes")
-    unique = dealt.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_once, "block long, id binary, side int, hashes binary")
-    links = settle(unique.mapInArrow(_exact(threshold), "a binary, links long, b binary"), "links")
+    ordered = dealt.repartition("block").sortWithinPartitions("block", "id")
+    links = settle(ordered.mapInArrow(_exact(threshold), "a binary, links long, b binary"), "links")
     classes = components(links)
     counts = links.groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("n_links"))
     node = sets.select("id", "first", "copies").join(classes, "id", "left").join(counts, "id", "left").withColumn("root", F.coalesce("root", "id"))

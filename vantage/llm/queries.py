@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from vantage.runtime import small_batches
+
 WORDS = "word_bpe_49k.json"
 
 
@@ -71,7 +73,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: _in_small_batches(f) for k, f in globals().items() if k.startswith("op") and callable(f)}
+
+
+def _in_small_batches(f: Callable) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
