@@ -97,12 +97,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, epochs: int =
     return rows.repartition(1).sortWithinPartitions("h", "text").mapInArrow(train, "feature int, weight double")
 
 
-def score(docs: DataFrame, labels: DataFrame, sample: int = 16_000) -> DataFrame:
-    """docs with `score` added: the probability that labels.toxic is 1. Other columns are kept.
+def score(docs: DataFrame, labels: DataFrame, sample: int = 16_000, cost: float = 3.0) -> DataFrame:
+    """docs with `score` added: how likely labels.toxic is 1. Other columns are kept.
+
+    A missed toxic document counts as much as `cost` clean ones that are flagged, so log(cost) is added to the log odds,
+    but at most half of what the constant takes off them: words, not the shift, carry a text to 0.5.
 
     Cases: a null or empty text is scored by the constant alone; equal texts score alike; labels of absent documents,
-    null labels and repeated ones (the larger counts) do no harm; without any label every score is 0.5; an empty table
-    gives no rows. A column named score is not allowed.
+    null labels and repeated ones (the larger counts) do no harm; without any weight (no labels, or very few) every score
+    is 0; an empty table gives no rows. A column named score is not allowed.
     """
     rows = fit(docs, labels, sample).collect()  # at most 2**BITS weights, few after L1
     index = np.array([r.feature for r in rows], np.int64)
@@ -115,11 +118,12 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 16_000) -> DataFrame
         weight[index[index >= 0]] = value[index >= 0]
         keep[index[index >= 0]] = True
         constant = value[index < 0].sum()
+        shifted = constant + min(np.log(cost), max(-constant / 2, 0)) if len(index) else -np.inf
         for batch in slices(batches, "text", 2 << 20):
             counts, words = word_hashes(texts(batch))
             row, at = features(counts, words, keep)
-            total = constant + np.bincount(row, weight[at], minlength=len(counts))
-            p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+            total = shifted + np.bincount(row, weight[at], minlength=len(counts))
+            p = np.where(np.isneginf(total), 0, 1 / (1 + np.exp(-np.clip(total, -35, 35))))
             yield pa.record_batch([*batch.columns, pa.array(p, pa.float64())], names=[*names, "score"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
