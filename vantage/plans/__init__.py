@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("metrics", "event_log", "commerce", "corpus", "streams", "records")
+AREAS = ("metrics", "event_log", "commerce", "corpus", "streams", "records", "keyed_streams")
 
 
 def load_all() -> None:

@@ -77,3 +77,15 @@ def interval_join(left: DataFrame, right: DataFrame, delay: str, most: str) -> D
     a = left.select(F.col("event_id").alias("left_id"), F.col("user_id").alias("left_user"), F.col("ts").alias("left_ts")).withWatermark("left_ts", delay)
     b = right.select(F.col("event_id").alias("right_id"), F.col("user_id").alias("right_user"), F.col("ts").alias("right_ts")).withWatermark("right_ts", delay)
     return a.join(b, F.expr(f"left_user = right_user AND right_ts >= left_ts AND right_ts <= left_ts + INTERVAL {most}")).select("left_id", "right_id")
+
+
+def run_with_progress(stream: DataFrame, name: str) -> tuple[DataFrame, dict[str, int]]:
+    """run_to_table, and what the query reported of itself: rows read, rows dropped as late, batches that read rows."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/vantage/stream-{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    reports = query.recentProgress
+    late = sum(o.numRowsDroppedByWatermark for p in reports for o in p.stateOperators)
+    progress = {"input_rows": sum(p.numInputRows for p in reports), "late_rows": late, "batches": sum(p.numInputRows > 0 for p in reports)}
+    return spark.read.schema(stream.schema).parquet(f"{base}/table"), progress
