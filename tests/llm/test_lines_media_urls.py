@@ -131,3 +131,20 @@ def test_urls_against_plain_rules(spark):
 def test_names_split_into_words():
     model = url_filter.Words({"casino": 20, "win": 20, "free": 20, "bets": 20, "in": 50, "cas": 1})
     assert model.split("casinowin") == ["casino", "win"] and model.split("freebets") == ["free", "bets"] and model.split("") == []
+
+
+def test_hot_hosts_are_split_and_rare_words_count(spark):
+    urls = [f"http://onlinecasinohub.example.com/en/{k}" for k in range(40)]
+    urls += [f"http://{w}.example.org/de/{k}" for k, w in enumerate(["garden", "alphabet"] * 40)]
+    found = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    by = {urls[r.page_id]: r for r in found}
+    assert len(found) == len(urls) and {by[u].verdict for u in urls[:40]} == {"block"} and {by[u].verdict for u in urls[40:]} == {"allow"}
+    rows = spark.createDataFrame([("onlinecasinohub.example.com", "/onlinecasinohub/1"), ("online.org", ""), ("online.net", ""), ("hub.org", ""), ("hub.net", ""), ("alphabet.org", "")], "host string, path string")
+    parts = {r.key: r.value for r in url_filter.splits(rows).collect()}
+    assert parts["onlinecasinohub"] == ["online", "casino", "hub"] and parts["alphabet"] == ["alphabet"]
+    # a repeated compound is no word either
+    more = spark.createDataFrame([("onlinecasino.org", "/"), ("onlinecasino.net", "/"), ("onlinecasino.com", "/"), ("online.org", "/"), ("online.net", "/")], "host string, path string")
+    assert {r.key: r.value for r in url_filter.splits(more).collect()}["onlinecasino"] == ["online", "casino"]
+    keys = spark.createDataFrame([(k, w) for k in range(4) for w in ("a", f"b{k}")], "row long, key string")
+    values = spark.createDataFrame([("a", 1.0), *((f"b{k}", 2.0) for k in range(4))], "key string, value double")
+    assert sorted(r.value for r in url_filter.look_up(keys, values, often=1).collect()) == [1.0] * 4 + [2.0] * 4

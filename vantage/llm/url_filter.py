@@ -1,20 +1,20 @@
 """URL filters: rules by host and path, and a naive Bayes model over segmented host and path words.
 
-Unigram counts come from the hosts and paths of the whole table, beside seed words. Viterbi splits each name into the
-likeliest words. Pages whose words hold a block seed and no allow seed count as examples to block, the others as examples
+Unigram counts come from the hosts and paths of the whole table, beside seed words: in how many places separators show a
+word. Viterbi splits each name into the likeliest words. All counts stay in tables. Pages whose words hold a block seed and no allow seed count as examples to block, the others as examples
 to allow; a multinomial model of all words of both classes then judges every page that no rule decides.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vantage.runtime import settle
+
 # fixed values: rules in the order (verdict, host/path)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # fixed values: seed words of the two classes
@@ -57,23 +57,22 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 class Words:
-    """Unigram model: the likeliest split of a name into words."""
+    """Unigram model: the likeliest split of a name into words and unknown runs of letters."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
-        self.cost = {w: math.log(n / self.total) for w, n in counts.items()}
-        self.seen: dict[str, list[str]] = {}
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.counts = counts
+        self.total = total or sum(counts.values()) or 1
 
-    def _word(self, w: str) -> float:
-        # an unknown word costs what a word seen once costs, and more for each letter
-        return self.cost.get(w, math.log(1 / self.total) - 2.5 * len(w))
+    def _word(self, w: str, whole: bool) -> float:
+        # letters of an unknown run are alike; words of 3 letters are in many names by chance, shorter ones in all
+        if w in self.counts and (whole or len(w) > 2):
+            return math.log(self.counts[w] / self.total) - (0.0 if whole or len(w) > 3 else 6.5)
+        return -4.0 - 3.2 * len(w)
 
     def split(self, name: str) -> list[str]:
-        if name in self.seen:
-            return self.seen[name]
         best, back = [0.0], [0]
         for j in range(1, len(name) + 1):
-            some = [(best[i] + self._word(name[i:j]), i) for i in range(max(0, j - LONGEST_WORD), j)]
+            some = [(best[i] + self._word(name[i:j], j - i == len(name)), i) for i in range(max(0, j - LONGEST_WORD), j)]
             score, i = max(some)
             best.append(score)
             back.append(i)
@@ -81,111 +80,127 @@ class Words:
         while j:
             out.append(name[back[j] : j])
             j = back[j]
-        if len(self.seen) > 100_000:
-            self.seen.clear()
-        self.seen[name] = out[::-1]
-        return self.seen[name]
-
-
-def words_of(host: str, path: str, model: Words) -> list[str]:
-    """Words of the host's labels, marked as such, and of the path; digits count as one word."""
-    out = ["h:" + w for name in re.findall(r"[^\W\d_]+|\d+", host) for w in (["#"] if name[0].isdigit() else model.split(name))]
-    return out + ["p:" + w for name in re.findall(r"[^\W\d_]+|\d+", path.lower()) for w in (["#"] if name[0].isdigit() else model.split(name))]
+        return out[::-1]
 
 
-def looks_bad(words: list[str]) -> bool:
-    """Whether seeds mark the words as an example to block."""
-    plain = [w[2:] for w in words]
-    block = {w for w in plain if w in _BLOCK}
-    return bool(block - WEAK or len(block) > 1) and not any(w in _ALLOW for w in plain)
+def names_of(column: str) -> Column:
+    """Runs of letters, and # for each run of digits."""
+    return F.transform(F.regexp_extract_all(column, F.lit(r"\p{L}+|\p{Nd}+"), F.lit(0)), lambda x: F.when(x.rlike(r"^\p{Nd}"), "#").otherwise(x))
 
 
 _BLOCK, _ALLOW = frozenset(BLOCK_SEEDS), frozenset(ALLOW_SEEDS)
 
 
-def unigrams(urls: DataFrame, most: int) -> dict[str, int]:
-    """Counts of the words that non-letters separate in all hosts and paths, and seeds; the `most` commonest are kept.
+def lexicon(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(word, c) of the words that names are split into, and the sum of c. rows: (host, path).
 
-    Names made of seeds alone count for their parts.
+    c: in how many places beside its own one a name stands between separators, so that no host, however many pages it
+    has, makes its name a word. A host label's place is what follows the label; a path name's is the host, unless that
+    holds the name. Seeds are words of their own.
     """
-    word = F.explode(F.regexp_extract_all(F.lower(F.concat_ws("/", "host", "path")), F.lit(r"\p{L}+"), F.lit(0)))
-    rows = urls.select(word.alias("word")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()
-    found = {r.word: r["count"] for r in rows if len(r.word) <= LONGEST_WORD}
-    seeds = Words({w: 1 for w in (*BLOCK_SEEDS, *ALLOW_SEEDS) if len(w) > 2})
-    for w in [w for w in found if w not in seeds.cost]:  # a name that seeds make up is no word, its parts are
-        parts = seeds.split(w)
-        if len(parts) > 1 and all(x in seeds.cost for x in parts):
-            n = found.pop(w)
-            for x in parts:
-                found[x] = found.get(x, 0) + n
-    share = max(1, sum(found.values()) // 20_000)
-    for w in (*BLOCK_SEEDS, *ALLOW_SEEDS):
-        found[w] = found.get(w, 0) + share * (1 if len(w) < 3 else 10)
-    return found
-
-
-def learn(urls: DataFrame, most: int = 50_000) -> tuple[Words, dict[str, float], float]:
-    """The word model, the log ratio (block to allow) of each word, and that of the classes.
-
-    most bounds the words kept of either model; words beyond it count as unknown. All pages are counted.
+    labels = rows.select("host").distinct().select("host", F.posexplode(F.split("host", r"\.")).alias("at", "label"))
+    after = F.expr("substring_index(host, '.', at + 1 - size(split(host, '[.]')))")
+    hosts = labels.select(F.explode(names_of("label")).alias("word"), F.xxhash64(after, F.lit("h")).alias("place"))
+    paths = rows.select("host", F.explode(F.array_distinct(names_of("path"))).alias("word")).filter(~F.contains("host", "word"))
+    places = hosts.unionByName(paths.select("word", F.xxhash64("host", F.lit("p")).alias("place"))).filter((F.col("word") != "#") & (F.length("word") <= LONGEST_WORD)).distinct()
+    found = settle(places.groupBy("word").agg((F.count("*") - 1).alias("c")).filter("c > 0"), "words")
+    total = found.agg(F.sum("c")).head()[0] or 0
+    share = max(1, total // 20_000)
+    seeds = [(w, share * (1 if len(w) < 3 else 10)) for w in (*BLOCK_SEEDS, *ALLOW_SEEDS)]
+    more = rows.sparkSession.createDataFrame(seeds, "word string, c long")
+    return settle(found.unionByName(more).groupBy("word").agg(F.sum("c").alias("c")), "words"), total + sum(c for _, c in seeds)
+
+
+def splits(rows: DataFrame) -> DataFrame:
+    """(key, value): every name of the hosts and paths with its words.
+
+    Names meet their substrings' counts in a join, so no part of the lexicon is left out. A word that other words make up,
+    all of them of four letters or more common than it, is a compound and doesn't count as a word; seeds always do.
     """
-    spark = urls.sparkSession
-    model = Words(unigrams(urls, most))
-    given = spark.sparkContext.broadcast(model)
+    known, total = lexicon(rows)
+    names = settle(rows.select(F.explode(F.concat(names_of("host"), names_of("path"))).alias("name")).distinct(), "names")
+    width = F.sequence(F.lit(1), F.least(F.length("name"), F.lit(LONGEST_WORD)))
+    parts = F.flatten(F.transform(width, lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, n))))
+    held = settle(names.select("name", F.explode(F.array_distinct(parts)).alias("word")).filter((F.length("word") > 2) | (F.col("word") == F.col("name"))).join(known, "word"), "held")
 
-    def count(batches):
-        seen: Counter = Counter()
+    def compounds(batches):
         for batch in batches:
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                words = words_of(host, path, given.value)
-                bad = looks_bad(words)
-                seen.update((w, bad) for w in words)
-                seen[("", bad)] += 1
-            if len(seen) > 50_000:
-                yield flat(seen)
-                seen.clear()
-        yield flat(seen)
-
-    def flat(seen: Counter) -> pa.RecordBatch:
-        return pa.record_batch({"word": pa.array([w for w, _ in seen], pa.string()), "bad": pa.array([b for _, b in seen], pa.bool_()), "n": pa.array(seen.values(), pa.int64())})
-
-    rows = urls.select("host", "path").mapInArrow(count, "word string, bad boolean, n long")
-    totals = rows.groupBy("word").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a"))
-    kept = {r.word: (r.b, r.a) for r in totals.orderBy(F.desc(F.col("word") == ""), F.desc(F.col("a") + F.col("b")), "word").limit(most).collect()}
-    pages = kept.pop("", (0, 0))
+            out = []
+            for name, held in zip(batch.column("name").to_pylist(), batch.column("held").to_pylist(), strict=True):
+                counts = {x["word"]: x["c"] for x in held}
+                own = counts.pop(name, 0)
+                found = Words(counts, total).split(name) if own and name not in _BLOCK and name not in _ALLOW else []
+                if len(found) > 1 and all(x in counts and (len(x) > 3 or counts[x] > own) for x in found):
+                    out.append(name)
+            yield pa.record_batch({"word": pa.array(out, pa.string())})
+
+    def split(batches):
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            out = [[n] if n == "#" else Words({x["word"]: x["c"] for x in held or ()}, total).split(n) for n, held in zip(names, batch.column("held").to_pylist(), strict=True)]
+            yield pa.record_batch({"key": pa.array(names, pa.string()), "value": pa.array(out, pa.list_(pa.string()))})
+
+    gathered = F.collect_list(F.struct("word", "c")).alias("held")
+    joined = settle(held.groupBy("name").agg(gathered).mapInArrow(compounds, "word string"), "compounds")
+    plain = names.join(held.join(joined, "word", "left_anti").groupBy("name").agg(gathered), "name", "left")
+    return settle(plain.mapInArrow(split, "key string, value array<string>"), "splits")
+
+
+def look_up(keys: DataFrame, table: DataFrame, often: int = 10_000) -> DataFrame:
+    """(row, key, value) for each of the keys (row, key), all of which are in table (key, value).
+
+    The keys that most rows have are broadcast; the others, each on few rows, are joined.
+    """
+    top = keys.groupBy("key").count().orderBy(F.desc("count"), "key").limit(often).select("key")
+    near = settle(table.join(top, "key", "left_semi").withColumn("near", F.lit(True)), "near")
+    first = keys.join(F.broadcast(near), "key", "left")
+    far = first.filter(F.col("near").isNull()).select("row", "key").join(table, "key")
+    return first.filter("near").select("row", "key", "value").unionByName(far.select("row", "key", "value"))
+
+
+def learn(words: DataFrame, bad: DataFrame) -> tuple[DataFrame, float]:
+    """(key, value): the log ratio (block to allow) of every word, and that of the classes.
+
+    words: (row, key), with the words marked by place; bad: (row, bad), whether the page is an example to block.
+    """
+    own = words.join(bad, "row").groupBy("key").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("a"))
+    counts = settle(own, "word_classes")
+    pages = bad.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).head()
     # seeds count a tenth of what their class holds, and smoothing stays small, so that few pages suffice
-    tokens = [max(1.0, sum(x[k] for x in kept.values())) for k in (0, 1)]
-    for seeds, k in ((BLOCK_SEEDS, 0), (ALLOW_SEEDS, 1)):
-        for w in seeds:
-            more = [0.0, 0.0]
-            more[k] = 0.1 * tokens[k] / len(seeds)
-            b, a = kept.get("h:" + w, (0, 0))
-            kept["h:" + w] = (b + more[0], a + more[1])
-    nb, na = (sum(x[k] for x in kept.values()) for k in (0, 1))
-    v = len(kept)
-    ratio = {w: math.log((b + 0.1) / (nb + 0.1 * v)) - math.log((a + 0.1) / (na + 0.1 * v)) for w, (b, a) in kept.items()}
-    return model, ratio, math.log((pages[0] + 1) / (pages[1] + 1))
-
-
-def judge(pages: DataFrame, rules=RULES, most: int = 50_000) -> DataFrame:
+    tokens = [max(1.0, x or 0) for x in counts.agg(F.sum("b"), F.sum("a")).head()]
+    seeds = [("h:" + w, 0.1 * tokens[0] / len(BLOCK_SEEDS), 0.0) for w in BLOCK_SEEDS] + [("h:" + w, 0.0, 0.1 * tokens[1] / len(ALLOW_SEEDS)) for w in ALLOW_SEEDS]
+    more = words.sparkSession.createDataFrame(seeds, "key string, b double, a double")
+    both = counts.unionByName(more).groupBy("key").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
+    nb, na, v = both.agg(F.sum("b"), F.sum("a"), F.count("*")).head()
+    ratio = F.log((F.col("b") + 0.1) / (nb + 0.1 * v)) - F.log((F.col("a") + 0.1) / (na + 0.1 * v))
+    return settle(both.select("key", ratio.alias("value")), "ratios"), math.log((pages[0] + 1) / (pages[1] + 1))
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for each page.
 
     score: log odds of block to allow by the model; the verdict is the rule's where one fits, else block where score > 0.
     Cases: a null url or one without :// has an empty host and path and is allowed unless the classes' odds say block;
     repeated rows are judged each; an empty table gives no rows; other columns are ignored.
     """
-    spark = pages.sparkSession
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    given = spark.sparkContext.broadcast(learn(urls, most))
-
-    def score(batches):
-        model, ratio, prior = given.value
-        for batch in batches:
-            out = [prior + sum(ratio.get(w, 0.0) for w in words_of(h, p, model)) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            names = ["page_id", "host", "path"]
-            yield pa.record_batch([*(batch.column(x) for x in names), pa.array(out, pa.float64())], names=[*names, "score"])
-
-    scored = urls.mapInArrow(score, "page_id long, host string, path string, score double")
+    rows = settle(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
+    named = rows.select("row", "host", F.lower("path").alias("path"))
+    kinds = [named.select("row", F.lit(k).alias("kind"), F.explode(names_of(c)).alias("key")) for k, c in (("h:", "host"), ("p:", "path"))]
+    # a name's place stays with its row's number while it is looked up
+    marked = kinds[0].unionByName(kinds[1]).select(F.struct("row", "kind").alias("row"), "key")
+    found = look_up(marked, splits(named))
+    words = settle(found.select("row.row", F.col("row.kind").alias("kind"), F.explode("value").alias("word")), "page_words")
+    block, allow = F.col("word").isin(*_BLOCK), F.col("word").isin(*_ALLOW)
+    seeds = words.filter(block | allow).groupBy("row").agg(F.collect_set("word").alias("seeds"))
+    is_block = lambda x: x.isin(*_BLOCK)
+    looks = F.exists("seeds", lambda x: is_block(x) & ~x.isin(*WEAK)) | (F.size(F.filter("seeds", is_block)) > 1)
+    bad = rows.select("row").join(seeds, "row", "left").select("row", F.coalesce(looks & ~F.exists("seeds", lambda x: x.isin(*_ALLOW)), F.lit(False)).alias("bad"))
+    keys = words.select("row", F.concat("kind", "word").alias("key"))
+    ratios, prior = learn(keys, settle(bad, "page_classes"))
+    sums = look_up(keys, ratios).groupBy("row").agg(F.sum("value").alias("sum"))
+    # sums are rounded, for their order is open
+    scored = rows.join(sums, "row", "left").withColumn("score", F.round(F.lit(prior) + F.coalesce("sum", F.lit(0.0)), 9))
     ruled = scored.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return ruled.select("page_id", "host", "path", F.col("ruled.rule").alias("rule"), F.coalesce("ruled.verdict", own).alias("verdict"), "score")
