@@ -118,3 +118,27 @@ def test_leaks_of_empty_tables(spark):
     assert decontamination.find_leaks(docs(spark), bench).count() == 0
     assert decontamination.find_leaks(docs(spark, []), spark.createDataFrame([(1, words(20, 1))], "item_id long, text string")).count() == 0
     assert decontamination.drop_leaked(docs(spark), bench).count() == len(rows())
+
+
+def test_pairs_in_buckets_split_deep_are_found(spark):
+    assert [ngram_join.runs_for(0.998, k) for k in (1, 2, 3, 10)] == [10, 10, 14, 37]
+    r = random.Random(6)
+    passage, items = words(100, 60), []
+    for k in range(300):  # all share half of their shingles; texts 2 k and 2 k + 1 are at about 0.8
+        own = words(110, 4000 + k)
+        items += [(2 * k, f"{passage} {own}"), (2 * k + 1, f"{passage} {edited(own, 4, r)}")]
+    want = {k for k in range(300) if len((a := shingles(items[2 * k][1])) & (b := shingles(items[2 * k + 1][1]))) >= 0.8 * len(a | b)}
+    own = ngram_join.members(spark.createDataFrame(items, "doc_id long, text string"), 0.8, ngram_join.runs_for(0.998))
+    from vantage.operators.graph import components
+
+    found = components(ngram_join.coarse_edges(own, brute=4)).join(own.select("id", "doc_id"), "id").collect()
+    root = {x.doc_id: x.root for x in found}
+    lost = [k for k in want if root.get(2 * k, 0) != root.get(2 * k + 1, 1)]
+    assert len(want) > 200 and len(lost) <= 0.02 * len(want)
+
+
+def test_blocks_of_few_sets_keep_all_links(spark):
+    r = random.Random(7)
+    items = [(k, edited(words(60, 5), r.choice([0, 1]), r)) for k in range(30)]
+    found = ngram_join.join_texts(spark.createDataFrame(items, "doc_id long, text string"), block_sets=4).collect()
+    assert sorted(map(tuple, found)) == brute(items)

@@ -4,7 +4,8 @@
 2. Chosen paths. A set is embedded as 128 minimum hashes, its tokens. In each run, a set goes down from the root into one
    bucket for each token whose hash with the path falls below 1 / (0.8 * 128), on average 1.25 of them. Buckets of at
    most `brute` sets are compared pair by pair on the tokens; larger ones split again on further tokens, and what is
-   still larger after `depth` levels is compared in pairs of blocks. Runs repeat until the target recall. Sets that
+   still larger after `depth` levels is compared in pairs of blocks. Runs repeat until the target recall at the deepest
+   level that splits; sets that no run took below the second level need no more runs than that level does. Sets that
    seem similar in a bucket are joined to one of them, not to all, which gives coarse classes.
 3. Each coarse class is verified on the whole shingle sets, in pairs of blocks of bounded size. A block pair yields, for
    each set, its number of links and one edge, never the pairs. Edges give the classes, sums the numbers of links.
@@ -28,7 +29,6 @@ from vantage.runtime import settle
 
 WORDS = 5
 TOKENS = 128
-MISS = 0.53  # share of pairs at the threshold that one run may miss, after two levels
 ROUGH = 0.68  # least share of equal tokens; 3.4 standard deviations below 0.8
 _ODD = mix(np.arange(1, TOKENS + 1).astype(U64)).astype(np.uint32) | np.uint32(1)
 _PLUS = mix(np.arange(1001, TOKENS + 1001).astype(U64)).astype(np.uint32)
@@ -178,15 +178,32 @@ def _rough(batches):
             yield pa.record_batch({"a": ids.take(pa.array(far)), "b": ids.take(pa.array(root[far]))})
 
 
-def runs_for(recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(MISS))
+def runs_for(recall: float, levels: int = 2) -> int:
+    """Runs that find this share of the pairs at the threshold, which have one common child a level on average."""
+    miss = 0.0
+    for _ in range(max(2, levels)):
+        miss = math.exp(miss - 1)
+    return math.ceil(math.log(1 - recall) / math.log(miss))
 
 
-def coarse_edges(sets: DataFrame, threshold: float = 0.8, brute: int = 2048, depth: int = 10) -> DataFrame:
-    """(a, b): candidate links between different sets (id, paths, tokens), as stars over the similar sets of a bucket."""
-    tokens = sets.select("id", "tokens")
-    paths = sets.select("id", "paths").mapInArrow(_first, "path long, id binary")
+def _roots(threshold: float, first: int, last: int) -> Callable:
+    """A row for each bucket below the roots of the runs from first to last - 1."""
+
+    def split(batches):
+        roots = mix(np.arange(first + 1, last + 1).astype(U64))
+        for batch in slices(batches, "tokens", 1 << 20):
+            tokens = _tokens(batch.column("tokens"))
+            for r in roots:
+                row, child = _children(np.full(len(tokens), r), tokens, threshold)
+                yield pa.record_batch({"path": pa.array(child.view(np.int64)), "id": batch.column("id").take(pa.array(row))})
+
+    return split
+
+
+def _buckets(paths: DataFrame, tokens: DataFrame, threshold: float, brute: int, depth: int) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Buckets (path, id) to compare, the sets (id) that went below the second level, and the levels that were made."""
     buckets: list[DataFrame] = []
+    deep: list[DataFrame] = []
     for level in range(depth):
         many = paths.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
         live = settle(paths.join(many, "path"), "buckets")
@@ -195,16 +212,39 @@ def coarse_edges(sets: DataFrame, threshold: float = 0.8, brute: int = 2048, dep
         if large.isEmpty():
             break
         if level + 1 < depth:
+            if level:
+                deep.append(large.select("id"))
             paths = large.select("path", "id").join(tokens, "id").mapInArrow(_further(threshold), "path long, id binary").distinct()
         else:  # pairs of blocks, so that a pair of sets still meets
             blocks = F.ceil(2 * F.col("n") / brute).cast("int")
             own = F.pmod(F.xxhash64("id"), blocks).cast("int")
             cut = large.select("path", "id", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
             buckets.append(cut.select(F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other")).alias("path"), "id").distinct())
-    small = buckets[0]
-    for more in buckets[1:]:
-        small = small.unionByName(more)
-    held = small.join(tokens, "id").select("path", "id", "tokens")
+    return buckets, deep, level + 1
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def coarse_edges(sets: DataFrame, threshold: float = 0.8, brute: int = 2048, depth: int = 10, recall: float = 0.998) -> DataFrame:
+    """(a, b): candidate links between different sets (id, paths, tokens), as stars over the similar sets of a bucket.
+
+    The paths are those of runs_for(recall) runs. Where a run goes below the second level, its pairs are missed more
+    often, so the sets there take more runs, until there are enough for the deepest level made.
+    """
+    tokens = sets.select("id", "tokens")
+    buckets, deep, levels = _buckets(sets.select("id", "paths").mapInArrow(_first, "path long, id binary"), tokens, threshold, brute, depth)
+    done, need = runs_for(recall), runs_for(recall, levels)
+    again = settle(tokens.join(_union(deep).distinct(), "id", "left_semi"), "deep_sets") if deep else None
+    while deep and done < need:
+        more, _, levels = _buckets(again.mapInArrow(_roots(threshold, done, need), "path long, id binary"), again, threshold, brute, depth)
+        buckets += more
+        done, need = need, max(need, runs_for(recall, levels))
+    held = _union(buckets).join(tokens, "id").select("path", "id", "tokens")
     return held.repartition("path").sortWithinPartitions("path", "id").mapInArrow(_rough, "a binary, b binary")
 
 
@@ -260,7 +300,7 @@ def _exact(threshold: float) -> Callable:
     return run
 
 
-def join_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998, block_shingles: int = 300_000) -> DataFrame:
+def join_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998, block_shingles: int = 300_000, block_sets: int = 2048) -> DataFrame:
     """One row for each document: (doc_id, class_id, n_links, n_copies).
 
     class_id: the least doc_id of the class, which holds all copies of a text and all texts joined by links, directly or
@@ -274,10 +314,10 @@ def join_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998, b
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = settle(members(own, threshold, runs_for(recall)), "members")
     sets = settle(rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")), "sets")
-    coarse = components(coarse_edges(sets.filter(F.col("n") > 0), threshold))
+    coarse = components(coarse_edges(sets.filter(F.col("n") > 0), threshold, recall=recall))
     nodes = coarse.join(sets.select("id", "first", "n"), "id")
-    # a class's sets are dealt to blocks of about block_shingles; each set goes to the pairs of its block with every block
-    sums = nodes.groupBy("root").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks"))
+    # a class's sets are dealt to blocks of about block_shingles and at most about block_sets; each set goes to the pairs of its block with every block
+    sums = nodes.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / block_shingles, F.count("*") / block_sets)).cast("int").alias("blocks"))
     nodes = nodes.join(sums, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def hashes(batches):
