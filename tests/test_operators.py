@@ -122,3 +122,34 @@ def test_the_rest_works_without_the_llm_folders(missing):
 
     code = f"import sys; sys.modules['{missing}'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) > 150"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for _ in range(12):  # copies of a text with one to three words changed: many pass only against each other
+        base = [word() for _ in range(150)]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(r.randint(1, 3)):
+                w[r.randrange(150)] = word()
+            rows.append((len(rows), " ".join(w)))
+    rows += [(900, "привет мир это длинный текст"), (901, "совсем другой текст из слов"), (902, "!!!"), (903, "???"), (904, None), (905, "")]
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in rows[:144] for w in [t.split()]}
+    root = {k: k for k, _ in rows} | {905: 904}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    for block in (6, 512):
+        found = {x.doc_id: x.cluster for x in text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+        assert found == {k: top(k) for k, _ in rows}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,35 +113,144 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(F.filter(value, lambda v: v.isNotNull()), F.lit(0), lambda s, v: s + v) % 10 == 0
 
 
-def shingles(text: Column, n: int = 5) -> Column:
+def shingles(text: Column, n: int = 5, between: str = r"[^a-z0-9]+") -> Column:
     """Distinct runs of n words; shorter texts have one of all their words."""
-    words = F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda x: x != "")
+    words = F.filter(F.split(F.lower(text), between), lambda x: x != "")
     # the words are bound once as a variable, else every run would split the text anew
     runs = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " ")))
     return F.array_distinct(F.element_at(runs, 1))
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.9, hashes: int = 32, rows: int = 4) -> DataFrame:
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _signed(hashes: int, rows: int) -> Callable:
+    """(id, sig, bands) for sets (id, s): a byte of each minimum hash, and the hashes of the bands."""
+    seeds = _mix(np.arange(1, hashes + 1).astype(np.uint64))
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                sets = [np.array(x, np.int64).view(np.uint64) for x in some.column("s").to_pylist()]
+                starts = np.cumsum([0, *(len(x) for x in sets[:-1])])
+                flat = np.concatenate(sets)
+                low = np.stack([np.minimum.reduceat(_mix(flat ^ k), starts) for k in seeds], axis=1)
+                bands = []
+                for b in range(0, hashes - rows + 1, rows):
+                    h = np.full(len(sets), b + 1, np.uint64)
+                    for r in range(rows):
+                        h = _mix(h ^ low[:, b + r])
+                    bands.append(h.view(np.int64))
+                sig = [x.tobytes() for x in (_mix(low) & np.uint64(255)).astype(np.uint8)]
+                yield pa.record_batch({"id": some.column("id"), "sig": pa.array(sig, pa.binary()), "bands": pa.array(np.stack(bands, axis=1).tolist(), pa.list_(pa.int64()))})
+
+    return run
+
+
+def _stars(alike: Callable[[list], np.ndarray], column: str) -> Callable:
+    """For rows (block, id, column) sorted by block: each row of a block with the least row it is joined to."""
+
+    def links(ids: list, values: list) -> list[tuple[str, str]]:
+        if len(ids) < 2:
+            return []
+        x, y = np.nonzero(np.triu(alike(values), 1))
+        root = np.arange(len(ids))
+        while len(x):
+            before = root.copy()
+            np.minimum.at(root, x, root[y])
+            np.minimum.at(root, y, root[x])
+            root = root[root]
+            if np.array_equal(root, before):
+                break
+        return [(ids[k], ids[r]) for k, r in enumerate(root.tolist()) if r != k]
+
+    def run(batches):
+        block, ids, values = None, [], []
+        for batch in batches:
+            out = []
+            for b, i, v in zip(*(batch.column(c).to_pylist() for c in ("block", "id", column)), strict=True):
+                if b != block:
+                    out += links(ids, values)
+                    block, ids, values = b, [], []
+                ids.append(i)
+                values.append(v)
+            yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.string()), "b": pa.array([y for _, y in out], pa.string())})
+        out = links(ids, values)
+        yield pa.record_batch({"a": pa.array([x for x, _ in out], pa.string()), "b": pa.array([y for _, y in out], pa.string())})
+
+    return run
+
+
+def _rough(least: float) -> Callable:
+    """Which signatures agree in about `least` of their hashes: four standard deviations are allowed."""
+
+    def alike(values):
+        sig = np.frombuffer(b"".join(values), np.uint8).reshape(len(values), -1)
+        floor = (least - 4 * np.sqrt(least * (1 - least) / sig.shape[1])) * sig.shape[1]
+        return np.stack([(sig == x).sum(1) for x in sig]) >= floor
+
+    return alike
+
+
+def _exact(least: float) -> Callable:
+    def alike(values):
+        n = len(values)
+        size = np.array([len(x) for x in values], np.float64)
+        row = np.repeat(np.arange(n), size.astype(np.int64))
+        _, code = np.unique(np.concatenate([np.array(x, np.int64) for x in values]), return_inverse=True)
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        common = np.zeros((n, n), np.float32)
+        for at in range(0, int(code[-1]) + 1, 2048):
+            a, z = np.searchsorted(code, (at, at + 2048))
+            part = np.zeros((n, 2048), np.float32)
+            part[row[a:z], code[a:z] - at] = 1
+            common += part @ part.T
+        both = common.astype(np.float64)
+        return both >= least * (size[:, None] + size[None, :] - both) - 1e-9
+
+    return alike
+
+
+def _block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """rows with a column block: a group's rows are dealt to blocks, and every two blocks meet."""
+    cut = rows.withColumn("__n", blocks.cast("int")).withColumn("__own", F.pmod(F.xxhash64("id"), "__n").cast("int"))
+    met = cut.withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+    block = F.xxhash64(group, F.least("__own", "__other"), F.greatest("__own", "__other"))
+    return met.withColumn("block", block).repartition("block").sortWithinPartitions("block", "id")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.9, hashes: int = 128, rows: int = 4, block: int = 512) -> DataFrame:
     """(doc_id, cluster): clusters of documents whose shingle sets have Jaccard similarity of at least `least`.
 
-    Minimum hashes fall out of one aggregate over exploded shingles. Texts of equal sets are one node. A band's bucket
-    joins its members to the least of them; candidates are verified on the sets, and clusters are components.
+    Words are runs of letters and digits of any script; a text without words is its own shingle. Texts of equal sets are
+    one node. All members of a band's bucket are compared on their signatures, in pairs of blocks
+    where there are many; what seems similar gives coarse classes. All sets of a coarse class are compared exactly in the
+    same way, and clusters are the components of those links. No row is made for a pair.
     """
     from vantage.operators.graph import components
     from vantage.runtime import settle
 
-    made = docs.select("doc_id", F.array_sort(shingles(F.coalesce("text", F.lit("")))).alias("s"))
-    sets = settle(made.withColumn("id", F.md5(F.array_join("s", "\n"))), "shingle_sets")
-    nodes = sets.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("s").alias("s"))
-    grams = nodes.select("id", F.explode("s").alias("g"))
-    sig = grams.groupBy("id").agg(*[F.min(F.xxhash64("g", F.lit(k))).alias(f"h{k}") for k in range(hashes)])
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"h{b * rows + r}") for r in range(rows)]) for b in range(hashes // rows)])
-    buckets = sig.select("id", F.explode(bands).alias("band"))
-    heads = buckets.groupBy("band").agg(F.min("id").alias("head"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    pairs = buckets.join(heads, "band").filter(F.col("id") != F.col("head")).select("id", "head").distinct()
-    a, b = nodes.select("id", F.col("s").alias("sa")), nodes.select(F.col("id").alias("head"), F.col("s").alias("sb"))
-    good = pairs.join(a, "id").join(b, "head").filter(jaccard(F.col("sa"), F.col("sb")) >= least).select(F.col("id").alias("a"), F.col("head").alias("b"))
-    found = components(good)
+    plain = F.coalesce("text", F.lit(""))
+    own = shingles(plain, between=r"[^\p{L}\p{M}\p{N}]+")
+    own = F.when(own == F.array(F.lit("")), F.array(F.trim(plain))).otherwise(own)
+    made = docs.select("doc_id", F.array_sort(own).alias("s"))
+    hashed = F.array_distinct(F.transform("s", lambda x: F.xxhash64(x))).alias("s")
+    sets = settle(made.select("doc_id", F.md5(F.array_join("s", "\n")).alias("id"), hashed), "shingle_sets")
+    nodes = settle(sets.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("s").alias("s")), "shingle_nodes")
+    signed = settle(nodes.select("id", "s").mapInArrow(_signed(hashes, rows), "id string, sig binary, bands array<long>"), "signatures")
+    buckets = signed.select("id", F.explode("bands").alias("band"))
+    many = buckets.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    held = buckets.join(many, "band").join(signed.select("id", "sig"), "id")
+    near = _block_pairs(held, "band", F.ceil(2 * F.col("n") / block)).select("block", "id", "sig").mapInArrow(_stars(_rough(least), "sig"), "a string, b string")
+    coarse = components(near).join(nodes.select("id", "s"), "id")
+    sums = coarse.groupBy("root").agg(F.count("*").alias("n"))
+    exact = _block_pairs(coarse.join(sums, "root"), "root", F.ceil(2 * F.col("n") / block)).select("block", "id", "s")
+    found = components(exact.mapInArrow(_stars(_exact(least), "s"), "a string, b string"))
     named = nodes.select("id", "first").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
     heads = named.groupBy("root").agg(F.min("first").alias("cluster"))
     return sets.select("doc_id", "id").join(named.select("id", "root"), "id").join(heads, "root").select("doc_id", "cluster")
