@@ -93,3 +93,14 @@ def test_pages_without_article_tag():
 
 def test_rows_stay(spark):
     assert len(rows()) == docs(spark).count()
+
+
+def test_class_words_do_not_overrule_the_scores():
+    body = "".join(f"<p>Sentence {k} of the article, which is long enough, with a comma. And another one, as long.</p>" for k in range(5))
+    want = " ".join(f"Sentence {k} of the article, which is long enough, with a comma. And another one, as long." for k in range(5))
+    menu, ad = "<div class=menu><a href=1>One</a> <a href=2>Two</a></div>", '<div class="ad"><p>Buy this now, and buy more, for less money.</p></div>'
+    talk = '<div class="post-comments"><p>Great, great article! I read it, twice, and more.</p></div><div class="comment-list"><p>Me too, and twice, if I may say so.</p></div>'
+    for name in ("content has-sidebar", "post no-comments", "search-result-article", "page sidebar"):
+        assert html_text.main_text(f'<body>{menu}<div class="{name}">{body}{ad}</div>{talk}</body>') == want
+    first, rest = body[: body.index("<p>Sentence 3")], body[body.index("<p>Sentence 3") :]
+    assert html_text.main_text(f'<body>{menu}<div class=post>{first}<section id="related-work">{rest}</section>{ad}</div>{talk}</body>') == want

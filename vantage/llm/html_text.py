@@ -5,7 +5,9 @@ Per path, characters and punctuation are summed over its nodes. Both ratios to t
 paths in page order, fused, and the paths above a share of the best are content. Their nearest common container then
 gives its headings and short blocks back, for they belong to the same article.
 
-Regions that are never part of an article, whatever they hold, are known by tag or by class and id words.
+Regions that are never part of an article, whatever they hold, are known by tag. Class and id words only weigh the
+scores: a marked element stays where it holds the path with the most weighed text, and one that merely mentions such a
+word stays where its weighed score is that of content.
 """
 
 from __future__ import annotations
@@ -33,6 +35,11 @@ comment commentlist comments consent cookie cookies copyright disqus discussion
 menubar modal nav navbar navigation newsletter notice notices overlay pagination pager paywall popup popular promo
 promotion recommended related replies reply respond search share sharing sidebar signup sitemap skip skyscraper social
 sponsor sponsored subscribe subscription tags toolbar topbar trending widget widgets""".split())
+# fixed values: words that make the name of a region whatever follows them, and words that only tell of a region
+REGIONS = frozenset("ad ads comment comments cookie cookies disqus".split())
+TELLING = frozenset("has have no not with without hide hides show shows is in".split())
+PRIOR = {"name": 0.05, "mention": 0.5}  # weight of text in an element that such a word names, or that mentions one
+LEAST = 200  # characters of a path that may overrule the words
 PUNCTUATION = frozenset(".,;:!?…。、，！？；：")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -40,40 +47,55 @@ _NAME = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([
 
 
 class Node:
-    """A block's text: its path, its container's path, whether it lies outside the article, and its pieces."""
+    """A block's text: its path, whether it lies outside the article, the marked elements it lies in, and its pieces."""
 
-    __slots__ = ("path", "outside", "parts", "linked")
+    __slots__ = ("path", "outside", "marks", "parts", "linked")
 
-    def __init__(self, path: tuple[str, ...], outside: bool):
-        self.path, self.outside, self.parts, self.linked = path, outside, [], 0
+    def __init__(self, path: tuple[str, ...], outside: bool, marks: tuple[tuple[int, str], ...]):
+        self.path, self.outside, self.marks, self.parts, self.linked = path, outside, marks, [], 0
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """The tag with its first class or id, and whether the element lies outside the article."""
-    label, outside = tag, tag in OUTSIDE
+def _kind(value: str) -> str:
+    """Whether a class or id names a region outside the article, mentions one, or neither."""
+    out = ""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+        if any(w in NOT_CONTENT for w in words):
+            names = (words[-1] in NOT_CONTENT or words[0] in REGIONS) and not TELLING & set(words)
+            out = "name" if names or out == "name" else "mention"
+    return out
+
+
+def _marks(tag: str, attributes: str) -> tuple[str, bool, str]:
+    """The tag with its first class or id, whether the element lies outside the article, and the kind of its words."""
+    label, outside, kind = tag, tag in OUTSIDE, ""
     for m in _NAME.finditer(attributes) if attributes.strip() else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if key in ("class", "id"):
             words = re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower())
-            outside |= any(w in NOT_CONTENT for w in words) and tag not in ("html", "body", "article", "main")
+            if tag not in ("html", "body", "article", "main") and kind != "name":
+                kind = _kind(value) or kind
             if label == tag and words[0]:
                 label = f"{tag}.{words[0]}"
         elif key == "role":
             outside |= value.lower() in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
         else:
             outside |= key == "hidden" or value.lower() == "true"
-    return label, outside
+    return label, outside, kind
 
 
 def text_nodes(page: str) -> list[Node]:
     """The blocks of a page in order. Unclosed and wrongly nested tags are closed as browsers close them."""
-    stack: list[tuple[str, str, bool]] = []
+    stack: list[tuple[str, str, bool, tuple[tuple[int, str], ...]]] = []
     nodes: list[Node] = []
     fresh, at, end = True, 0, len(page)
 
     def outside() -> bool:
         return bool(stack) and stack[-1][2]
 
+    def marks() -> tuple[tuple[int, str], ...]:
+        return stack[-1][3] if stack else ()
+
     def add(raw: str) -> None:
         nonlocal fresh
         if not raw:
@@ -82,13 +104,13 @@ def text_nodes(page: str) -> list[Node]:
         if fresh or not nodes:
             if not text.strip():
                 return
-            nodes.append(Node(tuple(x[1] for x in stack if x[0] not in INLINE), outside()))
+            nodes.append(Node(tuple(x[1] for x in stack if x[0] not in INLINE), outside(), marks()))
             fresh = False
         node = nodes[-1]
-        if outside() != node.outside:  # an inline element may be outside too
+        if outside() != node.outside or marks() != node.marks:  # an inline element may be outside or marked too
             if not text.strip():
                 return
-            nodes.append(Node(tuple(x[1] for x in stack if x[0] not in INLINE), outside()))
+            nodes.append(Node(tuple(x[1] for x in stack if x[0] not in INLINE), outside(), marks()))
             node = nodes[-1]
         node.parts.append(text)
         if any(x[0] == "a" for x in stack):
@@ -130,7 +152,7 @@ def text_nodes(page: str) -> list[Node]:
                     break
                 if stack[k][0] in stop:
                     break
-        label, out = _marks(tag, m[3] or "")
+        label, out, kind = _marks(tag, m[3] or "")
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = closing.end() if closing else end
@@ -141,7 +163,7 @@ def text_nodes(page: str) -> list[Node]:
             continue
         if tag not in INLINE:
             fresh = True
-        stack.append((tag, label, outside() or out))
+        stack.append((tag, label, outside() or out, (*marks(), (at, kind)) if kind else marks()))
     return nodes
 
 
@@ -149,21 +171,58 @@ def _squeeze(node: Node) -> str:
     return " ".join("".join(node.parts).split())
 
 
-def main_text(page: str, share: float = 0.2) -> str:
-    """The article's text: white space in a block becomes one space, blocks are joined by one space."""
-    nodes = [(n, t) for n in text_nodes(page) if not n.outside and (t := _squeeze(n))]
-    if not nodes:
-        return ""
+def _sums(nodes: list[tuple[Node, str]]) -> dict[tuple[str, ...], list[float]]:
+    """Nodes, characters outside links and punctuation of each path."""
     sums: dict[tuple[str, ...], list[float]] = {}
     for n, t in nodes:
         x = sums.setdefault(n.path, [0.0, 0.0, 0.0])
         x[0] += 1
         x[1] += max(0, len(t) - n.linked)
         x[2] += sum(c in PUNCTUATION for c in t)
+    return sums
+
+
+def _fused(sums: dict[tuple[str, ...], list[float]]) -> list[float]:
+    by_text = _smooth([x[1] / x[0] for x in sums.values()])
+    by_mark = _smooth([x[2] / x[0] for x in sums.values()])
+    return [math.sqrt(a * (1 + b)) for a, b in zip(by_text, by_mark, strict=True)]
+
+
+def _without_marked(nodes: list[tuple[Node, str]], share: float) -> list[tuple[Node, str]]:
+    """The nodes without those in marked elements that the scores don't keep."""
+    if not any(n.marks for n, _ in nodes):
+        return nodes
+    sums = _sums(nodes)
+    score = dict(zip(sums, _fused(sums), strict=True))
+    weight: dict[tuple, float] = {}
+    chars: dict[tuple, int] = {}
+    for n, t in nodes:  # a path's text under the same marks, weighed
+        key = (n.path, n.marks)
+        weight[key] = weight.get(key, 0.0) + score[n.path] * math.prod(PRIOR[k] for _, k in n.marks)
+        chars[key] = chars.get(key, 0) + max(0, len(t) - n.linked)
+    best = max(weight, key=weight.get)
+    kept = set(best[1]) if chars[best] >= LEAST or all(k == "mention" for _, k in best[1]) else set()
+    floor = share * max(score[n.path] * math.prod(PRIOR[k] for _, k in n.marks) for n, _ in nodes)
+    inside: dict[tuple[int, str], list[float]] = {}
+    for n, t in nodes:
+        for mark in n.marks:
+            x = inside.setdefault(mark, [0.0, 0.0, 0.0, 0.0])
+            x[0] += 1
+            x[1] += score[n.path]
+            x[2] += n.linked
+            x[3] += len(t)
+    kept |= {m for m, x in inside.items() if m[1] == "mention" and PRIOR["mention"] * x[1] / x[0] >= floor and 2 * x[2] <= x[3]}
+    return [(n, t) for n, t in nodes if all(m in kept for m in n.marks)]
+
+
+def main_text(page: str, share: float = 0.2) -> str:
+    """The article's text: white space in a block becomes one space, blocks are joined by one space."""
+    nodes = _without_marked([(n, t) for n in text_nodes(page) if not n.outside and (t := _squeeze(n))], share)
+    if not nodes:
+        return ""
+    sums = _sums(nodes)
     paths = list(sums)
-    by_text = _smooth([sums[p][1] / sums[p][0] for p in paths])
-    by_mark = _smooth([sums[p][2] / sums[p][0] for p in paths])
-    fused = [math.sqrt(a * (1 + b)) for a, b in zip(by_text, by_mark, strict=True)]
+    fused = _fused(sums)
     floor = share * max(fused)
     content = {p for p, x in zip(paths, fused, strict=True) if x >= floor and sums[p][1]}
     if not content:
