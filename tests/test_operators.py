@@ -153,3 +153,26 @@ def test_near_duplicates_against_all_pairs(spark):
     for block in (6, 512):
         found = {x.doc_id: x.cluster for x in text.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
         assert found == {k: top(k) for k, _ in rows}
+
+
+def test_funnel_and_runs_without_arrays_of_a_key(spark):
+    import random
+    import re
+
+    r = random.Random(9)
+    rows = [(r.randrange(6), r.randrange(400), k, r.choice(["view", "click", "purchase", "other"])) for k in range(900)] + [(7, 1, 999, "other")]
+    events = spark.createDataFrame(rows, "user_id long, us long, event_id long, event_type string")
+    steps, depth, word = ["view", "click", "purchase"], {}, {}
+    for u, us, _, kind in sorted(rows):
+        word[u] = word.get(u, "") + {"view": "v", "click": "c", "purchase": "p"}.get(kind, "")
+        if kind in steps:
+            s, k = depth.setdefault(u, [None] * 3), steps.index(kind)
+            start = us if k == 0 else s[k - 1]
+            if start is not None and us - start <= 3:
+                s[k] = start
+    funnel = temporal.funnel(events, "user_id", steps, 3)
+    assert {x.user_id: x.depth for x in funnel.collect()} == {u: sum(x is not None for x in s) for u, s in depth.items()}
+    runs = temporal.count_runs_then(events, "user_id", "view", "click", steps)
+    assert {x.user_id: (x.matches, x.n) for x in runs.collect()} == {u: (len(re.findall("v+c", w)), len(w)) for u, w in word.items()}
+    for df in (funnel, runs):
+        assert "collect_list" not in df._jdf.queryExecution().toString()

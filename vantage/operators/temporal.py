@@ -91,20 +91,24 @@ def adaptive_salted_sum(df: DataFrame, key: str, value: str, share: float, salts
 def funnel(events: DataFrame, key: str, steps: list[str], width: int) -> DataFrame:
     """Per key, the most steps matched in order within `width` of the first, over all starts.
 
-    A key's events are folded once in time order: for each step, the latest start that reached it.
+    For each step, the latest start that reached it, as a running maximum over the key's events in time order. Windows
+    sort and spill, so no row holds all events of a key.
     """
-    rows = F.array_sort(F.collect_list(F.struct("us", "event_id", "event_type")))
-    kept = events.filter(F.col("event_type").isin(*steps)).groupBy(key).agg(rows.alias("rows"))
-    none = F.lit(None).cast("long")
-    state = F.array(*[none for _ in steps])
-
-    def advance(s: Column, e: Column) -> Column:
-        out = []
-        for k, step in enumerate(steps):
-            before = e["us"] if k == 0 else F.element_at(s, k)
-            fits = (e["event_type"] == step) & before.isNotNull() & (e["us"] - before <= width)
-            out.append(F.when(fits, before).otherwise(F.element_at(s, k + 1)))
-        return F.array(*out)
-
-    folded = kept.select(key, F.aggregate("rows", state, advance).alias("s"))
-    return folded.select(key, F.size(F.filter("s", lambda x: x.isNotNull())).alias("depth"))
+    out = events.filter(F.col("event_type").isin(*steps)).select(key, "us", "event_id", "event_type")
+    before = Window.partitionBy(key).orderBy("us", "event_id", "event_type").rowsBetween(Window.unboundedPreceding, -1)
+    for k, step in enumerate(steps):
+        start = F.col("us") if k == 0 else F.max(f"__s{k - 1}").over(before)
+        out = out.withColumn("__start", start).withColumn(f"__s{k}", F.when((F.col("event_type") == step) & (F.col("us") - F.col("__start") <= width), F.col("__start")))
+    reached = [F.max(f"__s{k}").isNotNull().cast("int") for k in range(len(steps))]
+    return out.groupBy(key).agg(sum(reached[1:], reached[0]).alias("depth"))
+
+
+def count_runs_then(events: DataFrame, key: str, run: str, then: str, types: list[str]) -> DataFrame:
+    """(key, matches, n): how often an event of type `then` follows a run of type `run`, and the key's events of the types.
+
+    Events of other types are passed over. A match is an event whose predecessor in the key's order ends a run.
+    """
+    kind = F.when(F.col("event_type").isin(*types), F.col("event_type"))
+    before = Window.partitionBy(key).orderBy("us", "event_id", "event_type").rowsBetween(Window.unboundedPreceding, -1)
+    rows = events.select(key, "us", "event_id", "event_type", kind.alias("__kind")).withColumn("__last", F.last("__kind", ignorenulls=True).over(before))
+    return rows.groupBy(key).agg(F.count_if((F.col("__kind") == then) & (F.col("__last") == run)).cast("int").alias("matches"), F.count("__kind").cast("int").alias("n"))

@@ -306,9 +306,7 @@ def a21(spark, sf_dir):
 
 @query("A22_sequence_count")
 def a22(spark, sf_dir):
-    code = F.create_map(*[F.lit(x) for p in {"view": "v", "click": "c", "purchase": "p", "signup": "s", "error": "e"}.items() for x in p])
-    word = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("us", "event_id", "event_type"))), lambda x: code[x["event_type"]]), "")
-    return ev(spark, sf_dir).groupBy("user_id").agg(word.alias("word")).select("user_id", F.regexp_count("word", F.lit("v+c")).alias("matches"), F.length("word").alias("n"))
+    return T.count_runs_then(ev(spark, sf_dir), "user_id", "view", "click", ["view", "click", "purchase", "signup", "error"])
 
 
 @query("A25_red", f"""WITH {EV} SELECT event_type, (us - (((us) % 86400000000) + 86400000000) % 86400000000) AS day, count(*) AS n, count(*) FILTER (k % 10 = 0) AS errors, CAST(count(*) FILTER (k % 10 = 0) AS DOUBLE) / count(*) AS ratio, count(*) / 86400.0 AS rate FROM ev GROUP BY ALL""")
