@@ -1,8 +1,10 @@
-"""Re-Pair grammars over token ids: frequent neighbours become nonterminals, round by round.
+"""Re-Pair grammars over token ids: frequent neighbours become nonterminals until no pair is frequent.
 
 A shard holds documents one after the other. END closes a document and never pairs, so a rule never spans two documents
-and each document is a range of symbols. Every round counts all neighbouring pairs of the shard exactly, gives the most
-frequent ones nonterminals, and replaces them where they don't overlap a more frequent one.
+and each document is a range of symbols. A round counts the neighbouring pairs that can still be frequent, exactly, and
+replaces them, the more frequent first where they overlap; a pair that others leave too few places waits for the next
+round with its new count. Symbols stay at their positions in a linked list, so a round only looks at positions whose pair
+is frequent or has just changed: a pair of older symbols never becomes more frequent.
 """
 
 from __future__ import annotations
@@ -13,138 +15,165 @@ import numpy as np
 
 from vantage.llm.arrays import gather, starts
 
-MAGIC = b"VRP1"
+MAGIC = b"VRP2"
+HEAD = "<4sBBIIIQII"
+END = 0  # the symbol that closes a document; terminals follow, then rules in the order they were made
+
+
+def _every_other(linked: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Mask of the pairs that count: in a run of one symbol, every other one. linked: whether a pair's right symbol is
+    the next pair's left one."""
+    follows = np.zeros(len(key), bool)
+    follows[1:] = linked & (key[1:] == key[:-1])
+    if not follows.any():
+        return ~follows
+    place = np.arange(len(key))
+    return (place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 0
+
+
+def _winners(rank: np.ndarray, linked: np.ndarray, passes: int = 4) -> np.ndarray:
+    """Mask of pairs without overlap: those of less rank than both neighbours, and again among what these leave."""
+    last = np.int64(1) << 40
+    rank = rank.astype(np.int64)
+    won = np.zeros(len(rank), bool)
+    for _ in range(passes):
+        before, after = np.full(len(rank), last), np.full(len(rank), last)
+        before[1:] = np.where(linked, rank[:-1], last)
+        after[:-1] = np.where(linked, rank[1:], last)
+        win = (rank < last) & (rank < before) & (rank <= after)
+        if not win.any():
+            break
+        won |= win
+        rank[win] = last
+        rank[1:][win[:-1] & linked] = last
+        rank[:-1][win[1:] & linked] = last
+    return won
 
 
-def build(ids: np.ndarray, end: int, first_rule: int, rounds: int, per_round: int, least: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """The shortened sequence, the rules as rows (left, right), and how many rules each round made."""
-    seq, rules, made, symbol = ids.astype(np.uint32), [], [], first_rule
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        pair = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inner = (seq[:-1] != end) & (seq[1:] != end)
-        keys = np.sort(pair[inner])
-        if not len(keys):
+def build(symbols: np.ndarray, first_rule: int, least: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """The shortened sequence, the rules as rows (left, right), and how many rules each round made.
+
+    Ends when no pair occurs `least` times without overlap.
+    """
+    n = len(symbols)
+    sym = np.append(symbols.astype(np.int64), END)
+    nxt = np.arange(1, n + 2)
+    nxt[n] = n
+    prv = np.arange(-1, n)
+    prv[0] = n
+    alive, live = np.ones(n + 1, bool), np.ones(n + 1, bool)
+    alive[n] = False
+    rules, made, symbol = [], [], first_rule
+    while True:
+        live[n] = False
+        at = np.flatnonzero(live)
+        a, b = sym[at], sym[nxt[at]]
+        inner = (a != END) & (b != END)
+        live[at[~inner]] = False
+        at, key = at[inner], (a[inner] << 32) | b[inner]
+        if not len(at):
             break
-        edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        count = np.diff(np.append(edge, len(keys)))
-        worth = np.flatnonzero(count >= least)
-        if len(worth) > per_round:
-            worth = worth[np.argpartition(-count[worth], per_round - 1)[:per_round]]
-        if not len(worth):
+        linked = nxt[at[:-1]] == at[1:]
+        counts = _every_other(linked, key)
+        order = np.argsort(key)
+        ordered = key[order]
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        many = np.add.reduceat(counts[order].astype(np.int64), edge)
+        worth = many >= least
+        name = np.empty(len(at), np.int64)
+        name[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(key))))
+        good = worth[name]
+        live[at[~good]] = False
+        if not worth.any():
             break
-        worth = worth[np.lexsort((edge[worth], -count[worth]))]
-        chosen = keys[edge[worth]]
-        order = np.argsort(chosen)
-        chosen = chosen[order]
-        size = int(max(symbol, end, int(seq.max()))) + 1
-        left, right = np.zeros(size, bool), np.zeros(size, bool)
-        left[(chosen >> np.uint64(32)).astype(np.int64)] = True
-        right[(chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
-        at = np.flatnonzero(left[seq[:-1]] & right[seq[1:]] & inner)
-        k = np.searchsorted(chosen, pair[at])
-        k[k == len(chosen)] = 0
-        good = chosen[k] == pair[at]
-        at, rank = at[good], order[k[good]].astype(np.int64)
-        follows = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (rank[1:] == rank[:-1])])  # a run of one symbol
-        place = np.arange(len(at)) - np.maximum.accumulate(np.where(follows, 0, np.arange(len(at))))
-        at, rank = at[place % 2 == 0], rank[place % 2 == 0]  # every other pair of a run
-        none = len(chosen)
-        by = np.full(len(seq) + 1, none, np.int32)
-        by[at + 1] = rank
-        taken = np.zeros(len(seq) + 1, bool)
-        for _ in range(3):  # among neighbours that overlap, the more frequent pair and then the left one
-            live = at[by[at + 1] < none]
-            if not len(live):
-                break
-            here, before = by[live + 1], by[live]
-            after = by[np.minimum(live + 2, len(seq))]
-            win = live[(here < before) & (here <= after)]
-            taken[win] = True
-            by[win + 1] = none
-            by[win] = none
-            by[np.minimum(win + 2, len(seq))] = none
-        where = np.flatnonzero(taken[:-1])
-        kept = np.searchsorted(chosen, pair[where])
-        rule = order[kept]
-        used = np.unique(rule)
-        name = np.zeros(none, np.int64)
-        name[used] = np.arange(len(used))
-        by_rank = np.empty(none, np.uint64)
-        by_rank[order] = chosen
-        picked = by_rank[used]
-        rules.append(np.stack([picked >> np.uint64(32), picked & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        by_count = np.flatnonzero(worth)
+        by_count = by_count[np.argsort(-many[by_count], kind="stable")]
+        rank = np.empty(len(edge), np.int64)
+        rank[by_count] = np.arange(len(by_count))
+        good &= counts
+        at, pick = at[good], rank[name[good]]
+        won = _winners(pick, nxt[at[:-1]] == at[1:])
+        taken = np.bincount(pick[won], minlength=len(by_count))
+        used = np.flatnonzero(taken >= least)  # never empty: the most frequent pair wins all its places
+        number = np.full(len(by_count), -1)
+        number[used] = np.arange(len(used))
+        won &= number[pick] >= 0
+        where, rule = at[won], number[pick[won]]
+        pairs = ordered[edge[by_count[used]]]
+        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1))
         made.append(len(used))
-        seq[where] = symbol + name[rule]
-        keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        saved = len(seq) - int(keep.sum())
-        seq = seq[keep]
+        gone = nxt[where]
+        sym[where] = symbol + rule
+        nxt[where] = nxt[gone]
+        prv[nxt[where]] = where
+        alive[gone] = live[gone] = False
+        live[where] = True
+        live[prv[where]] = True
         symbol += len(used)
-        if saved < 0.02 * len(seq):
-            break
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), made
+    return sym[alive], np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), made
 
 
 class Expansions:
-    """What each symbol stands for: terminals below first_rule, then rules in the order they were made."""
-
-    def __init__(self, rules: np.ndarray, made: list[int], first_rule: int, end: int, end_id: int):
-        size = max(first_rule, end + 1) if end < first_rule else first_rule
-        self.data = np.arange(size, dtype=np.uint32)
-        self.start = np.arange(size, dtype=np.int64)
-        self.length = np.ones(size, np.int64)
-        at = 0
+    """What each symbol stands for: END, the terminals, then rules in the order they were made."""
+
+    def __init__(self, terminals: np.ndarray, rules: np.ndarray, made: list[int], end_id: int):
+        size = len(terminals) + 1
+        data, start, length = [np.append(np.uint32(end_id), terminals).astype(np.uint32)], np.arange(size), np.ones(size, np.int64)
+        whole, at = data[0], 0
         for n in made:
-            some = rules[at : at + n].astype(np.int64)
-            data, each = gather(self.data, self.start, self.length, some.ravel())
-            length = each.reshape(-1, 2).sum(1)
-            self.start = np.concatenate([self.start, len(self.data) + starts(length)[:-1]])
-            self.length = np.concatenate([self.length, length])
-            self.data = np.concatenate([self.data, data])
+            ids, each = gather(whole, start, length, rules[at : at + n].astype(np.int64).ravel())
+            own = each.reshape(-1, 2).sum(1)
+            start = np.concatenate([start, len(whole) + starts(own)[:-1]])
+            length = np.concatenate([length, own])
+            whole = np.concatenate([whole, ids])
             at += n
-        self.end, self.end_id = end, end_id
+        self.data, self.start, self.length = whole, start, length
 
     def of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of symbols in a row, and how many each gives."""
-        is_end = symbols == self.end
-        ids, n = gather(self.data, self.start, self.length, np.where(is_end, 0, symbols).astype(np.int64))
-        ids[starts(n)[:-1][is_end]] = self.end_id
-        return ids, n
+        return gather(self.data, self.start, self.length, symbols.astype(np.int64))
+
 
+def _code(x: np.ndarray, width: int) -> bytes:
+    """Numbers of 2 or 4 bytes, or of 3: the low two of all, then the high one of all."""
+    if width == 3:
+        return (x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype("u1").tobytes()
+    return x.astype(f"<u{width}").tobytes()
 
-def write(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray, end_id: int, vocabulary: int, rounds: int = 3, per_round: int = 5000, least: int = 4) -> bytes:
-    """One shard's bytes: header, document ids, symbols of each document, rules, rule lengths, sequence.
 
-    counts: ids of each document, the end id included as the last. Symbols take 2 bytes where the vocabulary leaves room
-    for rules below 65535, else 4.
+def write(doc_ids: list[int | None], ids: np.ndarray, counts: np.ndarray, end_id: int, least: int = 5) -> bytes:
+    """One shard's bytes: header, document ids, symbols of each document, terminals, rules, rule lengths, sequence.
+
+    counts: ids of each document, the end id included as the last. A rule costs two symbols and a length, so a pair pays
+    from its fifth place on.
     """
-    wide = vocabulary + 64 > 0xFFFF
-    end = 0xFFFFFFFE if wide else 0xFFFF
-    room = 0xFFFFFFF0 - vocabulary if wide else 0xFFFF - vocabulary
-    seq = ids.astype(np.uint32)
-    last = starts(counts)[1:] - 1
-    inner = seq.copy()
-    inner[last] = vocabulary  # a stand-in that is a small number while rules are sought
-    out, rules, made = build(inner, vocabulary, vocabulary + 1, rounds, min(per_round, (room - 1) // max(1, rounds)), least)
-    ends = np.flatnonzero(out == vocabulary)
-    per_doc = np.diff(np.concatenate([[-1], ends]))
-    lengths = Expansions(rules, made, vocabulary + 1, vocabulary, end_id).length[vocabulary + 1 :]
-    kind = "<u4" if wide else "<u2"
-    head = struct.pack("<4sBIIIIQI", MAGIC, 4 if wide else 2, vocabulary, end_id, len(counts), len(made), len(out), len(rules))
-    out = np.where(out == vocabulary, end, out)
-    return b"".join([head, np.array(made, "<u4").tobytes(), doc_ids.astype("<i8").tobytes(), per_doc.astype("<u4").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), out.astype(kind).tobytes()])
+    last = np.zeros(len(ids), bool)
+    last[starts(counts)[1:] - 1] = True
+    seen = np.zeros(int(ids.max()) + 1, bool)
+    seen[ids[~last]] = True
+    terminals = np.flatnonzero(seen)
+    dense = np.cumsum(seen)
+    out, rules, made = build(np.where(last, END, dense[ids]), len(terminals) + 1, least)
+    per_doc = np.diff(np.concatenate([[-1], np.flatnonzero(out == END)]))
+    size = len(terminals) + 1 + len(rules)
+    width = 2 if size <= 1 << 16 else 3 if size <= 1 << 24 else 4
+    lengths = Expansions(terminals, rules, made, end_id).length[len(terminals) + 1 :]
+    wide = 2 if not len(lengths) or lengths.max() < 1 << 16 else 4
+    null = np.array([x is None for x in doc_ids])
+    names = np.array([0 if x is None else x for x in doc_ids], "<i8")
+    head = struct.pack(HEAD, MAGIC, width, wide, end_id, len(counts), len(made), len(out), len(rules), len(terminals))
+    parts = [np.array(made, "<u4"), np.packbits(null), names, per_doc.astype("<u4"), terminals.astype("<u4")]
+    return b"".join([head, *(x.tobytes() for x in parts), _code(rules.ravel(), width), _code(lengths, wide), _code(out, width)])
 
 
 class Shard:
     """A shard read back; documents decode together or one at a time."""
 
     def __init__(self, raw: bytes):
-        magic, width, vocabulary, end_id, docs, rounds, symbols, rules = struct.unpack_from("<4sBIIIIQI", raw)
+        magic, width, wide, end_id, docs, rounds, symbols, rules, terminals = struct.unpack_from(HEAD, raw)
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        at = struct.calcsize("<4sBIIIIQI")
+        at = struct.calcsize(HEAD)
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -152,14 +181,20 @@ class Shard:
             at += x.nbytes
             return x
 
+        def decode(width: int, n: int) -> np.ndarray:
+            low = take("<u2" if width == 3 else f"<u{width}", n)
+            return low.astype(np.int64) + (take("u1", n).astype(np.int64) << 16) if width == 3 else low
+
         made = take("<u4", rounds).tolist()
+        self.null = np.unpackbits(take("u1", -(-docs // 8)), count=docs).astype(bool)
         self.doc_ids = take("<i8", docs)
         self.symbols_of = take("<u4", docs).astype(np.int64)
-        pairs = take("<u4", 2 * rules).reshape(-1, 2)
-        lengths = take("<u4", rules)
-        self.sequence = take("<u4" if width == 4 else "<u2", symbols)
-        self.expansions = Expansions(pairs, made, vocabulary + 1, 0xFFFFFFFE if width == 4 else 0xFFFF, end_id)
-        if not np.array_equal(self.expansions.length[vocabulary + 1 :], lengths):
+        known = take("<u4", terminals)
+        pairs = decode(width, 2 * rules).reshape(-1, 2)
+        lengths = decode(wide, rules)
+        self.sequence = decode(width, symbols)
+        self.expansions = Expansions(known, pairs, made, end_id)
+        if not np.array_equal(self.expansions.length[terminals + 1 :], lengths):
             raise ValueError("rule lengths don't agree with the rules")
 
     def documents(self) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +205,8 @@ class Shard:
     def document(self, k: int, skip: int = 0, most: int | None = None) -> np.ndarray:
         """Ids skip..skip+most of the k-th document; only the symbols that hold them are expanded."""
         a = int(self.symbols_of[:k].sum())
-        some = self.sequence[a : a + int(self.symbols_of[k])]
-        n = np.where(some == self.expansions.end, 1, self.expansions.length[np.where(some == self.expansions.end, 0, some)])
-        at = starts(n)
+        some = self.sequence[a : a + int(self.symbols_of[k])].astype(np.int64)
+        at = starts(self.expansions.length[some])
         most = int(at[-1]) - skip if most is None else most
         i, j = int(np.searchsorted(at, skip, side="right")) - 1, int(np.searchsorted(at, skip + most, side="left"))
         ids, _ = self.expansions.of(some[max(i, 0) : j])

@@ -4,9 +4,8 @@ Only the histogram of piece lengths, which has `max_tokens` entries however larg
 There `plan_sequences` makes a plan of runs: the pieces of a length with ranks a..b go to sequences s..s+(b-a), at one
 offset. Tasks then look their pieces up in the plan.
 
-1. Reduction. From the longest length down, a piece is fixed together with a partner wherever that set dominates every
-   other set which holds the piece: alone if nothing else fits beside it; with its exact complement; with the largest
-   piece that fits, if no two pieces fit together beside it or no two together hold more than that one does.
+1. Reduction. From the longest length down, a piece is fixed in a set of up to three wherever that set dominates every
+   other set which holds the piece, so an optimal packing with that set exists: see dominant_set().
 2. Best fit, longest first, on what remains: each piece goes to the fullest sequence that can take it.
 """
 
@@ -74,6 +73,43 @@ def pieces_of(docs: DataFrame, file: str, max_tokens: int = 2048, end_id: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
 
+def dominant_set(left: np.ndarray, w: int) -> tuple[int, ...] | None:
+    """What goes beside a piece of length w in a set that dominates every other set with that piece; None if none is known.
+
+    left: how many pieces of each length there are. A set dominates another if its pieces can be matched with groups of
+    the other's that are no longer. So it is enough to look at what fits beside w: nothing; one piece at most, of which
+    the longest dominates; or two at most, where the longest dominates if it is as long as any two together, and it and
+    the longest beside it do if no two that fit have a longer second one. An exact complement dominates always.
+    """
+    room = len(left) - 1 - w
+    own = left[: room + 1].copy()
+    if w <= room:
+        own[w] -= 1  # this piece itself is no partner
+    some = np.flatnonzero(own)
+    if not len(some):
+        return ()
+    longest = int(some[-1])
+    low = np.repeat(some[:3], np.minimum(own[some[:3]], 3))[:3].tolist()
+    if longest == room or len(low) < 2 or low[0] + low[1] > room:
+        return (longest,)
+    if len(low) == 3 and sum(low) <= room:
+        return None
+    # the longest piece beside each as the shorter of two, and beside each as the longer
+    k = np.searchsorted(some, room - some, side="right") - 1
+    k = np.where((k >= 0) & (some[k] == some) & (own[some] < 2), k - 1, k)
+    sums = np.where(k >= 0, some + some[k], 0)
+    if sums.max() <= longest:
+        return (longest,)
+    second = room - longest
+    beside = some[(some <= second) & ((some != longest) | (own[some] > 1))]
+    if not len(beside):
+        return None
+    above = np.where(own[some] > 1, some, np.append(some[1:], len(left)))  # the least other piece that is no shorter
+    if some[some + above <= room].max(initial=0) <= beside[-1]:
+        return (longest, int(beside[-1]))
+    return None
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int) -> np.ndarray:
     """Rows (length, first rank, last rank + 1, first sequence, offset) that place every piece of the histogram."""
     left = np.zeros(capacity + 1, np.int64)
@@ -88,32 +124,18 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> np.ndarray:
         rows.append((w, a, a + n, at, offset))
         left[w] -= n
 
-    def smallest_two() -> tuple[int, int]:
-        some = np.flatnonzero(left)
-        if not len(some):
-            return capacity + 1, capacity + 1
-        return int(some[0]), int(some[0] if left[some[0]] > 1 else some[1] if len(some) > 1 else capacity + 1)
-
     again = True
     while again:  # what one pass fixes can make further sets dominant
         again = False
         for w in range(capacity, 0, -1):
-            while left[w]:
-                room = capacity - w
-                left[w] -= 1  # this piece itself is no partner
-                low, next_low = smallest_two()
-                fits = np.flatnonzero(left[: room + 1])
-                left[w] += 1
-                if low > room:
-                    n, partner = int(left[w]), 0
-                else:
-                    partner = int(fits[-1])
-                    if partner < room and low + next_low <= room and most_of_two(left, w, room) > partner:
-                        break
-                    n = int(left[w]) // 2 if partner == w else int(min(left[w], left[partner]))
-                put(w, n, opened, 0)
-                if partner:
-                    put(partner, n, opened, w)
+            while left[w] and (beside := dominant_set(left, w)) is not None:
+                fixed = (w, *beside)
+                # fewer pieces leave fewer sets to dominate, so the set stays dominant while its pieces last
+                n = min(int(left[x]) // fixed.count(x) for x in fixed)
+                at = 0
+                for x in fixed:
+                    put(x, n, opened, at)
+                    at += x
                 opened += n
                 again = True
 
@@ -149,22 +171,6 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def most_of_two(left: np.ndarray, w: int, room: int) -> int:
-    """The most that two pieces beside one of length w hold together within room; 0 if no two fit."""
-    left[w] -= 1
-    some = np.flatnonzero(left[: room + 1])
-    best = 0
-    if len(some):
-        b = np.searchsorted(some, room - some, side="right") - 1
-        for a, k in zip(some.tolist(), b.tolist(), strict=True):
-            while k >= 0 and some[k] == a and left[a] < 2:
-                k -= 1
-            if k >= 0:
-                best = max(best, a + int(some[k]))
-    left[w] += 1
-    return best
-
-
 def place_pieces(pieces: DataFrame, max_tokens: int = 2048) -> DataFrame:
     """Add sequence_id and offset to the pieces of pieces_of(); reads them twice, so pass a settled table."""
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

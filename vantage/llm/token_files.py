@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,8 @@ ROWS = "part int, doc_id long, start long, n_tokens long, ids_crc32 long"
 def token_ids(docs: DataFrame, file: str, cuts: Broadcast) -> DataFrame:
     """(part, doc_id, ids): the ids of each text as little-endian numbers of 16 bits where the vocabulary allows, else 32.
 
-    part: how many of the cuts are below doc_id; 0 for a null one.
+    part: how many of the cuts are below doc_id; 0 for a null one. The rows of a doc_id that is several cuts are dealt by
+    hash to the parts on both sides of these.
     """
 
     def encode(batches):
@@ -34,7 +36,11 @@ def token_ids(docs: DataFrame, file: str, cuts: Broadcast) -> DataFrame:
             raw = pa.py_buffer(ids.astype(kind).tobytes())
             column = pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(at.tobytes()), raw])
             doc_id = batch.column("doc_id")
-            part = np.searchsorted(cuts.value, doc_id.fill_null(np.iinfo(np.int64).min).to_numpy(), side="left")
+            names = doc_id.fill_null(np.iinfo(np.int64).min).to_numpy()
+            low, high = (np.searchsorted(cuts.value, names, side=side) for side in ("left", "right"))
+            part = np.where(doc_id.is_null(), 0, low)
+            for k in np.flatnonzero((high - low > 1) & doc_id.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                part[k] = low[k] + xxhash.xxh3_64_intdigest(column[k].as_buffer()) % int(high[k] - low[k] + 1)
             yield pa.record_batch({"part": pa.array(part, pa.int32()), "doc_id": doc_id, "ids": column.cast(pa.binary())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "part int, doc_id long, ids binary")
@@ -44,27 +50,26 @@ def id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 0xFFFF else "<u4"
 
 
-def write_files(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int = 1_000_000, rounds: int = 3) -> DataFrame:
+def write_files(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int = 1_000_000) -> DataFrame:
     """Write the token files of docs and return them as a table of shards, in the order (part, shard).
 
     Parts are ranges of doc_id with about equal numbers of documents, cut at quantiles of that column; a part's task
-    gathers at most about shard_tokens ids before it writes a shard. Rows that share a doc_id stay together, ordered by
-    their ids. A null doc_id comes first. The shards lie in the shared folder as Parquet rows, so Spark's writers commit
+    gathers at most about shard_tokens ids before it writes a shard. Rows that share a doc_id follow each other in any
+    order. A null doc_id comes first. The shards lie in the shared folder as Parquet rows, so Spark's writers commit
     them and any reader finds them.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)], F.lit(10_000)) if parts > 1 else F.lit(None)).first()[0]
-    cuts = np.array(sorted(set(cuts or [])), np.int64)
-    vocabulary = tokenizer(file).library.get_vocab_size()
-    kind = id_type(vocabulary)
+    cuts = np.array(cuts or [], np.int64)
+    kind = id_type(tokenizer(file).library.get_vocab_size())
 
     def shards(batches):
         at_part, ids, names, counts, held, total, number = None, [], [], [], 0, 0, 0
 
         def flush():
             nonlocal ids, names, counts, held, total, number
-            raw = grammar.write(np.array(names, np.int64), np.concatenate(ids), np.array(counts, np.int64), end_id, vocabulary, rounds)
+            raw = grammar.write(names, np.concatenate(ids), np.array(counts, np.int64), end_id)
             out = pa.record_batch({"part": pa.array([at_part], pa.int32()), "shard": pa.array([number], pa.int32()), "part_start": pa.array([total], pa.int64()), "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "payload": pa.array([raw], pa.binary())})
             ids, names, counts, total, number, held = [], [], [], total + held, number + 1, 0
             return out
@@ -78,7 +83,7 @@ def write_files(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int =
                 x = np.frombuffer(raw.as_buffer(), kind)
                 ids.append(x)
                 ids.append(np.array([end_id], kind))
-                names.append(np.iinfo(np.int64).min if doc_id is None else doc_id)
+                names.append(doc_id)
                 counts.append(len(x) + 1)
                 held += len(x) + 1
         if held:
@@ -110,7 +115,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 yield pa.record_batch(
                     {
                         "part": pa.array(np.full(len(n), part), pa.int32()),
-                        "doc_id": pa.array(shard.doc_ids, pa.int64(), mask=shard.doc_ids == np.iinfo(np.int64).min),
+                        "doc_id": pa.array(shard.doc_ids, pa.int64(), mask=shard.null),
                         "start": pa.array(at[:-1] + part_start, pa.int64()),
                         "n_tokens": pa.array(n, pa.int64()),
                         "ids_crc32": pa.array(crc, pa.int64()),
@@ -124,7 +129,7 @@ def read_files(files: DataFrame) -> DataFrame:
 def encode_and_read(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: int = 1_000_000) -> DataFrame:
     """Write docs as token files and read them back.
 
-    Cases: a null or empty text holds the end id alone; repeated rows follow each other; a null doc_id comes first and
+    Cases: a null or empty text holds the end id alone; repeated rows follow each other, and the rows of one doc_id may lie in several parts; a null doc_id comes first and
     stays null; an empty table gives no rows; columns other than doc_id and text are ignored.
     """
     return read_files(write_files(docs, file, end_id, shard_tokens))

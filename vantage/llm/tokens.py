@@ -1,13 +1,15 @@
-"""Token ids of many texts by a public tokenizer of the word kind: one library call for each distinct word.
+"""Token ids of many texts by a public tokenizer of the word kind: one library call for each distinct piece.
 
 White space separates words for this tokenizer whatever stands around it, and within a word its letters form one
 piece and the punctuation before and after them one piece each. So a text's ids are the ids of its pieces in a row.
-Pieces of Latin letters and ASCII punctuation are looked up one by one; any other word goes to the library whole.
+Pieces of Latin letters and ASCII punctuation are looked up one by one; any other word goes to the library whole. A piece
+of lower-case letters needs no normalizing or splitting, so the library's model merges it at once.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +20,17 @@ from vantage.llm.arrays import gather, list_parts, starts
 _PUNCT = r"[!-&(-/:;=>?@\[-`{}~]"
 _WORD = rf"^(?P<lead>{_PUNCT}*)(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>{_PUNCT}*)$"
 _PLAIN = "^[a-zß-öø-ÿ]+$"
-_TOGETHER = 512
+_SPECIAL = r"<\|(startoftext|endoftext)\|>"
+# the library's spelling of the UTF-8 bytes of the letters above: bytes that print stand for themselves, the others follow from U+0100 on
+_PRINT = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE = {b: chr(b) for b in _PRINT} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINT)}
+_AS_BYTES = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in range(0xDF, 0x100)}
 
 
 class WordTokenizer:
     """Encodes Arrow text arrays; keeps the ids of up to `limit` distinct pieces."""
 
-    def __init__(self, file: str, limit: int = 250_000):
+    def __init__(self, file: str, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,14 +62,11 @@ class WordTokenizer:
         plain = pc.match_substring_regex(pa.array(pieces, pa.large_string()), _PLAIN).to_numpy(zero_copy_only=False)
         words = [p for p, x in zip(pieces, plain, strict=True) if x]
         rest = [p for p, x in zip(pieces, plain, strict=True) if not x]
-        for at in range(0, len(words), _TOGETHER):
-            some = words[at : at + _TOGETHER]
-            coded = self.library.encode(" ".join(some), add_special_tokens=False)
-            lengths = np.bincount(np.array(coded.word_ids, np.int64), minlength=len(some))
-            self._keep(some, lengths, np.array(coded.ids, np.uint32))
-        if rest:
-            coded = [x.ids for x in self.library.encode_batch(rest, add_special_tokens=False)]
-            self._keep(rest, np.array([len(x) for x in coded], np.int64), np.array([i for x in coded for i in x], np.uint32))
+        merge = self.library.model.tokenize
+        coded = [[t.id for t in merge(w if w.isascii() else w.translate(_AS_BYTES))] for w in words]
+        coded += [x.ids for x in self.library.encode_batch(rest, add_special_tokens=False)] if rest else []
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        self._keep(words + rest, lengths, np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each text, and all ids in a row."""
@@ -73,11 +76,11 @@ class WordTokenizer:
         coded = flat.dictionary_encode()
         chunks = coded.dictionary
         parts = pc.extract_regex(chunks, _WORD)
-        fits = pc.is_valid(parts)
+        fits = pc.and_not(pc.is_valid(parts), pc.match_substring_regex(chunks, _SPECIAL))
         word = pc.if_else(fits, pc.utf8_lower(parts.field("word")), chunks)
         lead, tail = (pc.if_else(fits, parts.field(x), "") for x in ("lead", "tail"))
         pieces = pa.concat_arrays([lead, word, tail]).dictionary_encode()
-        names = pieces.dictionary.to_pylist()
+        names = pieces.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) + len(names) > self.limit:
             self._clear()
         missing = [x for x in names if x not in self.known]
