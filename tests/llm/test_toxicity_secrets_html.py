@@ -1,6 +1,9 @@
 import hashlib
 import random
 import re
+import time
+
+import pytest
 
 from tests.llm.data import docs, plain, rows, words
 from vantage.llm import html_text, secrets, toxicity
@@ -104,3 +107,56 @@ def test_class_words_do_not_overrule_the_scores():
         assert html_text.main_text(f'<body>{menu}<div class="{name}">{body}{ad}</div>{talk}</body>') == want
     first, rest = body[: body.index("<p>Sentence 3")], body[body.index("<p>Sentence 3") :]
     assert html_text.main_text(f'<body>{menu}<div class=post>{first}<section id="related-work">{rest}</section>{ad}</div>{talk}</body>') == want
+
+
+def made_words(n, seed):
+    return " ".join(f"w{(seed * 7919 + k * 31) % 997}" for k in range(n))
+
+
+def plain_page(k):
+    """A page without telling tags or names: links, a short claim, paragraphs, short lines at the end."""
+    paragraphs = [f"{made_words(25, k + j)}, {made_words(10, k)}. {made_words(8, j)}, and {made_words(6, j)}." for j in range(3 + k % 4)]
+    links = "".join(f'<div class="r2"><a href="/{j}">{made_words(2, j)}</a></div>' for j in range(5 + k % 5))
+    more = "".join(f'<div class="r7">{made_words(3, j)}</div>' for j in range(4))
+    body = "".join(f"<p>{x}</p>" for x in paragraphs)
+    title = made_words(6, k)
+    return f'<html><body><div class="r1">{links}</div><div class="r3"><h2>{title}</h2>{body}</div><div class="r5">{more}</div></body></html>', " ".join([title, *paragraphs])
+
+
+def test_ratios_alone_find_articles_in_plain_pages():
+    pages = [plain_page(k) for k in range(30)]
+    assert all(html_text.main_text(page) == want for page, want in pages)
+    # without the ratios the short lines stay
+    assert not any(html_text.main_text(page, share=0.0) == want for page, want in pages)
+
+
+def brute_ratios(nodes):
+    paths = list(dict.fromkeys(n.path for n, _ in nodes))
+    own = [[(n, t) for n, t in nodes if n.path == p] for p in paths]
+    text = [sum(max(0, len(t) - n.linked) for n, t in some) / len(some) for some in own]
+    mark = [sum(c in ".,;:!?…。、，！？；：" for _, t in some for c in t) / len(some) for some in own]
+
+    def smooth(x, k):
+        return (x[k] + 0.1 * x[max(0, k - 1)] + 0.1 * x[min(len(x) - 1, k + 1)]) / 1.2
+
+    linked = [sum(min(len(t), n.linked) for n, t in some) / len(some) for some in own]
+    return {p: (smooth(text, k) * (1 + smooth(mark, k))) ** 0.5 if text[k] > linked[k] else 0.0 for k, p in enumerate(paths)}
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_path_scores_equal_their_definition(k):
+    nodes = [(n, t) for n in html_text.text_nodes(plain_page(k)[0])[0] if (t := " ".join("".join(n.parts).split()))]
+    assert html_text.ratios(nodes) == pytest.approx(brute_ratios(nodes))
+
+
+def test_pages_without_an_article_and_regions_by_tag():
+    assert html_text.main_text("<body><nav><a href=x>One</a></nav><footer>All rights, of all, are kept. Yes.</footer></body>") == ""
+    page = "<body><form><nav><a href=x>Menu</a></nav><div class=m><h1>Head</h1><p>One, two, three and four. Five, six.</p><p>Short.</p></div><aside>Old notes, of old days.</aside></form></body>"
+    assert html_text.main_text(page) == "Head One, two, three and four. Five, six. Short."
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, "<div>x" * 150_000, "<b>" + "<div>" * 100_000 + "</b>" * 100_000, "<b>x" * 100_000 + "<li>y" * 100_000, '<a x=">>>' * 100_000, "<!--" * 250_000])
+def test_hostile_pages_take_time_in_proportion(page):
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 15
