@@ -45,6 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column."""
+    taken = {x.lower() for x in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def settle(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
