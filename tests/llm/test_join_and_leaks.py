@@ -1,7 +1,12 @@
 import random
 import re
+import time
 from collections import defaultdict
 
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from tests.llm.data import docs, plain, rows, words
 from vantage.llm import decontamination, ngram_join
 
@@ -113,6 +118,55 @@ def test_leaks_with_edits_are_found(spark):
     assert sorted(x.doc_id for x in kept.collect()) == list(range(60, 60 + len(clean)))
 
 
+def places(item, text, most):
+    """Ends of every place of item in text within `most` edits, by plain alignment with a free start."""
+    row = list(range(len(item) + 1))
+    out = []
+    for j, d in enumerate(text, 1):
+        new = [0]
+        for k, c in enumerate(item, 1):
+            new.append(min(row[k] + 1, new[-1] + 1, row[k - 1] + (c != d)))
+        row = new
+        if row[-1] <= most:
+            out.append(j)
+    return out
+
+
+def scan(item, text):
+    items = decontamination.Items([(1, item)], 0.06)
+    codes = decontamination.fold(text)
+    return decontamination.regions(np.concatenate([codes, np.zeros(decontamination.Q, np.uint32)]), np.array([0, len(codes) + decontamination.Q]), items)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 10**9), st.sampled_from(["ab", "abcdefgh", "a"]), st.integers(17, 60), st.booleans())
+def test_no_place_is_missed_and_none_made_up(seed, letters, size, repeat):
+    r = random.Random(seed)
+    item = "".join(r.choice(letters) for _ in range(size))
+    item = (item[:3] * size)[:size] if repeat else item
+    text = "".join(r.choice(letters) for _ in range(r.randint(0, 80)))
+    for _ in range(r.randint(0, 3)):
+        x = list(item)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(x))
+            x[k : k + r.randint(0, 1)] = r.choice(["", "z", "a"])
+        text += "".join(x) + "".join(r.choice(letters) for _ in range(r.randint(0, 30)))
+    most = int(0.06 * len(item))
+    want, found = places(item, text, most), scan(item, text)
+    assert bool(want) == bool(found)
+    for _, _, a, z, edits in found:
+        assert plain_edits(item, text[a:z]) == edits <= most
+    loose = decontamination.Items([(1, item)], 0.06).loose[0]
+    for end in want:  # every place overlaps one that is reported, or in a repetitive text lies near it
+        assert any(abs(z - end) <= (3 if loose else 1) * (len(item) + most) for _, _, a, z, _ in found)
+
+
+def test_repetitive_texts_take_time_in_proportion():
+    start = time.process_time()
+    found = scan("ab" * 150, "ab" * 250_000)
+    assert found and time.process_time() - start < 60
+
+
 def test_leaks_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.find_leaks(docs(spark), bench).count() == 0

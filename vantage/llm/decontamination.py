@@ -6,7 +6,12 @@ that place, and all these hits lie on neighbouring diagonals (text position minu
 1. Every q-gram of a text is looked up among the items' q-grams; hits are counted in overlapping bands of diagonals, wide
    enough that some band holds all hits of an occurrence.
 2. Bands whose count meets the bound are kept; no occurrence within the edit budget can be lost.
-3. A banded alignment of the item against that part of the text verifies each and finds its place and its edits.
+3. A banded alignment of the item against that part of the text, only on the diagonals of the band and the edits beside
+   it, verifies each and finds its place and its edits.
+
+Items that repeat a q-gram often (a row of dashes) would give a hit for each repeat at every position, so for them hits
+count once a position, in overlapping windows of the text instead of bands: the lemma holds there too, and every
+occurrence lies whole in some window.
 
 Texts and items are compared letter by letter, lower-cased, any white space as a space, so places are code points of the
 original. Items reach tasks in slices of bounded size; every slice scans all documents.
@@ -23,6 +28,7 @@ from vantage.llm.arrays import U64, gather, mix, slices, starts, texts
 
 Q = 8
 TABLE_BITS = 22
+REPEATS = 4  # an item that holds one q-gram more often is counted in windows
 MATCHES = "doc_id long, item_id long, start int, end int, edits int, item_chars int"
 _FOLD = np.arange(0x500, dtype=np.uint32)
 for _c in range(0x500):
@@ -63,14 +69,17 @@ class Items:
                 self.ids.append(item_id)
                 self.codes.append(x)
         self.size = np.array([len(x) for x in self.codes], np.int64)
-        # the budget, lowered for short items so that the bound stays positive
-        self.edits = np.minimum((rate * self.size).astype(np.int64), np.maximum(0, (self.size - 2 * Q) // Q))
-        self.least = self.size + 1 - Q * (self.edits + 1)
-        self.width = np.int64(1) << np.ceil(np.log2(np.maximum(self.edits, 16))).astype(np.int64) if len(self.size) else self.size
+        self.edits = (rate * self.size).astype(np.int64)
+        self.least = self.size + 1 - Q * (self.edits + 1)  # at least 1: see find_leaks()
         hashes = [grams(x) for x in self.codes]
+        self.loose = np.array([np.unique(h, return_counts=True)[1].max() > REPEATS for h in hashes], bool)
+        hashes = [np.unique(h) if loose else h for h, loose in zip(hashes, self.loose, strict=True)]
+        self.width = np.int64(1) << np.ceil(np.log2(np.maximum(self.edits, 16))).astype(np.int64) if len(self.size) else self.size
+        self.width = np.where(self.loose, self.size + self.edits, self.width)
         flat = np.concatenate(hashes) if hashes else np.zeros(0, U64)
         item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes]) if hashes else np.zeros(0, np.int64)
         at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.zeros(0, np.int64)
+        at[self.loose[item] if len(item) else []] = 0
         order = np.argsort(flat, kind="stable")
         self.keys, first, self.many = np.unique(flat[order], return_index=True, return_counts=True)
         self.first, self.item, self.at = first.astype(np.int64), item[order], at[order]
@@ -78,7 +87,7 @@ class Items:
         self.table[(self.keys >> U64(64 - TABLE_BITS)).astype(np.int64)] = True
 
     def hits(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text position, item, item position) of all shared q-grams."""
+        """(text position, item, item position) of all shared q-grams; item position 0 for items counted in windows."""
         maybe = np.flatnonzero(self.table[(hashed >> U64(64 - TABLE_BITS)).astype(np.int64)])
         k = np.searchsorted(self.keys, hashed[maybe])
         k[k == len(self.keys)] = 0
@@ -88,32 +97,53 @@ class Items:
         return np.repeat(at, n), self.item[rows], self.at[rows]
 
 
-def align(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the best place of item in text, if within `most` edits.
+def _banded(item: np.ndarray, window: np.ndarray, row: np.ndarray, most: int) -> np.ndarray:
+    """Edits of the item against each window on each diagonal of the band, from the costs `row` to start there.
 
-    Row by row over the item with free ends in the text; what inserting costs along a row is a running minimum. The
-    start comes from the same alignment of both reversed, from the end found.
+    Column d of the result is diagonal d: it ends at window position d + len(item). What inserting costs along a row is a
+    running minimum.
     """
-
-    def ends(a: np.ndarray, b: np.ndarray, free: bool) -> np.ndarray:
-        step = np.arange(len(b) + 1)
-        row = np.zeros(len(b) + 1, np.int64) if free else step.astype(np.int64)
-        for k, c in enumerate(a.tolist(), 1):
-            best = np.minimum(row[1:] + 1, row[:-1] + (b != c))
-            new = np.concatenate([[k], best])
-            row = np.minimum.accumulate(new - step) + step
-            if row.min() > most:
-                break
-        return row
-
-    row = ends(item, text, True)
-    if row.min() > most:
-        return None
-    end = int(np.argmin(row))
-    edits = int(row[end])
-    back = ends(item[::-1], text[max(0, end - len(item) - most) : end][::-1], False)
-    start = end - int(np.flatnonzero(back == back.min())[0])
-    return start, end, edits
+    wide = row.shape[1]
+    step = np.arange(wide, dtype=np.int32)
+    for k, c in enumerate(item.tolist()):
+        new = row + (window[:, k : k + wide] != c)
+        np.minimum(new[:, :-1], row[:, 1:] + 1, out=new[:, :-1])
+        row = np.minimum.accumulate(new - step, axis=1) + step
+        if k % 32 == 31 and row.min() > most:
+            break
+    return row
+
+
+def align(item: np.ndarray, codes: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray, wide: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, edits) of the best place of item that starts on diagonals low to low + wide, for each of many texts.
+
+    Texts are codes[begin:end]; start is -1 where no place is within `most` edits. Beyond a text's ends stands a code that
+    equals none, which costs as much as leaving the item's letter out.
+    """
+    first, last, edits = np.full(len(low), -1), np.full(len(low), -1), np.full(len(low), most + 1)
+    m, width = len(item), wide + 2 * most + 1
+    nothing = np.uint32(0xFFFFFFFF)
+
+    def window(at: np.ndarray, step: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        place = at[:, None] + step
+        return np.where((place >= a[:, None]) & (place < z[:, None]), codes[np.clip(place, 0, len(codes) - 1)], nothing)
+
+    together = max(1, 2_000_000 // (m + width))
+    for k in range(0, len(low), together):
+        some = slice(k, k + together)
+        row = _banded(item, window(low[some] - most, np.arange(m + width), begin[some], end[some]), np.zeros((len(low[some]), width), np.int32), most)
+        edits[some] = row.min(1)
+        last[some] = low[some] - most + row.argmin(1) + m
+        good = np.flatnonzero(edits[some] <= most) + k
+        if not len(good):
+            continue
+        stop = last[good]
+        apart = np.arange(-most, most + 1, dtype=np.int32)
+        row = np.broadcast_to(np.where(apart >= 0, apart, 2 * m + 1), (len(good), len(apart))).astype(np.int32)
+        row = _banded(item[::-1], window(stop - 1 + most, -np.arange(m + len(apart)), begin[good], end[good]), row, 2 * m)
+        first[good] = np.maximum(stop - m - apart[row.argmin(1)], begin[good])
+        last[good] = np.minimum(stop, end[good])
+    return first, last, edits
 
 
 def regions(codes: np.ndarray, bounds: np.ndarray, items: Items) -> list[tuple[int, int, int, int, int]]:
@@ -127,29 +157,29 @@ def regions(codes: np.ndarray, bounds: np.ndarray, items: Items) -> list[tuple[i
     # a document's texts are apart, so a band belongs to the document of its hits
     doc = np.searchsorted(bounds, at, side="right") - 1
     width = items.width[item]
-    shifted = at - inner + 2 * int(items.size.max())
+    shift = 2 * int(items.size.max())
+    shifted = at - inner + shift
     band = shifted // width
-    early = shifted % width < items.edits[item]
+    early = items.loose[item] | (shifted % width < items.edits[item])  # windows reach two steps far
     doc, item, band = (np.concatenate([x, y[early]]) for x, y in ((doc, doc), (item, item), (band, band - 1)))
     order = np.lexsort((band, item, doc))
     doc, item, band = doc[order], item[order], band[order]
     edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]))
     count = np.diff(np.append(edge, len(doc)))
     kept = edge[count >= items.least[item[edge]]]
+    doc, item, band = doc[kept], item[kept], band[kept]
+    first, last, edits = np.full(len(doc), -1), np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+    begin, end = bounds[doc], bounds[doc + 1] - Q
+    for i in np.unique(item).tolist():
+        own = np.flatnonzero(item == i)
+        most, wide = int(items.edits[i]), int(items.width[i])
+        first[own], last[own], edits[own] = align(items.codes[i], codes, band[own] * wide - shift, begin[own], end[own], wide + most, most)
     found: list[tuple[int, int, int, int, int]] = []
-    for d, i, b in zip(doc[kept].tolist(), item[kept].tolist(), band[kept].tolist(), strict=True):
-        low = b * int(items.width[i]) - 2 * int(items.size.max())
-        begin, end = int(bounds[d]), int(bounds[d + 1]) - Q
-        most, size = int(items.edits[i]), int(items.size[i])
-        a = max(begin, low - most)
-        z = min(end, low + int(items.width[i]) + 2 * most + size)
-        place = align(items.codes[i], codes[a:z], most)
-        if place is None:
-            continue
-        row = (d, i, a + place[0] - begin, a + place[1] - begin, place[2])
-        last = found[-1] if found else None
-        if last and last[:2] == row[:2] and row[2] < last[3]:
-            found[-1] = min(last, row, key=lambda x: x[4])
+    good = np.flatnonzero(first >= 0)
+    for row in zip(*(x[good].tolist() for x in (doc, item, first - begin, last - begin, edits)), strict=True):
+        before = found[-1] if found else None
+        if before and before[:2] == row[:2] and row[2] < before[3]:
+            found[-1] = min(before, row, key=lambda x: x[4])
         else:
             found.append(row)
     return found
@@ -158,11 +188,14 @@ def regions(codes: np.ndarray, bounds: np.ndarray, items: Items) -> list[tuple[i
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, slice_chars: int = 8 << 20) -> DataFrame:
     """One row for each place where a benchmark item occurs in a document: (doc_id, item_id, start, end, edits, item_chars).
 
-    rate: edits allowed per character of the item. Cases: null or empty texts have no places; items of fewer than 8
-    characters after white space is squeezed are too short to tell and have none; items of fewer than 24 characters occur
-    only without edits; an item that occurs again without overlap has a row for each; repeated rows count each; an empty
-    table gives no rows; columns other than doc_id, item_id and text are ignored. doc_id and item_id may be null.
+    rate: edits allowed per character of the item, at most 1/16, so that the lemma's bound is positive for every item.
+    Cases: null or empty texts have no places; items of fewer than 8 characters after white space is squeezed are too short
+    to tell and have none; an item that occurs again without overlap has a row for each; places of an item that
+    overlap are one, and an item that repeats itself has one a window of twice its length; repeated rows count each; an empty table gives no rows; columns other than doc_id, item_id
+    and text are ignored. doc_id and item_id may be null.
     """
+    if not 0 <= rate <= 0.5 / Q:
+        raise ValueError(f"rate must be between 0 and {0.5 / Q}")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = bench.agg(F.sum(F.length("text"))).first()[0] or 0
