@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, part int, score2 double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, part int, score double, __text string, marked binary, hash string, _hash long"
 
 
 def words(n: int, seed: int) -> str:
@@ -19,7 +19,7 @@ def rows() -> list[tuple]:
     for k in range(10, 40):
         out[k] = f"{words(30, k)}\n{common if k % 2 else common.upper() + '  '}\n{words(12, k + 1000)}"
     out[40] = words(40, 3) + " extra"
-    return [(k, t, "en", "src", None if t is None else len(t), "clash", 7, 0.5) for k, t in out.items()] + [(3, out[3], "en", "src", 1, "clash", 7, 0.5)]
+    return [(k, t, "en", "src", None if t is None else len(t), "clash", 7, 0.5, "t", b"m", "h", 3) for k, t in out.items()] + [(3, out[3], "en", "src", 1, "clash", 7, 0.5, "t", b"m", "h", 3)]
 
 
 def docs(spark, some=None):

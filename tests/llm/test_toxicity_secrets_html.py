@@ -21,7 +21,7 @@ def test_toxicity_on_held_out_rows(spark):
         texts.append(" ".join(w))
         labels.append((k, int(bad)))
     texts += [None, "", texts[0]]
-    own = spark.createDataFrame([(k, t, 0.1) for k, t in enumerate(texts)], "doc_id long, text string, toxic double")
+    own = spark.createDataFrame([(k, t, 0.1, 9) for k, t in enumerate(texts)], "doc_id long, text string, toxic double, score int")
     marks = spark.createDataFrame([(*x, "clash") for x in labels] + [(5, None, ""), (10**9, 1, "")], "doc_id long, toxic int, text string")
     found = {x.doc_id: x for x in toxicity.judge(own, marks).collect()}
     assert len(found) == len(texts)
@@ -30,7 +30,9 @@ def test_toxicity_on_held_out_rows(spark):
     assert found[1500].score == found[1501].score and found[1502].score == found[0].score
     assert all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in found.values())
     kept = toxicity.drop_toxic(own, marks)
-    assert kept.columns == own.columns and kept.count() == sum(not x.predicted for x in found.values())
+    with pytest.raises(ValueError, match="score"):
+        toxicity.score(own, marks)
+    assert kept.columns == own.columns and {r.score for r in kept.collect()} == {9} and kept.count() == sum(not x.predicted for x in found.values())
 
 
 def test_toxicity_without_labels_or_rows(spark):

@@ -20,7 +20,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(words):
         return np.zeros(len(texts), np.int64), np.zeros(0, U64)
     coded = words.dictionary_encode()
-    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    names = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in names), U64, len(names))
     codes = coded.indices.to_numpy(zero_copy_only=False)
     if b"" in names:  # a text without words splits into one empty piece
