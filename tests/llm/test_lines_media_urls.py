@@ -19,7 +19,7 @@ def key(line):
 @pytest.mark.parametrize("wave", [1, 64 << 20])
 def test_lines_against_counting(spark, wave, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 1 if wave == 1 else 1000)
-    some = rows() + [(100 + k, "a\nSECOND\n b", "en", "s", 1, "x", 1, 0.0) for k in range(12)]
+    some = rows() + [(100 + k, "a\nSECOND\n b", "en", "s", 1, "x", 1, 0.0, "t", b"m", "h", 3) for k in range(12)]
     in_docs = Counter()
     for _, t, *_ in some:
         in_docs.update({key(x) for x in (t or "").split("\n")} - {""})

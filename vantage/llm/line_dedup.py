@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from vantage.llm.arrays import U64, list_parts, slices, starts, texts
 from vantage.llm.mph import Index, build
-from vantage.runtime import settle
+from vantage.runtime import settle, unused
 
 SPACE = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 100_000
@@ -32,7 +32,7 @@ SHARD_KEYS = 100_000
 def line_keys(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the lines into distinct keys, and the hash of each key as 2 numbers; code -1: the key is empty."""
     coded = pc.ascii_lower(pc.ascii_trim(lines, characters=SPACE)).dictionary_encode()
-    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    names = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
     hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, names)), "<u8").reshape(-1, 2)
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     empty = np.array([not x for x in names], bool)
@@ -86,7 +86,8 @@ def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: in
         held += size
     total = sizes[0][2] if sizes else 1
     spark = docs.sparkSession
-    docs = docs.withColumn("__marked", F.lit(None).cast("binary"))
+    marked = unused(docs, "marked")
+    docs = docs.withColumn(marked, F.lit(None).cast("binary"))
     between = docs.schema
     for k, wave in enumerate(waves):
         given = spark.sparkContext.broadcast([(r.shard, bytes(r.payload)) for r in arrays.filter(F.col("shard").isin(wave)).select("shard", "payload").collect()] if wave else [])
@@ -102,14 +103,14 @@ def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: in
                     at = np.flatnonzero(of == shard)
                     common[at] = index.count(hashes[at]) >= min_docs
                 mark = common[codes].astype(np.uint8)  # code -1 reads the last entry, which stays false
-                before = batch.column("__marked")
+                before = batch.column(marked)
                 if before.null_count < len(before):
                     mark |= np.frombuffer(b"".join(before.to_pylist()), np.uint8)
                 raw, at = mark.tobytes(), starts(per_doc).tolist()
                 marks = [raw[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
-                names = [x for x in batch.schema.names if x != "__marked"]
+                names = [x for x in batch.schema.names if x != marked]
                 plain = batch.select(names)
-                yield finish(plain, marks) if last else pa.record_batch([*plain.columns, pa.array(marks, pa.binary())], names=[*names, "__marked"])
+                yield finish(plain, marks) if last else pa.record_batch([*plain.columns, pa.array(marks, pa.binary())], names=[*names, marked])
 
         if k:
             docs = settle(docs, "line_marks")
