@@ -1,6 +1,8 @@
 import corpus_pipeline
 
-from tests.llm.data import words
+from tests.llm.data import docs as odd_docs
+from tests.llm.data import rows, words
+from vantage.runtime import settle
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,7 +24,7 @@ def test_stages_act_and_keep_clean_documents(spark, tmp_path):
     now = spark.read.parquet(f"{base}/documents.parquet")
     ids = lambda d: sorted(r.doc_id for r in d.collect())
     for name in list(steps)[:-1]:
-        before, now = now, steps[name](spark, now, base).localCheckpoint()  # in a test on one machine
+        before, now = now, settle(steps[name](spark, now, base), name)
         assert now.columns == [c.split()[0] for c in COLUMNS.split(", ")]
         if name == "toxicity":
             gone = set(ids(before)) - set(ids(now))
@@ -37,3 +39,19 @@ def test_stages_act_and_keep_clean_documents(spark, tmp_path):
     packed = steps["packing"](spark, now, base)
     assert {r.doc_id for r in packed.collect()} == set(ids(now))
     assert sorted(r.length for r in corpus_pipeline.run(spark, base).collect()) == sorted(r.length for r in packed.collect())
+
+
+def test_odd_documents_go_through_every_stage(spark, tmp_path):
+    """Nulls, empty and long texts, repeats and clashing names; then no rows at all."""
+    spark.createDataFrame([(3, 0), (4, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for some in (None, [], [(None, None, *[None] * 10), (None, "a null id", *[None] * 10)]):
+        now = odd_docs(spark, some)
+        columns, n = now.columns, now.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = settle(stage(spark, now, str(tmp_path)), name)
+            assert now.columns == columns
+        assert now.count() <= n and (n == 0 or now.count() > 0)
+        packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        assert packed.filter("piece = 0").count() == now.count()
+    assert len(rows()) > 30

@@ -19,13 +19,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vantage.llm.arrays import U64, mix, slices, starts, texts
 from vantage.llm.words import word_hashes
 from vantage.operators.graph import components
-from vantage.runtime import settle
+from vantage.runtime import settle, unused
 
 WORDS = 5
 TOKENS = 128
@@ -360,7 +360,6 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998) ->
     found = join_texts(docs, threshold, recall)
     keep = found.filter(F.col("class_id") == F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("__text")
-    hashed = kept.withColumn("__text", F.xxhash64("text"))
-    once = hashed.withColumn("__before", F.lag("__text").over(order)).filter(~F.col("__text").eqNullSafe(F.col("__before")))
+    name = unused(docs, "hash")
+    once = kept.withColumn(name, F.xxhash64("text")).dropDuplicates(["doc_id", name])  # pre-aggregated, so a repeated row is no hot key
     return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()).select(*docs.columns))
