@@ -56,7 +56,7 @@ def test_secrets_against_plain_patterns(spark):
     hexes = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     upper = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
     texts = [f"{words(8, k)} PASSWORD='{hexes(18)}' é {words(3, k)} AKIA{upper(16)} {hexes(40)} token: short" for k in range(60)]
-    texts += [None, "", "secret=1234567", "api_key = abcdefgh AKIA12", hexes(31), hexes(33), f"{words(5, 5)} {hexes(18)} {words(5, 6)} 4111111111111111", "passwordtoken==secret:aaaaaaaa"] + [words(60, 300 + k) + " averyveryverylongword" for k in range(30)]
+    texts += [None, "", "secret=1234567", "api_key = abcdefgh AKIA12", hexes(31), hexes(33), f"{words(5, 5)} {hexes(18)} {words(5, 6)} 4111111111111111", "passwordtoken==secret:aaaaaaaa"] + [words(60, 300 + k) + f" averyveryverylongword {r.randrange(10**15, 10**16)}" for k in range(40)]
     found = {x.doc_id: x for x in secrets.secret_digest(plain(spark, texts)).collect()}
     for k, t in enumerate(texts):
         want = base(t or "")
@@ -78,6 +78,25 @@ def test_automata_keep_lengths_and_prefixes():
     assert Automaton([]).score("abc") < 0
 
 
+def test_disguised_credentials_are_found_and_words_left_alone(spark):
+    """Credentials that no pattern names: 12 to 90 characters of learned formats, in other texts than the labelled ones."""
+    r = random.Random(11)
+    draw = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    hexes, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = lambda k: draw(hexes, 12) if k % 3 == 0 else "sk-" + draw(mixed, 24) if k % 3 == 1 else draw(mixed, 90)
+    texts = [f"{words(30, k)} token = '{made(k)}' {words(5, k)}" for k in range(400)]
+    hidden = {400 + k: made(k) for k in range(90)}
+    texts += [f"{words(30, k)} {x} {words(8, k + 1)}" for k, x in hidden.items()]
+    clean = len(texts)
+    texts += [f"{words(60, 5000 + k)} {draw('0123456789', 16)} 10.{k}.0.{k} mail{k}.example.com extraordinarily-long_words.here" for k in range(100)]
+    found = {x.doc_id: x.spans for x in secrets.find_secrets(plain(spark, texts)).collect()}
+    caught = [k for k, x in hidden.items() if any(s.kind == "format" and texts[k][s.start : s.end] == x and s.score > 0.5 for s in found[k])]
+    wrong = [s for k in range(clean, len(texts)) for s in found[k]]
+    assert len(caught) >= 0.9 * len(hidden), len(caught)
+    assert len(wrong) <= 5
+    assert all(s.score is not None for k in range(400) for s in found[k]) and all(len(found[k]) > 0 for k in range(400))
+
+
 def test_main_text_of_pages(spark):
     page = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site name</header>
     <nav><ul><li><a href="/a">Home</a><li><a href="/b">News, all of it.</a></ul></nav><div class="cookie-notice"><p>We use cookies, and more cookies, for you.</p></div>

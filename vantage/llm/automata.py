@@ -21,13 +21,13 @@ FLOOR = 0.05  # weight of what was never seen, spread over all symbols and the e
 class Automaton:
     """A stochastic automaton as lists indexed by state: visits, ends and transitions {symbol: [state, count]}."""
 
-    def __init__(self, samples: list[str], join: bool = True, alpha: float = 0.01, least: int = 12, longest: int = 64):
+    def __init__(self, samples: list[str], join: bool = True, alpha: float = 0.01, least: int = 12):
         self.n, self.ends, self.to = [0], [0], [{}]
-        fixed = self._join_classes([x[:longest] for x in samples] if join else [])
+        fixed = self._join_classes(samples if join else [])
         for text in samples:
             at = 0
             self.n[0] += 1
-            for k, c in enumerate(text[:longest]):
+            for k, c in enumerate(text):
                 s = ("is", c) if fixed.get(k) == c else self.name[c] if c in self.name else "other"
                 if s not in self.to[at]:
                     self.to[at][s] = [len(self.n), 0]

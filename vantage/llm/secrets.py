@@ -1,10 +1,11 @@
 """Secret scans: fixed patterns, and automata learned from what the patterns find that score every candidate.
 
-The values that the patterns find label themselves: they are the credentials, by kind, and the other long words of the
-corpus are the counterexamples. Both samples are the `sample` distinct strings with the least hashes, so they are drawn
-from the whole corpus and have a bound. A candidate is a run of credential characters outside the patterns' spans.
-It is a secret where an automaton of credentials finds it likelier than the automaton of words does, by a margin for
-each character.
+The values that the patterns find label themselves: they are the credentials, by kind, and the other runs of credential
+characters in the corpus are the counterexamples, words apart from those with digits. Each sample is the `sample` distinct strings with the least hashes, so
+they are drawn from the whole corpus and have a bound; strings are learned whole, and those longer than LONGEST_SAMPLE are
+no samples. A candidate is any run of at least 8 credential characters, a pattern's credential included. Its score is by
+how many nats a character the best automaton of credentials finds it likelier than the best of the others does; outside the
+patterns' spans it is a secret where that exceeds a margin.
 """
 
 from __future__ import annotations
@@ -13,13 +14,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vantage.llm.arrays import slices, texts
+from vantage.llm.arrays import list_parts, slices, texts
 from vantage.llm.automata import Automaton
 from vantage.runtime import settle
 
@@ -27,8 +29,12 @@ ASSIGN = re.compile(r"(?ia)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "format")
-LONGEST_RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-SPANS = "doc_id long, kind string, start int, end int, value string"
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+NOT_RUN = "[^A-Za-z0-9+/_.=-]+"
+LEAST_RUN, LONGEST_SAMPLE = 8, 4096
+PLAIN = ("word", "code")  # runs outside the patterns' spans, without and with digits
+DIGITS = frozenset("0123456789")
+SPANS = "array<struct<start:int,end:int,kind:string,score:double>>"
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -43,45 +49,73 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-def _marked(batch: pa.RecordBatch) -> Iterator[tuple[str, list, bool]]:
-    """Each text with the patterns' spans; the patterns run where a cheaper test finds a trace of them."""
-    column = texts(batch)
-    trace = pc.match_substring_regex(column, r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}").to_pylist()
-    long_run = pc.match_substring_regex(column, r"[A-Za-z0-9+/_=-]{16}").to_pylist()
-    for text, some, run in zip(column.to_pylist(), trace, long_run, strict=True):
-        yield text, base_spans(text) if some else [], run
+def _marked(column: pa.Array) -> Iterator[tuple[int, str, list]]:
+    """(row, text, spans) of the texts with the patterns' spans; the patterns run where a cheaper test finds a trace."""
+    trace = pc.match_substring_regex(column, r"(?i:passw|secret|token|api_?key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}")
+    for row in np.flatnonzero(trace.to_numpy(zero_copy_only=False)).tolist():
+        text = column[row].as_py()
+        if base := base_spans(text):
+            yield row, text, base
+
+
+def _runs(column: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row, code, names): the distinct candidates of each text, as codes into their names."""
+    per_text, runs = list_parts(pc.ascii_split_whitespace(pc.replace_substring_regex(column, NOT_RUN, " ")))
+    row = np.repeat(np.arange(len(per_text)), per_text)
+    long = pc.greater_equal(pc.binary_length(runs), LEAST_RUN)
+    coded = runs.filter(long).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return row[long.to_numpy(zero_copy_only=False)], codes, coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def candidates(text: str, base: list) -> Iterator[tuple[int, int]]:
-    """Runs of at least 16 credential characters that touch no base span."""
-    taken = [(a, b) for a, b, _, _ in base]
-    for m in LONGEST_RUN.finditer(text):
+    """Runs of at least 8 credential characters that touch no base span; base comes by start."""
+    at, reach = 0, -1
+    for m in RUN.finditer(text):
         a, b = m.span()
-        if not any(a < y and x < b for x, y in taken):
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][1])
+            at += 1
+        if reach <= a:
             yield a, b
 
 
 def labelled(docs: DataFrame, sample: int) -> DataFrame:
-    """(kind, value): for each kind of credential and for plain words, the `sample` distinct strings of least hash."""
-
-    def least(values: set[str]) -> list[tuple[int, str]]:
-        return sorted((xxhash.xxh3_64_intdigest(v) >> 1, v) for v in values)[:sample]
+    """(kind, value): for each kind of credential and for plain runs, the `sample` distinct strings of least hash."""
 
     def gather(batches):
+        least: dict[str, dict[str, int]] = {}
+
+        def add(kind: str, values) -> None:
+            held = least.setdefault(kind, {})
+            held |= {v: xxhash.xxh3_64_intdigest(v) >> 1 for v in values if len(v) <= LONGEST_SAMPLE}
+            if len(held) > sample:
+                least[kind] = dict(sorted(held.items(), key=lambda x: (x[1], x[0]))[:sample])
+
+        def add_plain(values) -> None:
+            parts: tuple[list, list] = ([], [])
+            for v in values:
+                parts[not DIGITS.isdisjoint(v)].append(v)
+            for kind, some in zip(PLAIN, parts, strict=True):
+                add(kind, some)
+
         for batch in slices(batches, "text"):
-            found: dict[str, set[str]] = {}
-            for text, base, run in _marked(batch):
+            column = texts(batch)
+            base_rows = []
+            for row, text, base in _marked(column):
+                base_rows.append(row)
                 for _, _, kind, value in base:
-                    found.setdefault(kind, set()).add(value)
-                if run:
-                    found.setdefault("plain", set()).update(text[a:b] for a, b in candidates(text, base))
-            rows = [(kind, h, v) for kind, values in found.items() for h, v in least(values)]
-            if rows:
-                kind, h, v = zip(*rows, strict=True)
-                yield pa.record_batch({"kind": pa.array(kind), "h": pa.array(h, pa.int64()), "value": pa.array(v)})
+                    add(kind, [value])
+                add_plain({text[a:b] for a, b in candidates(text, base)})
+            row, codes, names = _runs(column)
+            add_plain([names[k] for k in np.unique(codes[~np.isin(row, base_rows)]).tolist()])
+        rows = [(kind, h, v) for kind, held in least.items() for v, h in held.items()]
+        if rows:
+            kind, h, v = zip(*rows, strict=True)
+            yield pa.record_batch({"kind": pa.array(kind), "h": pa.array(h, pa.int64()), "value": pa.array(v)})
 
     rows = settle(docs.select("text").mapInArrow(gather, "kind string, h long, value string").distinct(), "labelled")
-    kinds = [*KINDS[:-1], "plain"]
+    kinds = [*KINDS[:-1], *PLAIN]
     parts = [rows.filter(F.col("kind") == k).orderBy("h", "value").limit(sample) for k in kinds]
     out = parts[0]
     for part in parts[1:]:
@@ -90,51 +124,57 @@ def labelled(docs: DataFrame, sample: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, sample: int = 1500) -> dict[str, Automaton]:
-    """An automaton for each kind of credential found, and for plain words. sample bounds what reaches the driver."""
+    """An automaton for each kind of credential found, and for plain runs. sample bounds what reaches the driver."""
     found: dict[str, list[str]] = {}
     for kind, value in labelled(docs, sample).collect():
         found.setdefault(kind, []).append(value)
-    return {kind: Automaton(sorted(values), join=kind != "plain") for kind, values in found.items()}
+    return {kind: Automaton(sorted(values), join=kind not in PLAIN) for kind, values in found.items()}
 
 
-def likely(text: str, automata: dict[str, Automaton], margin: float) -> bool:
-    """Whether some credential automaton beats the one of plain words by margin nats a character."""
-    plain = automata["plain"].score(text) if "plain" in automata else -4.5 * len(text)
-    most = max((a.score(text) for kind, a in automata.items() if kind != "plain"), default=float("-inf"))
-    return most - plain > margin * len(text)
+def likelihood(text: str, automata: dict[str, Automaton]) -> float:
+    """By how many nats a character the best automaton of credentials beats that of plain runs; -inf without any."""
+    score = {kind: a.score(text) for kind, a in automata.items()}
+    plain = max((x for kind, x in score.items() if kind in PLAIN), default=-4.5 * len(text))
+    return (max((x for kind, x in score.items() if kind not in PLAIN), default=float("-inf")) - plain) / len(text)
 
 
-def find_secrets(docs: DataFrame, sample: int = 1500, margin: float = 0.5) -> DataFrame:
-    """One row for each document: (doc_id, spans), spans an array of (start, end, kind) by start, then kind.
+def find_secrets(docs: DataFrame, sample: int = 1500, margin: float = 0.3) -> DataFrame:
+    """One row for each document: (doc_id, spans), spans an array of (start, end, kind, score) by start, then kind.
 
-    Positions are code points, ends exclusive. Cases: a null or empty text has no spans; equal texts have equal spans;
-    kinds may overlap each other; without any labelled credential only the patterns count; an empty table gives no rows;
-    other columns are ignored.
+    Positions are code points, ends exclusive. A pattern's span has the score of its credential and stays whatever it is.
+    Cases: a null or empty text has no spans; equal texts have equal spans; kinds may overlap each other; without any
+    labelled credential only the patterns count; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     given = spark.sparkContext.broadcast(learn(own, sample))
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def scan(batches):
-        automata, verdicts = given.value, {}
+        automata, known = given.value, {}
+
+        def score(word: str) -> float:
+            if word not in known:
+                if len(known) > 400_000:
+                    known.clear()
+                known[word] = likelihood(word, automata)
+            return known[word]
+
         for batch in slices(batches, "text"):
-            out = []
-            for text, base, run in _marked(batch):
-                spans = [(a, b, k) for a, b, k, _ in base]
-                for a, b in candidates(text, base) if run else ():
-                    word = text[a:b]
-                    if word not in verdicts:
-                        if len(verdicts) > 200_000:
-                            verdicts.clear()
-                        verdicts[word] = likely(word, automata, margin)
-                    if verdicts[word]:
-                        spans.append((a, b, "format"))
+            column = texts(batch)
+            out: list[list[dict]] = [[] for _ in range(len(column))]
+            marked = {row: base for row, _, base in _marked(column)}
+            row, codes, names = _runs(column)
+            likely = np.fromiter((score(x) > margin for x in names), bool, len(names))
+            for k in sorted({*marked, *row[likely[codes]].tolist()}):
+                base, text = marked.get(k, []), column[k].as_py()
+                spans = [(a, b, name, score(value)) for a, b, name, value in base]
+                spans += [(a, b, "format", score(text[a:b])) for a, b in candidates(text, base) if score(text[a:b]) > margin]
                 spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
-                out.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
+                out[k] = [{"start": a, "end": b, "kind": name, "score": x} for a, b, name, x in spans]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "spans": pa.array(out, kind)})
 
-    return own.mapInArrow(scan, "doc_id long, spans array<struct<start:int,end:int,kind:string>>")
+    return own.mapInArrow(scan, f"doc_id long, spans {SPANS}")
 
 
 def secret_digest(docs: DataFrame, sample: int = 1500) -> DataFrame:
