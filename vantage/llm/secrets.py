@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns, and automata learned from what the patterns find that score every candidate.
 
 The values that the patterns find label themselves: they are the credentials, by kind, and the other runs of credential
-characters in the corpus are the counterexamples, words apart from those with digits. Each sample is the `sample` distinct strings with the least hashes, so
+characters in the corpus are the counterexamples, those with letters apart from those without. Each sample is the `sample` distinct strings with the least hashes, so
 they are drawn from the whole corpus and have a bound; strings are learned whole, and those longer than LONGEST_SAMPLE are
 no samples. A candidate is any run of at least 8 credential characters, a pattern's credential included. Its score is by
 how many nats a character the best automaton of credentials finds it likelier than the best of the others does; outside the
@@ -32,8 +32,8 @@ KINDS = ("assign", "access", "hex", "format")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 NOT_RUN = "[^A-Za-z0-9+/_.=-]+"
 LEAST_RUN, LONGEST_SAMPLE = 8, 4096
-PLAIN = ("word", "code")  # runs outside the patterns' spans, without and with digits
-DIGITS = frozenset("0123456789")
+PLAIN = ("word", "number")  # runs outside the patterns' spans, with letters and without
+NUMBER = re.compile("[0-9+/_.=-]*")
 SPANS = "array<struct<start:int,end:int,kind:string,score:double>>"
 
 
@@ -95,7 +95,7 @@ def labelled(docs: DataFrame, sample: int) -> DataFrame:
         def add_plain(values) -> None:
             parts: tuple[list, list] = ([], [])
             for v in values:
-                parts[not DIGITS.isdisjoint(v)].append(v)
+                parts[NUMBER.fullmatch(v) is not None].append(v)
             for kind, some in zip(PLAIN, parts, strict=True):
                 add(kind, some)
 
@@ -123,11 +123,17 @@ def labelled(docs: DataFrame, sample: int) -> DataFrame:
     return out.select("kind", "value")
 
 
+def _alphabet(value: str) -> str:
+    """Credentials of different alphabets are different formats; one automaton would give all the widest."""
+    return "hex" if re.fullmatch("[0-9a-f]*", value) else "letters and digits" if value.isalnum() else "any"
+
+
 def learn(docs: DataFrame, sample: int = 1500) -> dict[str, Automaton]:
-    """An automaton for each kind of credential found, and for plain runs. sample bounds what reaches the driver."""
+    """An automaton for each kind and alphabet of credentials found, and for plain runs. sample bounds what reaches the
+    driver."""
     found: dict[str, list[str]] = {}
     for kind, value in labelled(docs, sample).collect():
-        found.setdefault(kind, []).append(value)
+        found.setdefault(kind if kind in PLAIN else f"{kind} {_alphabet(value)}", []).append(value)
     return {kind: Automaton(sorted(values), join=kind not in PLAIN) for kind, values in found.items()}
 
 
@@ -138,7 +144,7 @@ def likelihood(text: str, automata: dict[str, Automaton]) -> float:
     return (max((x for kind, x in score.items() if kind not in PLAIN), default=float("-inf")) - plain) / len(text)
 
 
-def find_secrets(docs: DataFrame, sample: int = 1500, margin: float = 0.3) -> DataFrame:
+def find_secrets(docs: DataFrame, sample: int = 1500, margin: float = 0.5) -> DataFrame:
     """One row for each document: (doc_id, spans), spans an array of (start, end, kind, score) by start, then kind.
 
     Positions are code points, ends exclusive. A pattern's span has the score of its credential and stays whatever it is.
