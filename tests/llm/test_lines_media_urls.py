@@ -133,6 +133,25 @@ def test_names_split_into_words():
     assert model.split("casinowin") == ["casino", "win"] and model.split("freebets") == ["free", "bets"] and model.split("") == []
 
 
+def test_split_against_all_splits():
+    counts = {"casino": 20, "win": 20, "free": 20, "ants": 9, "in": 50, "wine": 3, "donaudampfschifffahrtsgesellschaft": 2}
+    model = url_filter.Words(counts)
+
+    def cost(parts, whole):
+        return sum(model._word(p, whole) if p in counts and (whole or len(p) > 2) else -4.0 - 3.2 * len(p) for p in parts)
+
+    for name in ["casinowin", "freexants", "zzwinez", "qqqqqq", "winner", "in", "xxwinxx"]:
+        every = []
+        for cuts in range(1 << (len(name) - 1)):
+            at = [0, *(k + 1 for k in range(len(name) - 1) if cuts >> k & 1), len(name)]
+            parts = [name[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            every.append(cost(parts, len(parts) == 1))
+        found = model.split(name)
+        assert "".join(found) == name and cost(found, len(found) == 1) == pytest.approx(max(every))
+    long = "donaudampfschifffahrtsgesellschaft"
+    assert model.split(f"free{long}casino{'q' * 500}") == ["free", long, "casino", "q" * 500]
+
+
 def test_hot_hosts_are_split_and_rare_words_count(spark):
     urls = [f"http://onlinecasinohub.example.com/en/{k}" for k in range(40)]
     urls += [f"http://{w}.example.org/de/{k}" for k, w in enumerate(["garden", "alphabet"] * 40)]

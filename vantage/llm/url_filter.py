@@ -31,7 +31,6 @@ review reviews school science shop site software sport sports status store stori
 tutorial university weather web wiki work world""".split()
 # words so general that they mark a page only beside a second block seed
 WEAK = frozenset("ad click coin credit deal deals debt diet farm free gift hot money offer offers rich track tube weight win wins x".split())
-LONGEST_WORD = 24
 
 
 def host_of(url: Column) -> Column:
@@ -57,23 +56,26 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 class Words:
-    """Unigram model: the likeliest split of a name into words and unknown runs of letters."""
+    """Unigram model: the likeliest split of a name into words and unknown runs of letters, of any length."""
 
     def __init__(self, counts: dict[str, int], total: int | None = None):
         self.counts = counts
         self.total = total or sum(counts.values()) or 1
+        self.widths = sorted({len(w) for w in counts})
 
     def _word(self, w: str, whole: bool) -> float:
-        # letters of an unknown run are alike; words of 3 letters are in many names by chance, shorter ones in all
+        # words of 3 letters are in many names by chance, shorter ones in all
         if w in self.counts and (whole or len(w) > 2):
             return math.log(self.counts[w] / self.total) - (0.0 if whole or len(w) > 3 else 6.5)
-        return -4.0 - 3.2 * len(w)
+        return -math.inf
 
     def split(self, name: str) -> list[str]:
         best, back = [0.0], [0]
+        run = (-math.inf, 0)  # the best split that ends in an unknown run, and where the run starts; its letters are alike
         for j in range(1, len(name) + 1):
-            some = [(best[i] + self._word(name[i:j], j - i == len(name)), i) for i in range(max(0, j - LONGEST_WORD), j)]
-            score, i = max(some)
+            run = max((best[j - 1] - 7.2, j - 1), (run[0] - 3.2, run[1]))
+            some = [(best[j - n] + self._word(name[j - n : j], n == len(name)), j - n) for n in self.widths if n <= j]
+            score, i = max([run, *some])
             best.append(score)
             back.append(i)
         out, j = [], len(name)
@@ -102,7 +104,7 @@ def lexicon(rows: DataFrame) -> tuple[DataFrame, int]:
     after = F.expr("substring_index(host, '.', at + 1 - size(split(host, '[.]')))")
     hosts = labels.select(F.explode(names_of("label")).alias("word"), F.xxhash64(after, F.lit("h")).alias("place"))
     paths = rows.select("host", F.explode(F.array_distinct(names_of("path"))).alias("word")).filter(~F.contains("host", "word"))
-    places = hosts.unionByName(paths.select("word", F.xxhash64("host", F.lit("p")).alias("place"))).filter((F.col("word") != "#") & (F.length("word") <= LONGEST_WORD)).distinct()
+    places = hosts.unionByName(paths.select("word", F.xxhash64("host", F.lit("p")).alias("place"))).filter(F.col("word") != "#").distinct()
     found = settle(places.groupBy("word").agg((F.count("*") - 1).alias("c")).filter("c > 0"), "words")
     total = found.agg(F.sum("c")).head()[0] or 0
     share = max(1, total // 20_000)
@@ -114,12 +116,14 @@ def lexicon(rows: DataFrame) -> tuple[DataFrame, int]:
 def splits(rows: DataFrame) -> DataFrame:
     """(key, value): every name of the hosts and paths with its words.
 
-    Names meet their substrings' counts in a join, so no part of the lexicon is left out. A word that other words make up,
+    Names meet the counts of their substrings, of every length that a word has, in a join, so no part of the lexicon is left
+    out. A word that other words make up,
     all of them of four letters or more common than it, is a compound and doesn't count as a word; seeds always do.
     """
     known, total = lexicon(rows)
     names = settle(rows.select(F.explode(F.concat(names_of("host"), names_of("path"))).alias("name")).distinct(), "names")
-    width = F.sequence(F.lit(1), F.least(F.length("name"), F.lit(LONGEST_WORD)))
+    lengths = sorted(r.n for r in known.select(F.length("word").alias("n")).distinct().collect())  # as many as words have lengths
+    width = F.filter(F.lit(lengths), lambda n: n <= F.length("name"))
     parts = F.flatten(F.transform(width, lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, n))))
     held = settle(names.select("name", F.explode(F.array_distinct(parts)).alias("word")).filter((F.length("word") > 2) | (F.col("word") == F.col("name"))).join(known, "word"), "held")
 
