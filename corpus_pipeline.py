@@ -15,7 +15,7 @@ from vantage.llm.line_dedup import drop_lines
 from vantage.llm.ngram_join import keep_one
 from vantage.llm.packing import pack
 from vantage.llm.toxicity import drop_toxic
-from vantage.runtime import settle, small_batches
+from vantage.runtime import discard, settle, small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents; each stage's result is written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), f"stage_{name}")
+        before, docs = docs, settle(stage(spark, docs, sf_dir), f"stage_{name}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,19 +34,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("id", "root")
         labels._vantage_path = new._vantage_path
         if done:
+            discard(both)
             return labels
     raise RuntimeError("the components did not settle")
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(id, hops): the least number of edges from any seed, up to `most`. Edges lead both ways."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "hop_edges")
     reached = seeds.select("id", F.lit(0).alias("hops"))
     frontier = reached
     for k in range(1, most + 1):
         frontier = both.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        reached = reached.unionByName(frontier.select("id", F.lit(k).alias("hops"))).groupBy("id").agg(F.min("hops").alias("hops"))
-    return reached
+        frontier = settle(frontier.join(reached, "id", "left_anti"), "hop_frontier")
+        reached = reached.unionByName(frontier.select("id", F.lit(k).alias("hops")))
+        if frontier.isEmpty():
+            break
+    return reached.groupBy("id").agg(F.min("hops").alias("hops"))
 
 
 def closure(edges: DataFrame, most: int = 20) -> DataFrame:
