@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from vantage.llm.arrays import U64, list_parts, slices, starts, texts
 from vantage.llm.mph import Index, build
-from vantage.runtime import settle, unused
+from vantage.runtime import discard, settle, unused
 
 SPACE = " \t\n\x0b\x0c\r"
 SHARD_KEYS = 100_000
@@ -68,7 +68,10 @@ def shard_arrays(counts: DataFrame, min_docs: int) -> DataFrame:
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "bytes": [len(raw)], "payload": [raw]})
 
     dealt = frequent.withColumn("shard", F.pmod(F.col("h1"), F.lit(shards)).cast("int"))
-    return settle(dealt.groupBy("shard").applyInPandas(pack, "shard int, bytes long, payload binary"), "line_arrays").withColumn("shards", F.lit(shards))
+    packed = dealt.groupBy("shard").applyInPandas(pack, "shard int, bytes long, payload binary")
+    arrays = settle(packed.withColumn("shards", F.lit(shards)), "line_arrays")
+    discard(frequent)
+    return arrays
 
 
 def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: int, finish: Callable, schema: T.StructType | str) -> DataFrame:
@@ -113,14 +116,18 @@ def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: in
                 yield finish(plain, marks) if last else pa.record_batch([*plain.columns, pa.array(marks, pa.binary())], names=[*names, marked])
 
         if k:
-            docs = settle(docs, "line_marks")
+            before, docs = docs, settle(docs, "line_marks")
+            discard(before)
         docs = docs.mapInArrow(probe, schema if k + 1 == len(waves) else between)
     return docs
 
 
 def find_lines(docs: DataFrame, min_docs: int, wave_bytes: int, finish: Callable, schema: T.StructType | str) -> DataFrame:
     """All three steps; finish and schema as in mark_lines()."""
-    return mark_lines(docs, shard_arrays(line_counts(docs), min_docs), min_docs, wave_bytes, finish, schema)
+    arrays = shard_arrays(line_counts(docs), min_docs)
+    out = mark_lines(docs, arrays, min_docs, wave_bytes, finish, schema)
+    discard(arrays)  # the tasks hold what they need of them
+    return out
 
 
 def _kept(batch: pa.RecordBatch, marks: list[bytes]) -> tuple[list[str], list[int], list[int]]:

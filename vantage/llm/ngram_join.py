@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from vantage.llm.arrays import U64, mix, slices, starts, texts
 from vantage.llm.words import word_hashes
 from vantage.operators.graph import components
-from vantage.runtime import settle, unused
+from vantage.runtime import discard, settle, unused
 
 WORDS = 5
 TOKENS = 128
@@ -200,13 +200,22 @@ def _roots(threshold: float, first: int, last: int) -> Callable:
     return split
 
 
-def _buckets(paths: DataFrame, tokens: DataFrame, threshold: float, brute: int, depth: int) -> tuple[list[DataFrame], list[DataFrame], int]:
+def _coarse_classes(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    made: list[DataFrame] = []
+    found = components(coarse_edges(sets, threshold, recall=recall, made=made))
+    for table in made:
+        discard(table)
+    return found
+
+
+def _buckets(paths: DataFrame, tokens: DataFrame, threshold: float, brute: int, depth: int, made: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame], int]:
     """Buckets (path, id) to compare, the sets (id) that went below the second level, and the levels that were made."""
     buckets: list[DataFrame] = []
     deep: list[DataFrame] = []
     for level in range(depth):
         many = paths.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
         live = settle(paths.join(many, "path"), "buckets")
+        made.append(live)
         buckets.append(live.filter(F.col("n") <= brute).select("path", "id"))
         large = live.filter(F.col("n") > brute)
         if large.isEmpty():
@@ -230,18 +239,21 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def coarse_edges(sets: DataFrame, threshold: float = 0.8, brute: int = 2048, depth: int = 10, recall: float = 0.998) -> DataFrame:
+def coarse_edges(sets: DataFrame, threshold: float = 0.8, brute: int = 2048, depth: int = 10, recall: float = 0.998, made: list[DataFrame] | None = None) -> DataFrame:
     """(a, b): candidate links between different sets (id, paths, tokens), as stars over the similar sets of a bucket.
 
     The paths are those of runs_for(recall) runs. Where a run goes below the second level, its pairs are missed more
-    often, so the sets there take more runs, until there are enough for the deepest level made.
+    often, so the sets there take more runs, until there are enough for the deepest level made. The tables that the result
+    reads are added to `made`.
     """
+    made = [] if made is None else made
     tokens = sets.select("id", "tokens")
-    buckets, deep, levels = _buckets(sets.select("id", "paths").mapInArrow(_first, "path long, id binary"), tokens, threshold, brute, depth)
+    buckets, deep, levels = _buckets(sets.select("id", "paths").mapInArrow(_first, "path long, id binary"), tokens, threshold, brute, depth, made)
     done, need = runs_for(recall), runs_for(recall, levels)
     again = settle(tokens.join(_union(deep).distinct(), "id", "left_semi"), "deep_sets") if deep else None
+    made += [again] if deep else []
     while deep and done < need:
-        more, _, levels = _buckets(again.mapInArrow(_roots(threshold, done, need), "path long, id binary"), again, threshold, brute, depth)
+        more, _, levels = _buckets(again.mapInArrow(_roots(threshold, done, need), "path long, id binary"), again, threshold, brute, depth, made)
         buckets += more
         done, need = need, max(need, runs_for(recall, levels))
     held = _union(buckets).join(tokens, "id").select("path", "id", "tokens")
@@ -314,7 +326,7 @@ def join_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998, b
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = settle(members(own, threshold, runs_for(recall)), "members")
     sets = settle(rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")), "sets")
-    coarse = components(coarse_edges(sets.filter(F.col("n") > 0), threshold, recall=recall))
+    coarse = _coarse_classes(sets.filter(F.col("n") > 0), threshold, recall)
     nodes = coarse.join(sets.select("id", "first", "n"), "id")
     # a class's sets are dealt to blocks of about block_shingles and at most about block_sets; each set goes to the pairs of its block with every block
     sums = nodes.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / block_shingles, F.count("*") / block_sets)).cast("int").alias("blocks"))

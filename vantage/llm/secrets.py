@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm.arrays import list_parts, slices, texts
 from vantage.llm.automata import Automaton
-from vantage.runtime import settle
+from vantage.runtime import discard, settle
 
 ASSIGN = re.compile(r"(?ia)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -80,7 +80,7 @@ def candidates(text: str, base: list) -> Iterator[tuple[int, int]]:
             yield a, b
 
 
-def labelled(docs: DataFrame, sample: int) -> DataFrame:
+def labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
     """(kind, value): for each kind of credential and for plain runs, the `sample` distinct strings of least hash."""
 
     def gather(batches):
@@ -120,7 +120,9 @@ def labelled(docs: DataFrame, sample: int) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.select("kind", "value")
+    found = [(r.kind, r.value) for r in out.collect()]
+    discard(rows)
+    return found
 
 
 def _alphabet(value: str) -> str:
@@ -132,7 +134,7 @@ def learn(docs: DataFrame, sample: int = 1500) -> dict[str, Automaton]:
     """An automaton for each kind and alphabet of credentials found, and for plain runs. sample bounds what reaches the
     driver."""
     found: dict[str, list[str]] = {}
-    for kind, value in labelled(docs, sample).collect():
+    for kind, value in labelled(docs, sample):
         found.setdefault(kind if kind in PLAIN else f"{kind} {_alphabet(value)}", []).append(value)
     return {kind: Automaton(sorted(values), join=kind not in PLAIN) for kind, values in found.items()}
 
