@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +104,33 @@ def funnel(events: DataFrame, key: str, steps: list[str], width: int) -> DataFra
     return out.groupBy(key).agg(sum(reached[1:], reached[0]).alias("depth"))
 
 
+def capped_sessions(events: DataFrame, key: str, gap: int, longest: int) -> DataFrame:
+    """(key, sessions): greedy sessions, each ended by a gap of more than `gap` or when it has lasted more than `longest`.
+
+    A fold over each key's times in order; the task keeps two times of one key, however many events that key has.
+    """
+    name = events.schema[key].dataType.simpleString()
+
+    def fold(batches):
+        at, first, last, n = None, 0, 0, 0
+        for batch in batches:
+            keys, counts = [], []
+            for k, us in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if n and k != at:
+                    keys.append(at)
+                    counts.append(n)
+                    n = 0
+                if not n or us - last > gap or us - first > longest:
+                    first, n = us, n + 1
+                at, last = k, us
+            yield pa.record_batch([pa.array(keys, batch.schema.field(0).type), pa.array(counts, pa.int64())], names=[key, "sessions"])
+        if n:
+            yield pa.record_batch([pa.array([at], batch.schema.field(0).type), pa.array([n], pa.int64())], names=[key, "sessions"])
+
+    own = events.filter(F.col("us").isNotNull()).select(key, "us")
+    return own.repartition(key).sortWithinPartitions(key, "us").mapInArrow(fold, f"{key} {name}, sessions long")
+
+
 def count_runs_then(events: DataFrame, key: str, run: str, then: str, types: list[str]) -> DataFrame:
     """(key, matches, n): how often an event of type `then` follows a run of type `run`, and the key's events of the types.
 

@@ -66,9 +66,10 @@ def bm25(queries: DataFrame, docs: DataFrame, top: int = 20, k1: float = 1.5, b:
 
     Only postings of terms that some query holds are joined. Scores are rounded to 6 places, ties go to the lesser id.
     """
-    p = postings(docs)
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    hit = p.join(terms.select("term").distinct(), "term", "left_semi")
+    t = docs.select("doc_id", tokens("text").alias("t")).select("doc_id", F.explode("t").alias("term"), F.size("t").alias("length"))
+    # other terms go before anything is counted or shuffled
+    hit = t.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     size = docs.select("doc_id", F.size(tokens("text")).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     scored = hit.join(df, "term").crossJoin(F.broadcast(size))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vantage.catalog import query
+from vantage.catalog import ORACLES, query
 from vantage.functions.time import whole
 from vantage.operators import text as X
 from vantage.sources.tables import table
 
 
+# the tokens of X.tokens() in SQL
+TOKENS = "list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN (" + ",".join(f"'{w}'" for w in X.STOP_WORDS) + "))"
+
+
 def benchmark(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -19,8 +23,9 @@ def relevant(spark, sf_dir) -> DataFrame:
     """(query_id, doc_id) of the documents that hold a benchmark text whole: they share its first shingle, then are tested."""
     q = benchmark(spark, sf_dir).select("query_id", F.col("text").alias("q"), F.substring("text", 1, 16).alias("key"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lines = d.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 15, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(16))))).alias("key"))
-    return lines.join(q, "key").filter(F.contains("text", F.col("q"))).select("query_id", "doc_id").distinct()
+    starts = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 15, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(16))))).alias("key"))
+    found = starts.join(q, "key").select("doc_id", "query_id", "q").distinct()  # texts join what is left
+    return found.join(d, "doc_id").filter(F.contains("text", F.col("q"))).select("query_id", "doc_id").distinct()
 
 
 @query("X01_tokens", r"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS n, md5(array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with')), ' ')) AS h FROM documents""")
@@ -52,20 +57,32 @@ def x04(spark, sf_dir):
     return v.crossJoin(q).select("query_id", "vec_id", F.round(X.cosine(F.col("e"), F.col("v")), 6).alias("score"))
 
 
-@query("X05_jaccard", r"""WITH q AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS q FROM benchmark WHERE item_id = 0), d AS (SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS t FROM documents) SELECT doc_id, CASE WHEN len(list_distinct(list_concat(q, t))) > 0 THEN CAST(len(list_intersect(q, t)) AS DOUBLE) / len(list_distinct(list_concat(q, t))) ELSE 0 END AS j FROM d, q""")
+# every hundredth item is a query; a pair that shares no token scores nothing and has no row
+PAIRS = f"""q AS (SELECT item_id AS query_id, list_distinct({TOKENS}) AS q, lower(substr(text, 1, 12)) AS phrase FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT doc_id, lower(text) AS low, list_distinct({TOKENS}) AS t FROM documents), m AS (SELECT *, len(list_intersect(q, t)) AS both, len(list_distinct(list_concat(q, t))) AS either FROM d, q)"""
+
+
+def token_pairs(spark, sf_dir) -> DataFrame:
+    """(query_id, doc_id, both, a, b): the tokens that a query and a document share, and how many each has."""
+    q = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("query_id"), F.array_distinct(X.tokens("text")).alias("q"))
+    t = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(X.tokens("text")).alias("t"))
+    ours = q.select("query_id", F.size("q").alias("a"), F.explode("q").alias("word"))
+    theirs = t.select("doc_id", F.size("t").alias("b"), F.explode("t").alias("word"))
+    return theirs.join(ours, "word").groupBy("query_id", "doc_id", "a", "b").agg(F.count("*").alias("both"))
+
+
+@query("X05_jaccard", f"""WITH {PAIRS} SELECT query_id, doc_id, CAST(both AS DOUBLE) / either AS j FROM m WHERE both > 0""")
 def x05(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").filter("item_id = 0").select(F.array_distinct(X.tokens("text")).alias("q"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(X.tokens("text")).alias("t")).crossJoin(F.broadcast(q))
-    return d.select("doc_id", X.jaccard(F.col("q"), F.col("t")).alias("j"))
+    return token_pairs(spark, sf_dir).select("query_id", "doc_id", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("j"))
 
 
-@query("X06_lexical_score", r"""WITH q AS (SELECT list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS q, lower(substr(text, 1, 12)) AS phrase FROM benchmark WHERE item_id = 1), d AS (SELECT doc_id, lower(text) AS low, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS t FROM documents) SELECT doc_id, round(least(1.0, 0.6 * len(list_intersect(q, t)) / len(q) + 0.25 * len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t))) + CASE WHEN contains(low, phrase) THEN 0.2 ELSE 0 END) + 1e-9, 6) AS score FROM d, q""")
+@query("X06_lexical_score", f"""WITH {PAIRS} SELECT query_id, doc_id, round(least(1.0, 0.6 * both / len(q) + 0.25 * both / either + CASE WHEN contains(low, phrase) THEN 0.2 ELSE 0 END) + 1e-9, 6) AS score FROM m WHERE both > 0""")
 def x06(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").filter("item_id = 1").select(F.array_distinct(X.tokens("text")).alias("q"), F.lower(F.substring("text", 1, 12)).alias("phrase"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"), F.array_distinct(X.tokens("text")).alias("t")).crossJoin(F.broadcast(q))
-    cover = F.size(F.array_intersect("q", "t")) / F.size("q")
-    score = 0.6 * cover + 0.25 * X.jaccard(F.col("q"), F.col("t")) + F.when(F.contains("low", F.col("phrase")), 0.2).otherwise(0.0)
-    return d.select("doc_id", F.round(F.least(F.lit(1.0), score) + 1e-9, 6).alias("score"))
+    """Cover of the query's tokens, overlap and a bonus for its first letters, for pairs that share a token."""
+    q = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("query_id"), F.lower(F.substring("text", 1, 12)).alias("phrase"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
+    p = token_pairs(spark, sf_dir).join(q, "query_id").join(d, "doc_id")
+    score = 0.6 * (F.col("both") / F.col("a")) + 0.25 * (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))) + F.when(F.contains("low", F.col("phrase")), 0.2).otherwise(0.0)
+    return p.select("query_id", "doc_id", F.round(F.least(F.lit(1.0), score) + 1e-9, 6).alias("score"))
 
 
 @query("X07_freshness", r"""SELECT doc_id, round(pow(0.5, (doc_id % 365) / 90.0), 8) AS freshness, doc_id % 365 > 180 AS stale FROM documents""")
@@ -156,16 +173,16 @@ def p19(spark, sf_dir):
     return grams.filter(F.forall("has", lambda x: x)).filter(F.contains("t", F.lit(word))).select("doc_id")
 
 
-@query("P25_redaction", r"""SELECT doc_id, len(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), 'AKIA[0-9A-Z]{16}', '[AWS_KEY]', 'g')) AS n, concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'EMAIL' END, CASE WHEN regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') THEN 'SSN' END, CASE WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}') THEN 'AWS_KEY' END) AS labels FROM documents WHERE NOT regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b')""")
+@query("P25_redaction", r"""SELECT doc_id, len(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g'), 'AKIA[0-9A-Z]{16}', '[AWS_KEY]', 'g')) AS n, concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'EMAIL' END, CASE WHEN regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') THEN 'SSN' END, CASE WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}') THEN 'AWS_KEY' END) AS labels FROM documents""")
 def p25(spark, sf_dir):
     text, labels = X.redact(F.col("text"))
-    return table(spark, sf_dir, "documents").filter(~F.col("text").rlike(X.SSN)).select("doc_id", F.length(text).cast("long").alias("n"), F.array_join(labels, ",").alias("labels"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(text).cast("long").alias("n"), F.array_join(labels, ",").alias("labels"))
 
 
-@query("P26_card_redaction")
+@query("P26_card_redaction", r"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b\d{13,16}\b')) AS c FROM documents), v AS (SELECT doc_id, list_sum(list_transform(range(1, length(c) + 1), lambda i: CASE WHEN (length(c) - i) % 2 = 0 THEN CAST(c[i] AS INT) WHEN CAST(c[i] AS INT) > 4 THEN CAST(c[i] AS INT) * 2 - 9 ELSE CAST(c[i] AS INT) * 2 END)) AS s FROM c) SELECT doc_id, count(*) AS cards FROM v WHERE s % 10 = 0 GROUP BY 1""")
 def p26(spark, sf_dir):
     cards = F.filter(F.regexp_extract_all("text", F.lit(X.CARD), F.lit(0)), X.luhn)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(cards).alias("cards")).filter(F.col("cards") > 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(cards).cast("long").alias("cards")).filter(F.col("cards") > 0)
 
 
 @query("P28_injection_flags", r"""SELECT conv_id, turn, regexp_matches(text, '(?i)(ignore (all|previous) instructions|system prompt|you are now|disregard|act as)') AS flagged FROM conversations""")
@@ -208,9 +225,12 @@ def j28(spark, sf_dir):
     return t.unionByName(t.join(F.broadcast(g), "term").select("item_id", F.col("more").alias("term")))
 
 
-@query("R01_chunks")
+CHUNKS = """WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS para FROM documents), w AS (SELECT doc_id, para, list_filter(regexp_split_to_array(body, '[ \\t]+'), lambda x: x <> '') AS w FROM p), k AS (SELECT *, len(w) AS n, greatest(1, CAST(ceil((len(w) - {overlap}) / ({size} - {overlap})) AS BIGINT)) AS k FROM w WHERE len(w) > 0), m AS (SELECT *, CASE WHEN k > 1 AND n - (k - 1) * ({size} - {overlap}) < {least} THEN k - 1 ELSE k END AS m FROM k), i AS (SELECT *, unnest(range(m)) AS i FROM m), c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY para, i) - 1 AS position, length(array_to_string(w[i * ({size} - {overlap}) + 1 : CASE WHEN i = m - 1 THEN n ELSE i * ({size} - {overlap}) + {size} END], ' ')) AS n FROM i)"""
+
+
+@query("R01_chunks", CHUNKS.format(size=120, overlap=24, least=20) + " SELECT doc_id, position, n FROM c")
 def r01(spark, sf_dir):
-    return X.chunks(table(spark, sf_dir, "documents")).select("doc_id", "position", F.length("text").alias("n"))
+    return X.chunks(table(spark, sf_dir, "documents")).select("doc_id", "position", F.length("text").cast("long").alias("n"))
 
 
 @query("R04_page_furniture", r"""WITH l AS (SELECT DISTINCT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT source, line, count(*) AS n FROM l GROUP BY ALL), s AS (SELECT source, count(*) AS docs FROM documents GROUP BY 1) SELECT source, line, n FROM c JOIN s USING (source) WHERE n > 0.03 * docs AND len(line) > 10""")
@@ -229,10 +249,10 @@ def r05(spark, sf_dir):
     return X.bm25(benchmark(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
-@query("R06_dense", r"""WITH dn AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q, embeddings v), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dn WHERE score > 0 QUALIFY rank <= 20) SELECT query_id, vec_id, score, rank FROM dr""")
+@query("R06_dense", r"""WITH dn AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q, embeddings v), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dn WHERE score > 0 QUALIFY rank <= 20) SELECT query_id, vec_id, score, rank FROM dr""")
 def r06(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
-    return X.dense(v.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding"), v)
+    return X.dense(v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding"), v)
 
 
 @query("R07_rrf", r"""WITH d0 AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with')) AS t FROM documents), p AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, unnest(t) AS term, len(t) AS len FROM d0) GROUP BY ALL),
@@ -245,7 +265,7 @@ def r07(spark, sf_dir):
     return X.fuse([(first, 1.0), (second, 2.0)], "doc_id")
 
 
-@query("R08_hybrid")
+@query("R08_hybrid", ORACLES["R05_bm25"].rsplit(" SELECT query_id, doc_id, score, rank FROM bm", 1)[0] + f""", t AS (SELECT query_id, bm.doc_id, list_distinct({TOKENS.replace("text", "d.text")}) AS t, list_distinct({TOKENS.replace("text", "b.text")}) AS q FROM bm JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id), r AS (SELECT query_id, doc_id, 0.6 * len(list_intersect(q, t)) / len(q) + 0.25 * len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t))) AS rerank FROM t), x AS (SELECT query_id, doc_id, round(0.8 * rerank + 0.2 * pow(0.5, (doc_id % 365) / 90.0), 6) AS score FROM r WHERE rerank >= 0.05) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 5""")
 def r08(spark, sf_dir):
     """Candidates, fusion, lexical rerank with a floor, and freshness."""
     d, q = table(spark, sf_dir, "documents"), benchmark(spark, sf_dir)
@@ -256,7 +276,7 @@ def r08(spark, sf_dir):
     fresh = F.pow(F.lit(0.5), (F.col("doc_id") % 365) / 90.0)
     scored = t.withColumn("rerank", rerank).filter(F.col("rerank") >= 0.05).withColumn("score", F.round(0.8 * F.col("rerank") + 0.2 * fresh, 6))
     at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", at).filter(F.col("rank") <= 5).select("query_id", "doc_id", "score", "rank")
+    return scored.withColumn("rank", at.cast("long")).filter(F.col("rank") <= 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query("R09_conflicts", r"""WITH c AS (SELECT source AS key, n_chars % 3 AS value, max(doc_id) AS ver FROM documents GROUP BY ALL) SELECT key, arg_max(value, ver) AS resolved, count(*) AS candidates FROM c GROUP BY key HAVING count(*) > 1""")
@@ -266,7 +286,7 @@ def r09(spark, sf_dir):
     return c.groupBy("key").agg(F.max_by("value", "at").alias("resolved"), F.count("*").alias("candidates")).filter(F.col("candidates") > 1)
 
 
-@query("R10_near_duplicates")
+@query("R10_near_duplicates", r"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [trim(text)] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL), l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE both >= 0.9 * (p.n + q.n - both) - 1e-9), r AS (SELECT doc_id, doc_id AS low FROM documents UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.doc_id) SELECT doc_id, min(low) AS cluster FROM r GROUP BY 1""")
 def r10(spark, sf_dir):
     return X.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -390,6 +410,6 @@ def u05(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.col("doc_id") % 11 != 0).select("doc_id").subtract(table(spark, sf_dir, "labels").select("doc_id"))
 
 
-@query("E07_chunk_table_function")
+@query("E07_chunk_table_function", CHUNKS.format(size=60, overlap=12, least=10) + " SELECT doc_id, count(*) AS chunks FROM c GROUP BY 1")
 def e07(spark, sf_dir):
     return X.chunks(table(spark, sf_dir, "documents"), size=60, overlap=12, least=10).groupBy("doc_id").agg(F.count("*").alias("chunks"))

@@ -299,12 +299,14 @@ def a20(spark, sf_dir):
     return c.orderBy(F.desc(F.col("this") - F.col("last")), "user_id").limit(10).select("user_id", "this", "last", "change")
 
 
-@query("A21_funnel")
+@query("A21_funnel", f"""WITH {EV}, e AS (SELECT user_id, us, event_id, event_type FROM ev), v AS (SELECT * FROM e WHERE event_type = 'view'), c AS (SELECT * FROM e WHERE event_type = 'click'), p AS (SELECT * FROM e WHERE event_type = 'purchase'),
+ two AS (SELECT v.user_id, v.us AS start, c.us, c.event_id FROM v JOIN c ON c.user_id = v.user_id AND (c.us, c.event_id) > (v.us, v.event_id) AND c.us - v.us <= 172800000000), three AS (SELECT DISTINCT two.user_id FROM two JOIN p ON p.user_id = two.user_id AND (p.us, p.event_id) > (two.us, two.event_id) AND p.us - two.start <= 172800000000)
+ SELECT user_id, CAST(CASE WHEN user_id IN (SELECT user_id FROM three) THEN 3 WHEN user_id IN (SELECT user_id FROM two) THEN 2 WHEN user_id IN (SELECT user_id FROM v) THEN 1 ELSE 0 END AS INT) AS depth FROM e WHERE event_type IN ('view', 'click', 'purchase') GROUP BY 1""")
 def a21(spark, sf_dir):
     return T.funnel(ev(spark, sf_dir), "user_id", ["view", "click", "purchase"], 2 * DAY)
 
 
-@query("A22_sequence_count")
+@query("A22_sequence_count", f"""WITH {EV}, s AS (SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY us, event_id) AS seq FROM ev GROUP BY 1) SELECT user_id, CAST(len(regexp_extract_all(seq, 'v+c')) AS INT) AS matches, CAST(length(seq) AS INT) AS n FROM s""")
 def a22(spark, sf_dir):
     return T.count_runs_then(ev(spark, sf_dir), "user_id", "view", "click", ["view", "click", "purchase", "signup", "error"])
 

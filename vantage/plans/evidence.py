@@ -23,7 +23,7 @@ def x11(spark, sf_dir):
     return s.select("doc_id", F.col("nth").cast("long").alias("nth"), F.length("sentence").cast("long").alias("n"), F.md5(F.col("sentence").cast("binary")).alias("h"))
 
 
-@query("R02_sentence_chunks")
+@query("R02_sentence_chunks", f"""WITH RECURSIVE {SENTENCES}, e AS (SELECT doc_id, generate_subscripts(parts, 1) AS nth, unnest(parts) AS s FROM s), u AS (SELECT *, len(string_split(s, ' ')) AS n, {" OR ".join(f"starts_with(s, '{q}')" for q in V.QUALIFIERS)} AS q FROM e), f AS (SELECT doc_id, nth, 0 AS chunk, n AS held FROM u WHERE nth = 1 UNION ALL SELECT u.doc_id, u.nth, f.chunk + CASE WHEN f.held + u.n <= CASE WHEN u.q THEN 512 ELSE 400 END THEN 0 ELSE 1 END, CASE WHEN f.held + u.n <= CASE WHEN u.q THEN 512 ELSE 400 END THEN f.held + u.n ELSE u.n END FROM f JOIN u ON u.doc_id = f.doc_id AND u.nth = f.nth + 1) SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(sum(n) AS BIGINT) AS n_tokens, string_agg(s, ' ' ORDER BY nth) AS chunk_text FROM f JOIN u USING (doc_id, nth) GROUP BY doc_id, chunk""")
 def r02(spark, sf_dir):
     """Chunks of whole sentences. Tested: in order they hold each document's sentences, and bounds hold."""
     return V.sentence_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -55,9 +55,9 @@ def p06(spark, sf_dir):
     return points(spark, sf_dir).select("event_id", "series")
 
 
-@query("P07_partition_id")
+@query("P07_partition_id", f"WITH {PT} SELECT DISTINCT series, CAST('0x' || substr(md5(series), 1, 8) AS BIGINT) % 16 AS partition FROM pt")
 def p07(spark, sf_dir):
-    return points(spark, sf_dir).select("series", F.pmod(F.xxhash64("series"), F.lit(16)).alias("partition")).distinct()
+    return points(spark, sf_dir).select("series", (F.conv(F.substring(F.md5("series"), 1, 8), 16, 10).cast("long") % 16).alias("partition")).distinct()
 
 
 @query("P08_selector", f"WITH {PT} SELECT series, event_id FROM pt WHERE service = 'svc1' AND region = '2' AND {W} + 3600000000 >= 1704153600000000 AND {W} < 1704240000000000")

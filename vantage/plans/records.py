@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vantage.catalog import query
 from vantage.functions.time import DAY, HOUR, MINUTE, whole
 from vantage.operators.graph import closure
+from vantage.operators.temporal import capped_sessions
 from vantage.operators.text import cosine
 from vantage.runtime import shared_dir
 from vantage.sources.tables import EV, LI, OR, events as ev, lineitem, orders, table
@@ -117,18 +118,13 @@ def a79(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(shape.alias("shape")).agg(F.count("*").alias("calls"), F.sum(F.length("html")).alias("total"))
 
 
-@query("W02_capped_sessions")
+@query("W02_capped_sessions", f"""WITH RECURSIVE {EV}, e AS (SELECT user_id, us, us - lag(us) OVER (PARTITION BY user_id ORDER BY us) > 1800000000 AS gap FROM ev), s AS (SELECT user_id, min(us) AS t FROM e GROUP BY 1 UNION ALL SELECT s.user_id, min(e.us) AS t FROM s JOIN e ON e.user_id = s.user_id AND e.us > s.t AND (e.gap OR e.us - s.t > 7200000000) GROUP BY s.user_id) SELECT user_id, count(*) AS sessions FROM s GROUP BY 1""")
 def w02(spark, sf_dir):
-    """Greedy sessions with a longest duration, folded within a user's day."""
-    rows = F.array_sort(F.collect_list("us"))
-    # a gap over 30 minutes or a length over 2 hours starts a session
-    step = lambda s, t: F.when((s["n"] == 0) | (t - s["last"] > 30 * MINUTE) | (t - s["first"] > 2 * HOUR), F.struct((s["n"] + 1).alias("n"), t.alias("first"), t.alias("last"))).otherwise(F.struct(s["n"].alias("n"), s["first"].alias("first"), t.alias("last")))
-    none = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
-    per = ev(spark, sf_dir).groupBy("user_id", whole(F.col("us"), DAY).alias("day")).agg(rows.alias("t"))
-    return per.select("user_id", "day", F.aggregate("t", none, step)["n"].alias("sessions"))
+    """Sessions of a user that a gap over 30 minutes or a length over 2 hours ends, whatever the day."""
+    return capped_sessions(ev(spark, sf_dir), "user_id", 30 * MINUTE, 2 * HOUR)
 
 
-@query("W20_local_day")
+@query("W20_local_day", f"""WITH {EV} SELECT strftime((make_timestamp(us) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin', '%Y-%m-%d') AS day, count(*) AS n FROM ev GROUP BY 1""")
 def w20(spark, sf_dir):
     """Calendar days of a zone, of 23 to 25 hours."""
     local = F.from_utc_timestamp(F.timestamp_micros("us"), "Europe/Berlin")
@@ -225,10 +221,15 @@ def g11(spark, sf_dir):
     return granted.unionByName(table(spark, sf_dir, "part").filter(F.col("p_partkey").isin(7, 12)).select(F.col("p_partkey").alias("tenant"))).distinct()
 
 
-@query("G05_triangles", f"""WITH {EV}, e AS (SELECT DISTINCT least(user_id, user_id // 2 + k) AS a, greatest(user_id, user_id // 2 + k) AS b FROM ev WHERE user_id <> user_id // 2 + k AND event_type = 'signup') SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b""")
+@query("G05_triangles", f"""WITH {EV}, e AS (SELECT DISTINCT least(user_id, user_id // 2 + k) AS a, greatest(user_id, user_id // 2 + k) AS b FROM ev WHERE user_id <> user_id // 2 + k) SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b""")
 def g05(spark, sf_dir):
     other = whole(F.col("user_id"), 2) + F.col("k")
-    e = ev(spark, sf_dir).filter((F.col("event_type") == "signup") & (F.col("user_id") != other)).select(F.least("user_id", other).alias("a"), F.greatest("user_id", other).alias("b")).distinct()
+    e = ev(spark, sf_dir).filter(F.col("user_id") != other).select(F.least("user_id", other).alias("a"), F.greatest("user_id", other).alias("b")).distinct()
+    # edges lead from the end of lesser degree, so no id has more than about the root of twice the edges to pair up
+    degree = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
+    both = e.join(degree.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    low, high = F.struct(F.col("da").alias("d"), F.col("a").alias("id")), F.struct(F.col("db").alias("d"), F.col("b").alias("id"))
+    e = both.select(F.least(low, high)["id"].alias("a"), F.greatest(low, high)["id"].alias("b"))
     paths = e.select("a", F.col("b").alias("m")).join(e.select(F.col("a").alias("m"), "b"), "m")
     return paths.join(e, ["a", "b"]).agg(F.count("*").alias("triangles"))
 
@@ -275,14 +276,14 @@ def r29(spark, sf_dir):
     return table(spark, sf_dir, "conversations").filter("role = 'assistant'").groupBy((F.col("conv_id") % 4).alias("release")).agg(share.alias("abstained"), (share <= 0.3).alias("passed"))
 
 
-@query("R03_page_blocks")
+@query("R03_page_blocks", r"""WITH b AS (SELECT page_id, regexp_split_to_array(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<nav\b.*?</nav>|<head\b.*?</head>|<footer\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(?:p|h[1-6]|li|td|div|article|section|br)\b[^>]*>') AS parts FROM pages), e AS (SELECT page_id, generate_subscripts(parts, 1) - 1 AS pos, trim(regexp_replace(regexp_replace(unnest(parts), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS text FROM b) SELECT page_id, pos, length(text) AS n FROM e WHERE text <> ''""")
 def r03(spark, sf_dir):
     """Blocks of a page without its navigation."""
     body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style|nav|head|footer)\b.*?</\1>", " "), r"(?s)<!--.*?-->", " ")
     blocks = F.split(body, r"(?i)</?(?:p|h[1-6]|li|td|div|article|section|br)\b[^>]*>")
     b = table(spark, sf_dir, "pages").select("page_id", F.posexplode(blocks).alias("pos", "raw"))
     text = F.trim(F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", ""), r"\s+", " "))
-    return b.select("page_id", "pos", text.alias("text")).filter(F.col("text") != "").select("page_id", "pos", F.length("text").alias("n"))
+    return b.select("page_id", "pos", text.alias("text")).filter(F.col("text") != "").select("page_id", F.col("pos").cast("long").alias("pos"), F.length("text").cast("long").alias("n"))
 
 
 @query("E01_row_transform", f"""WITH {EV} SELECT event_id, CASE WHEN event_id % 109 = 0 THEN NULL ELSE cents * 2 END AS value, event_id % 109 = 0 AS failed FROM ev""")
