@@ -58,7 +58,7 @@ def x04(spark, sf_dir):
 
 
 # every hundredth item is a query; a pair that shares no token scores nothing and has no row
-PAIRS = f"""q AS (SELECT item_id AS query_id, list_distinct({TOKENS}) AS q, lower(substr(text, 1, 12)) AS phrase FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT doc_id, lower(text) AS low, list_distinct({TOKENS}) AS t FROM documents), m AS (SELECT *, len(list_intersect(q, t)) AS both, len(list_distinct(list_concat(q, t))) AS either FROM d, q)"""
+PAIRS = f"""q AS (SELECT item_id AS query_id, list_distinct({TOKENS}) AS q, lower(substr(text, 1, 12)) AS phrase FROM benchmark WHERE item_id % 100 = 0), d AS (SELECT doc_id, lower(text) AS low, list_distinct({TOKENS}) AS t FROM documents), m AS (SELECT *, len(list_intersect(q, t)) AS common, len(list_distinct(list_concat(q, t))) AS either FROM d, q)"""
 
 
 def token_pairs(spark, sf_dir) -> DataFrame:
@@ -70,12 +70,12 @@ def token_pairs(spark, sf_dir) -> DataFrame:
     return theirs.join(ours, "word").groupBy("query_id", "doc_id", "a", "b").agg(F.count("*").alias("both"))
 
 
-@query("X05_jaccard", f"""WITH {PAIRS} SELECT query_id, doc_id, CAST(both AS DOUBLE) / either AS j FROM m WHERE both > 0""")
+@query("X05_jaccard", f"""WITH {PAIRS} SELECT query_id, doc_id, CAST(common AS DOUBLE) / either AS j FROM m WHERE common > 0""")
 def x05(spark, sf_dir):
     return token_pairs(spark, sf_dir).select("query_id", "doc_id", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("j"))
 
 
-@query("X06_lexical_score", f"""WITH {PAIRS} SELECT query_id, doc_id, round(least(1.0, 0.6 * both / len(q) + 0.25 * both / either + CASE WHEN contains(low, phrase) THEN 0.2 ELSE 0 END) + 1e-9, 6) AS score FROM m WHERE both > 0""")
+@query("X06_lexical_score", f"""WITH {PAIRS} SELECT query_id, doc_id, round(least(1.0, 0.6 * common / len(q) + 0.25 * common / either + CASE WHEN contains(low, phrase) THEN 0.2 ELSE 0 END) + 1e-9, 6) AS score FROM m WHERE common > 0""")
 def x06(spark, sf_dir):
     """Cover of the query's tokens, overlap and a bonus for its first letters, for pairs that share a token."""
     q = table(spark, sf_dir, "benchmark").filter(F.col("item_id") % 100 == 0).select(F.col("item_id").alias("query_id"), F.lower(F.substring("text", 1, 12)).alias("phrase"))
@@ -286,7 +286,7 @@ def r09(spark, sf_dir):
     return c.groupBy("key").agg(F.max_by("value", "at").alias("resolved"), F.count("*").alias("candidates")).filter(F.col("candidates") > 1)
 
 
-@query("R10_near_duplicates", r"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [trim(text)] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL), l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE both >= 0.9 * (p.n + q.n - both) - 1e-9), r AS (SELECT doc_id, doc_id AS low FROM documents UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.doc_id) SELECT doc_id, min(low) AS cluster FROM r GROUP BY 1""")
+@query("R10_near_duplicates", r"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w FROM documents), s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [trim(text)] ELSE list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM w), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL), l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE common >= 0.9 * (p.n + q.n - common) - 1e-9), r AS (SELECT doc_id, doc_id AS low FROM documents UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.doc_id) SELECT doc_id, min(low) AS cluster FROM r GROUP BY 1""")
 def r10(spark, sf_dir):
     return X.near_duplicates(table(spark, sf_dir, "documents"))
 
