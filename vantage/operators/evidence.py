@@ -5,7 +5,9 @@ Scores of outside models enter as columns: an entailment score, and a judge's an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: abbreviations whose full stop ends no sentence, openings of a qualifier
@@ -13,7 +15,6 @@ ABBREVIATIONS = "e.g. i.e. etc. no. dr. mr. ms. vs. approx. dept. sr. sra. art.
 QUALIFIERS = ("However", "Except", "This does not apply", "Sin embargo", "Esto no aplica", "लेकिन")
 NEGATIONS = ["not", "no", "never", "without", "cannot"]
 OBLIGATIONS = ["must", "shall", "required", "mandatory"]
-PERMISSIONS = ["may", "can", "optional", "allowed"]
 
 _HELD, _CUT = "\x02", "\x01"
 _ABBREVIATION = "(?iu)(^|[ \\x02])(" + "|".join(a.replace(".", "\\.") for a in ABBREVIATIONS) + ") "
@@ -119,3 +120,31 @@ def verify(claims: DataFrame, evidence: DataFrame, low: float = 0.5, high: float
         .otherwise("rejected by judge")
     )
     return j.select("claim_id", "score", status.alias("status"))
+
+
+def rerank(pairs: DataFrame, embed: Callable[[Column], Column], score: Callable[[Column, Column], Column], top: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """(query, doc, score, rank): pairs (query, doc, q, d) of texts ranked by a caller's models.
+
+    embed: from a text column to a vector column; score: from two vector columns to a number, null where the model gave no
+    answer; such pairs come last and have the rank null. Ties go to the lesser doc.
+    """
+    scored = pairs.select(query, doc, F.round(score(embed(F.col("q")), embed(F.col("d"))), 6).alias("score"))
+    at = F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc_nulls_last(), doc)).cast("long")
+    ranked = scored.withColumn("rank", F.when(F.col("score").isNotNull(), at))
+    return ranked.filter(F.coalesce(F.col("rank") <= top, F.lit(True)))
+
+
+def gated(claims: DataFrame, entails: Callable[[DataFrame], Column], judge: Callable[[DataFrame], Column], least: float = 0.5) -> DataFrame:
+    """claims with `verdict`, from a caller's entailment score and judge. Without an answer (null) of either, a claim fails.
+
+    pass: the score is at least `least` and the judge agrees; fail: either is below or against; unanswered: either is null.
+    """
+    number, answer = entails(claims), judge(claims)
+    verdict = F.when(number.isNull() | answer.isNull(), "unanswered").when((number >= least) & answer, "pass").otherwise("fail")
+    return claims.withColumn("verdict", verdict)
+
+
+def stale(rows: DataFrame, now: Column, us: str, limit_us: int) -> DataFrame:
+    """rows with `age_us` by the clock `now`, a column the caller gives, and whether that exceeds the limit."""
+    age = now - F.col(us)
+    return rows.withColumn("age_us", age).withColumn("stale", age > limit_us)

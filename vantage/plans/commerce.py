@@ -626,7 +626,7 @@ def g01(spark, sf_dir):
     return edges(spark, sf_dir, 40)
 
 
-@query("G02_components")
+@query("G02_components", f"""WITH RECURSIVE {LI}, d AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS degree FROM li GROUP BY 1), e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM li JOIN d USING (l_partkey) WHERE degree <= 20), near AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e UNION SELECT a, a FROM e UNION SELECT b, b FROM e), r AS (SELECT 0 AS k, a AS id, min(b) AS root FROM near GROUP BY a UNION ALL SELECT k + 1, near.a, min(r.root) FROM r JOIN near ON near.b = r.id WHERE k < 40 GROUP BY k, near.a) SELECT id, root FROM r WHERE k = 40""")
 def g02(spark, sf_dir):
     from vantage.operators.graph import components
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vantage.catalog import query
 from vantage.functions.time import DAY, whole
 from vantage.operators import evidence as V
+from vantage.operators import text as X
+from vantage.plans.corpus import PAIRS, TOKENS, token_pairs
 from vantage.sources.tables import EV, LI, events as ev, lineitem as li, table
 
 ABBR = "|".join(a.replace(".", "\\.") for a in V.ABBREVIATIONS)
@@ -92,3 +94,39 @@ def e04(spark, sf_dir):
     """Channels of a run's step: what was appended, the last value, and whether two writers wrote it (then it has none)."""
     d = ev(spark, sf_dir).groupBy("user_id", whole(F.col("us"), DAY).alias("step")).agg(F.count("*").alias("appended"), F.countDistinct("event_type").alias("writers"), F.max_by("cents", "event_id").alias("last"))
     return d.select("user_id", "step", "appended", F.when(F.col("writers") == 1, F.col("last")).alias("last_value"), (F.col("writers") > 1).alias("conflict"))
+
+
+SLOTS = f"list_transform(range(16), lambda i: CAST(len(list_filter(list_transform({TOKENS}, lambda w: CAST('0x' || substr(md5(w), 32, 1) AS BIGINT)), lambda x: x = i)) AS DOUBLE))"
+
+
+@query("E02_models", f"""WITH {PAIRS}, p AS (SELECT query_id, doc_id, {SLOTS.replace("text", "b.text")} AS x, {SLOTS.replace("text", "o.text")} AS y FROM m JOIN benchmark b ON b.item_id = query_id JOIN documents o USING (doc_id) WHERE common > 0), c AS (SELECT query_id, doc_id, CASE WHEN doc_id % 13 = 0 THEN NULL ELSE round(list_cosine_similarity(x, y), 6) END AS score FROM p), r AS (SELECT *, CASE WHEN score IS NOT NULL THEN row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, doc_id) END AS rank FROM c) SELECT query_id, doc_id, score, rank FROM r WHERE coalesce(rank <= 10, true)""")
+def e02(spark, sf_dir):
+    """An embedder and a reranker handed in as column functions; one that gives no answer for some pairs."""
+    def embed(text):
+        slot = F.transform(X.tokens(text), lambda w: F.conv(F.substring(F.md5(w), 32, 1), 16, 10).cast("int"))
+        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(slot, lambda x: x == i)).cast("double"))
+
+    def score(a, b):
+        return F.when(F.col("doc_id") % 13 != 0, X.cosine(a, b))
+
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("d"))
+    return V.rerank(token_pairs(spark, sf_dir).select("query_id", "doc_id").join(q, "query_id").join(d, "doc_id"), embed, score, 10)
+
+
+@query("E03_gates", r"""SELECT conv_id, turn, CASE WHEN length(text) % 11 = 0 OR length(text) % 7 = 0 THEN 'unanswered' WHEN (length(text) % 100) / 100.0 >= 0.5 AND contains(text, 'th') THEN 'pass' ELSE 'fail' END AS verdict FROM conversations WHERE role = 'assistant'""")
+def e03(spark, sf_dir):
+    """An entailment score and a judge handed in as column functions; without an answer a claim fails closed."""
+    n = F.length("text")
+    claims = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    found = V.gated(claims, lambda _: F.when(n % 11 != 0, (n % 100) / 100), lambda _: F.when(n % 7 != 0, F.contains(F.col("text"), F.lit("th"))))
+    return found.select("conv_id", "turn", "verdict")
+
+
+@query("E06_clock", f"""WITH {EV}, c AS (SELECT max(us) AS now FROM ev), t AS (SELECT event_type, us, now, 0 AS later FROM ev, c UNION ALL SELECT event_type, us, now + 86400000000, 1 FROM ev, c) SELECT event_type, CAST(later AS INT) AS later, count(*) FILTER (now - us > 172800000000) AS stale, min(now - us) AS least_us FROM t GROUP BY ALL""")
+def e06(spark, sf_dir):
+    """The same rows by two clocks: that of the newest row, and a day later."""
+    e = ev(spark, sf_dir).crossJoin(F.broadcast(ev(spark, sf_dir).agg(F.max("us").alias("now"))))  # one row
+    clocks = [V.stale(e, F.col("now") + k * DAY, "us", 2 * DAY).withColumn("later", F.lit(k)) for k in (0, 1)]
+    both = clocks[0].unionByName(clocks[1])
+    return both.groupBy("event_type", "later").agg(F.count_if("stale").alias("stale"), F.min("age_us").alias("least_us"))
