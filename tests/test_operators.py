@@ -176,3 +176,33 @@ def test_funnel_and_runs_without_arrays_of_a_key(spark):
     assert {x.user_id: (x.matches, x.n) for x in runs.collect()} == {u: (len(re.findall("v+c", w)), len(w)) for u, w in word.items()}
     for df in (funnel, runs):
         assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_file_catalogue_against_the_file(spark):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from vantage import catalog
+
+    path = "/root/testdata/sf0.001/lineitem.parquet"
+    keys = pq.read_table(path, columns=["l_orderkey"]).column(0).to_pylist()
+    row = catalog.QUERIES["S12_file_catalogue"](spark, "/root/testdata/sf0.001").collect()
+    assert [tuple(r) for r in row] == [("lineitem.parquet", len(keys), os.path.getsize(path), min(keys), max(keys))]
+
+
+def test_capped_sessions_cross_midnight_and_survive_batches(spark):
+    from vantage.operators.temporal import capped_sessions
+
+    rows = [(1, t) for t in (0, 5, 11, 19, 20, 40, 41)] + [(2, 7), (2, None)] + [(3, 10 * k) for k in range(2500)]
+    found = capped_sessions(spark.createDataFrame(rows, "user_id long, us long"), "user_id", 10, 15).collect()
+    # a gap over 10 or a length over 15 starts a session
+    assert sorted(tuple(r) for r in found) == [(1, 3), (2, 1), (3, 1250)]
+
+
+def test_hops_stop_where_nothing_is_new(spark):
+    from vantage.operators.graph import hops
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9), (2, 1)], "a long, b long")
+    found = hops(edges, spark.createDataFrame([(1,)], "id long"), 20).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 0), (2, 1), (3, 2), (4, 3)]
