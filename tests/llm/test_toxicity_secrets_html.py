@@ -74,8 +74,25 @@ def test_automata_keep_lengths_and_prefixes():
     keys = ["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(200)]
     a = Automaton(keys)
     good, short, wrong = keys[0], keys[0][:-6], "BKIA" + keys[0][4:]
-    assert a.score(good) > a.score(wrong) + 2 and a.score(good) / 20 > a.score(short) / 14
-    assert Automaton([]).score("abc") < 0
+    one = a.scores([good, wrong, short])
+    assert one[0] > one[1] + 2 and one[0] / 20 > one[2] / 14
+    assert Automaton([]).scores(["abc"])[0] < 0 and len(a.scores([])) == 0
+
+
+def test_scores_of_many_texts_are_those_of_a_walk():
+    r = random.Random(4)
+    string = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    for fixed, alphabet in (("AKIA", "ABCDEF234567"), ("é", "0123456789abcdef"), ("", "abcxyz./+=-_")):
+        samples = [fixed + string(alphabet, r.randrange(6, 20)) for _ in range(150)]
+        for a in (Automaton(samples), Automaton(samples, join=False), Automaton([])):
+            for n in (1, 5, 40):
+                texts = samples[:n] + [string(alphabet + "éÿ 日😀Z", k * k) for k in range(n)] + ["", string(alphabet, 3000)]
+                for text, found in zip(texts, a.scores(texts), strict=True):
+                    at, want = 0, 0.0
+                    for c in text:
+                        x, at = a.step(at, c)
+                        want += x
+                    assert abs(found - want - a.end(at)) < 1e-6
 
 
 def test_disguised_credentials_are_found_and_words_left_alone(spark):

@@ -11,10 +11,13 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
+
 # classes of characters: digits, the letters of hexadecimal numbers apart, the rest as themselves
 _CLASSES = {"digit": "0123456789", "hexlow": "abcdef", "low": "ghijklmnopqrstuvwxyz", "hexup": "ABCDEF", "up": "GHIJKLMNOPQRSTUVWXYZ"}
 SYMBOL = {c: name for name, chars in _CLASSES.items() for c in chars} | {c: c for c in "+/_.=-"}
 SIZE = {name: len(chars) for name, chars in _CLASSES.items()} | {c: 1 for c in "+/_.=-"}
+FEW = 8  # at most so many of the longest texts are walked one by one
 FLOOR = 0.05  # weight of what was never seen, spread over all symbols and the end
 
 
@@ -116,20 +119,60 @@ class Automaton:
             else:
                 red.append(b)
         self.states = red
+        self._tabulate()
+
+    def step(self, at: int, c: str) -> tuple[float, int]:
+        """Natural log of the share of a character in a state, and the next state; -1 is the state without any transition."""
+        to, kinds = self.to[at] if at >= 0 else {}, len(self.size) + 1
+        s = self.name.get(c, "other")
+        own, seen = to.get(("is", c)), to.get(s)
+        share = FLOOR / kinds / self.size.get(s, 32)
+        if seen:
+            share += (1 - FLOOR) * seen[1] / self.n[at] / self.size.get(s, 32)
+        if own:
+            share += (1 - FLOOR) * own[1] / self.n[at]
+        return math.log(share), own[0] if own else seen[0] if seen else -1
+
+    def end(self, at: int) -> float:
+        """Natural log of the share of strings that end in a state."""
+        own = (1 - FLOOR) * self.ends[at] / self.n[at] if at >= 0 and self.n[at] else 0
+        return math.log(own + FLOOR / (len(self.size) + 1))
+
+    def _tabulate(self) -> None:
+        """step() and end() of all states as arrays; the last column stands for characters that no transition names."""
+        chars = sorted({*self.name, *(s[1] for p in self.states for s in self.to[p] if isinstance(s, tuple))})
+        place = {p: k for k, p in enumerate([*self.states, -1])}
+        steps = [[self.step(p, c) for c in [*chars, ""]] for p in place]
+        self.known = np.array([ord(c) for c in chars], np.uint32)
+        self.logs = np.array([[x for x, _ in row] for row in steps])
+        self.next = np.array([[place[x] for _, x in row] for row in steps])
+        self.last = np.array([self.end(p) for p in place])
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Natural log of the likelihood of each whole text.
 
-    def score(self, text: str) -> float:
-        """Natural log of the likelihood of the whole text."""
-        at, out, kinds = 0, 0.0, len(self.size) + 1
-        for c in text:
-            to = self.to[at] if at >= 0 else {}
-            s = self.name.get(c, "other")
-            own, seen = to.get(("is", c)), to.get(s)
-            share = FLOOR / kinds / self.size.get(s, 32)
-            if seen:
-                share += (1 - FLOOR) * seen[1] / self.n[at] / self.size.get(s, 32)
-            if own:
-                share += (1 - FLOOR) * own[1] / self.n[at]
-            out += math.log(share)
-            at = own[0] if own else seen[0] if seen else -1
-        end = (1 - FLOOR) * self.ends[at] / self.n[at] if at >= 0 and self.n[at] else 0
-        return out + math.log(end + FLOOR / kinds)
+        All texts go on by a character at a time while many are left; the few longest go on one by one.
+        """
+        length = np.array([len(x) for x in texts], np.int64)
+        order = np.argsort(-length, kind="stable")
+        length = length[order]
+        points = np.frombuffer("".join(texts[k] for k in order.tolist()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        column = np.searchsorted(self.known, points)
+        column[self.known[np.minimum(column, len(self.known) - 1)] != points] = len(self.known)
+        first = np.cumsum(length) - length
+        out, state = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        common = int(length[FEW]) if len(texts) > FEW else 0
+        for k in range(common):
+            live = int(np.searchsorted(-length, -k))
+            at, c = state[:live], column[first[:live] + k]
+            out[:live] += self.logs[at, c]
+            state[:live] = self.next[at, c]
+        for j in range(int(np.searchsorted(-length, -common))):
+            at, sum_ = int(state[j]), float(out[j])
+            for c in column[first[j] + common : first[j] + length[j]].tolist():
+                sum_ += self.logs.item(at, c)
+                at = self.next.item(at, c)
+            state[j], out[j] = at, sum_
+        found = np.empty(len(texts))
+        found[order] = out + self.last[state]
+        return found

@@ -139,11 +139,13 @@ def learn(docs: DataFrame, sample: int = 1500) -> dict[str, Automaton]:
     return {kind: Automaton(sorted(values), join=kind not in PLAIN) for kind, values in found.items()}
 
 
-def likelihood(text: str, automata: dict[str, Automaton]) -> float:
+def likelihoods(words: list[str], automata: dict[str, Automaton]) -> np.ndarray:
     """By how many nats a character the best automaton of credentials beats that of plain runs; -inf without any."""
-    score = {kind: a.score(text) for kind, a in automata.items()}
-    plain = max((x for kind, x in score.items() if kind in PLAIN), default=-4.5 * len(text))
-    return (max((x for kind, x in score.items() if kind not in PLAIN), default=float("-inf")) - plain) / len(text)
+    length = np.array([len(x) for x in words], np.float64)
+    score = {kind: a.scores(words) for kind, a in automata.items()}
+    plain = [x for kind, x in score.items() if kind in PLAIN] or [-4.5 * length]
+    secret = [x for kind, x in score.items() if kind not in PLAIN] or [np.full(len(words), -np.inf)]
+    return (np.max(secret, axis=0) - np.max(plain, axis=0)) / length
 
 
 def find_secrets(docs: DataFrame, sample: int = 1500, margin: float = 0.5) -> DataFrame:
@@ -161,25 +163,29 @@ def find_secrets(docs: DataFrame, sample: int = 1500, margin: float = 0.5) -> Da
     def scan(batches):
         automata, known = given.value, {}
 
-        def score(word: str) -> float:
-            if word not in known:
-                if len(known) > 400_000:
-                    known.clear()
-                known[word] = likelihood(word, automata)
-            return known[word]
+        def score(words) -> list[float]:
+            new = list({x: None for x in words if x not in known})
+            if new:
+                known.update(zip(new, likelihoods(new, automata).tolist(), strict=True))
+            return [known[x] for x in words]
 
         for batch in slices(batches, "text"):
+            if len(known) > 400_000:
+                known.clear()
             column = texts(batch)
             out: list[list[dict]] = [[] for _ in range(len(column))]
             marked = {row: base for row, _, base in _marked(column)}
             row, codes, names = _runs(column)
-            likely = np.fromiter((score(x) > margin for x in names), bool, len(names))
+            likely = np.array(score(names)) > margin
+            spans: list[tuple] = []  # (row, start, end, kind, string) of all that is scored
             for k in sorted({*marked, *row[likely[codes]].tolist()}):
                 base, text = marked.get(k, []), column[k].as_py()
-                spans = [(a, b, name, score(value)) for a, b, name, value in base]
-                spans += [(a, b, "format", score(text[a:b])) for a, b in candidates(text, base) if score(text[a:b]) > margin]
-                spans.sort(key=lambda x: (x[0], KINDS.index(x[2])))
-                out[k] = [{"start": a, "end": b, "kind": name, "score": x} for a, b, name, x in spans]
+                spans += [(k, a, b, name, value) for a, b, name, value in base]
+                spans += [(k, a, b, "format", text[a:b]) for a, b in candidates(text, base)]
+            scored = zip(spans, score([x[4] for x in spans]), strict=True)
+            for (k, a, b, name, _), x in sorted(scored, key=lambda x: (x[0][:2], KINDS.index(x[0][3]))):
+                if name != "format" or x > margin:
+                    out[k].append({"start": a, "end": b, "kind": name, "score": x})
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "spans": pa.array(out, kind)})
 
     return own.mapInArrow(scan, f"doc_id long, spans {SPANS}")
