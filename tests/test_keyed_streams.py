@@ -32,3 +32,47 @@ def test_reorder_over_batches(spark, tmp_path):
     found = sorted((r.seq, r.gap) for r in S.run_to_table(K.reorder(points, depth=3), "reorder").collect())
     # 4 and 5 are given up when 6, 7 and 8 wait; the late 4 is left out; 12 still waits for 10
     assert found == [(0, 0), (1, 0), (2, 0), (3, 0), (6, 2), (7, 0), (8, 0), (9, 0)]
+
+
+def test_changes_over_batches(spark, tmp_path):
+    batches = [[(1, 5, 50, False), (1, 3, 30, False), (2, -1, 7, False)], [(1, 4, 40, False), (1, -1, 0, False), (2, 9, None, True)], [(1, 6, 60, False), (2, 8, 80, False), (2, -1, 7, False), (1, None, 0, True)]]
+    changes = stream(spark, tmp_path, batches, "key long, lsn long, cents long, deleted boolean")
+    found = sorted((r.key, r.lsn, r.deleted) for r in S.run_to_table(K.changes_applied(changes), "changes").collect())
+    # late changes and snapshot rows do nothing, not even after a delete
+    assert found == [(1, 5, False), (1, 6, False), (2, -1, False), (2, 9, True)]
+
+
+def test_transactions_over_batches(spark, tmp_path):
+    schema = "tx long, row_id long, expected int, ts timestamp"
+    batches = [[(1, 10, 3, at(0)), (1, 11, 3, at(1)), (2, 20, 2, at(1)), (2, 20, 2, at(2))], [(1, 11, 3, at(2)), (1, 12, 3, at(3)), (3, 30, 1, at(3))], [(2, 21, 2, at(4)), (1, 12, 3, at(4)), (4, None, 1, at(4)), (5, 50, 1, None)]]
+    rows = stream(spark, tmp_path, batches, schema)
+    found = sorted((r.tx, r.n) for r in S.run_to_table(K.complete_transactions(rows), "tx").collect())
+    assert found == [(1, 3), (2, 2), (3, 1)]
+
+
+def test_a_transaction_is_given_up_behind_the_watermark(spark, tmp_path):
+    schema = "tx long, row_id long, expected int, ts timestamp"
+    batches = [[(1, 10, 2, at(0))], [(9, 90, 1, at(600))], [(8, 80, 1, at(601))], [(1, 11, 2, at(602))]]
+    rows = stream(spark, tmp_path, batches, schema)
+    found = sorted((r.tx, r.n) for r in S.run_to_table(K.complete_transactions(rows, "10 minutes"), "given_up").collect())
+    assert found == [(8, 1), (9, 1)]
+
+
+def test_replays_count_once_over_batches(spark, tmp_path):
+    batches = [[(1, 1), (1, 2), (1, 1)], [(1, 2), (1, 3), (2, 1)], [(1, 1), (None, 1), (2, None)]]
+    events = stream(spark, tmp_path, batches, "user_id long, event_id long")
+    counts = lambda ring: sorted((r.user_id, r.n) for r in S.run_to_table(K.counted_once(events, ring), "once").collect())
+    assert counts(64) == [(1, 2), (1, 3), (2, 1)]
+    # a ring of two has forgotten the first event when it comes again
+    assert counts(2) == [(1, 2), (1, 3), (1, 4), (2, 1)]
+
+
+def test_progress_is_summed_over_all_reports(spark, tmp_path):
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1")
+    try:
+        events = stream(spark, tmp_path, [[(1, 1)], [(1, 2), (1, 3)], [(2, 4)]], "user_id long, event_id long")
+        table, progress = S.run_with_progress(events, "progress")
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+    assert table.count() == 4 and progress == {"input_rows": 4, "late_rows": 0, "batches": 3}

@@ -10,6 +10,7 @@ from vantage.functions.time import DAY, HOUR, whole, window_start
 from vantage.operators import metrics as M
 from vantage.plans.metrics import PT
 from vantage.sources.tables import EV, events as ev, table
+from vantage.streaming import keyed as K
 from vantage.streaming import windows as S
 
 CLOSED = """WITH {EV}, m AS (SELECT max(us) - 600000000 AS mark FROM ev), w AS (SELECT us - us % {size} AS start_us, {key}, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM ev GROUP BY ALL)
@@ -94,17 +95,20 @@ def t19(spark, sf_dir):
 @query("T20_cdc_apply", f"WITH {EV}, c AS (SELECT user_id AS key, event_id AS lsn, cents, event_type = 'error' AS deleted FROM ev) SELECT key, arg_max(cents, lsn) AS cents FROM c GROUP BY key HAVING NOT arg_max(deleted, lsn)")
 def t20(spark, sf_dir):
     """The last change of each key by log number; deletes leave nothing, snapshot rows lose to any change."""
-    e = ev(spark, sf_dir)
-    log = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), "cents", (F.col("event_type") == "error").alias("deleted"))
-    snapshot = e.select(F.col("user_id").alias("key"), F.lit(-1).cast("long").alias("lsn"), F.lit(0).cast("long").alias("cents"), F.lit(False).alias("deleted")).distinct()
-    last = log.unionByName(snapshot).groupBy("key").agg(F.max_by(F.struct("cents", "deleted"), "lsn").alias("v"))
-    return last.filter(~F.col("v.deleted")).select("key", "v.cents")
+    log = S.read_events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), "cents", (F.col("event_type") == "error").alias("deleted"))
+    row = F.struct("lsn", "cents", "deleted")
+    snapshot = F.struct(F.lit(-1).cast("long").alias("lsn"), F.lit(0).cast("long").alias("cents"), F.lit(False).alias("deleted"))
+    both = log.select("key", F.explode(F.array(row, snapshot)).alias("c")).select("key", "c.*")
+    applied = S.run_to_table(K.changes_applied(both), "t20").groupBy("key").agg(F.max_by(F.struct("cents", "deleted"), "lsn").alias("v"))
+    return applied.filter(~F.col("v.deleted")).select("key", "v.cents")
 
 
 @query("T21_transaction_complete", f"WITH {EV}, t AS (SELECT event_id // 4 AS tx, count(*) AS n FROM ev WHERE event_id % 97 <> 0 GROUP BY 1) SELECT tx FROM t WHERE n = 4")
 def t21(spark, sf_dir):
-    t = ev(spark, sf_dir).filter(F.col("event_id") % 97 != 0).groupBy(whole(F.col("event_id"), 4).alias("tx")).agg(F.count("*").alias("n"))
-    return t.filter(F.col("n") == 4).select("tx")
+    """Transactions of four rows, shown when the fourth is there; one row in 97 never comes."""
+    e = S.read_events(spark, sf_dir).filter(F.col("event_id") % 97 != 0)
+    rows = e.select(whole(F.col("event_id"), 4).alias("tx"), F.col("event_id").alias("row_id"), F.lit(4).alias("expected"), "ts")
+    return S.run_to_table(K.complete_transactions(rows), "t21").select("tx")
 
 
 @query("T22_salted_windows", f"WITH {EV}, m AS (SELECT max(us) - 600000000 AS mark FROM ev), w AS (SELECT us - us % 3600000000 AS start_us, event_type, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM ev GROUP BY ALL) SELECT start_us, event_type, n, total FROM w, m WHERE start_us + 3600000000 <= mark")
@@ -114,8 +118,11 @@ def t22(spark, sf_dir):
 
 @query("T23_idempotent_counters", f"WITH {EV} SELECT user_id, count(*) AS n FROM ev GROUP BY 1")
 def t23(spark, sf_dir):
-    e = ev(spark, sf_dir)
-    return e.unionByName(e.filter(F.col("event_id") % 50 == 0)).groupBy("user_id").agg(F.countDistinct("event_id").alias("n"))
+    """Events of a user, of which one in 50 comes twice."""
+    e = S.read_events(spark, sf_dir).select("user_id", "event_id")
+    twice = F.when(F.col("event_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    counts = S.run_to_table(K.counted_once(e.withColumn("copy", F.explode(twice))), "t23")
+    return counts.groupBy("user_id").agg(F.max("n").alias("n"))
 
 
 @query("T24_stream_batch_delta", f"WITH {EV}, m AS (SELECT max(us) - 600000000 AS mark FROM ev) SELECT count(DISTINCT (us // 3600000000, event_type)) AS windows, 0 AS off FROM ev, m WHERE us - us % 3600000000 + 3600000000 <= mark")

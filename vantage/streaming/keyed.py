@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 # fixed values: state after each kind of event, by state; what is absent is illegal
@@ -90,3 +91,72 @@ def reorder(points: DataFrame, depth: int = 8) -> DataFrame:
         yield pd.DataFrame(out, columns=["source", "seq", "gap"])
 
     return _stateful(points, "source", step, "source long, seq long, gap long", "next_seq long, waiting array<long>")
+
+
+def changes_applied(changes: DataFrame) -> DataFrame:
+    """(key, lsn, cents, deleted): the newest change of a key, once for each micro-batch that brings a newer one.
+
+    changes holds (key, lsn, cents, deleted); those without an lsn are left out. The state is the highest log number seen, deletes included, so a change that
+    comes again or late, and a snapshot row (lsn -1) after any change, does nothing.
+    """
+
+    def step(key, frames, state):
+        seen = state.get[0] if state.exists else -2
+        last = pd.concat([f.nlargest(1, "lsn") for f in frames]).nlargest(1, "lsn")
+        if int(last["lsn"].iloc[0]) > seen:
+            state.update((int(last["lsn"].iloc[0]),))
+            yield last[["key", "lsn", "cents", "deleted"]]
+
+    return _stateful(changes.filter("lsn IS NOT NULL"), "key", step, "key long, lsn long, cents long, deleted boolean", "lsn long")
+
+
+def complete_transactions(rows: DataFrame, wait: str = "1 hour") -> DataFrame:
+    """(tx, n): each transaction when as many different rows as its `expected` have come; what the watermark passes without
+    them is given up, and its state goes.
+
+    rows holds (tx, row_id, expected, ts); a row that comes again counts once, rows with a null among them are left out.
+    """
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seen, done = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
+        expected, newest = 0, 0
+        for f in frames:
+            seen |= {int(x) for x in f["row_id"]}
+            expected = int(f["expected"].max())
+            newest = max(newest, int(f["ms"].max()))
+        full = not done and len(seen) >= expected
+        if full:
+            yield pd.DataFrame({"tx": [key[0]], "n": [len(seen)]})
+        state.update((sorted(seen), done or full))
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
+
+    known = rows.select("tx", "row_id", "expected", "ts").dropna().withColumn("ms", F.unix_millis("ts"))
+    keyed = known.withWatermark("ts", wait).groupBy("tx")
+    return keyed.applyInPandasWithState(step, "tx long, n long", "seen array<long>, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def counted_once(events: DataFrame, ring: int = 64) -> DataFrame:
+    """(user_id, n): a key's count after each micro-batch that raises it; an event among the last `ring` ids is a replay.
+
+    Rows without a user or an id are left out. The ring bounds the state, so a replay is caught while no more than `ring` newer events of its key have come.
+    """
+
+    def step(key, frames, state):
+        n, last = (state.get[0], state.get[1]) if state.exists else (0, [])
+        held, before = dict.fromkeys(last), n
+        for f in frames:
+            for x in f["event_id"].tolist():
+                if x not in held:
+                    n += 1
+                    held[x] = None
+                    if len(held) > ring:
+                        del held[next(iter(held))]
+        state.update((n, list(held)))
+        if n > before:
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+    known = events.filter("user_id IS NOT NULL AND event_id IS NOT NULL")
+    return _stateful(known, "user_id", step, "user_id long, n long", "n long, last array<long>")

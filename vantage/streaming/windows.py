@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from vantage.runtime import shared_dir
 
@@ -79,13 +81,46 @@ def interval_join(left: DataFrame, right: DataFrame, delay: str, most: str) -> D
     return a.join(b, F.expr(f"left_user = right_user AND right_ts >= left_ts AND right_ts <= left_ts + INTERVAL {most}")).select("left_id", "right_id")
 
 
+class Totals(StreamingQueryListener):
+    """Sums of all progress reports of one query; the query itself keeps only its last ones."""
+
+    def __init__(self):
+        self.reports: dict[str, dict[str, int]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def of(self, run: str) -> tuple[dict[str, int], threading.Event]:
+        start = {"input_rows": 0, "late_rows": 0, "batches": 0}
+        return self.reports.setdefault(run, start), self.ended.setdefault(run, threading.Event())
+
+    def onQueryStarted(self, event) -> None:
+        self.of(str(event.runId))
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        sums, _ = self.of(str(p.runId))
+        sums["input_rows"] += p.numInputRows
+        sums["late_rows"] += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        sums["batches"] += p.numInputRows > 0
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.of(str(event.runId))[1].set()
+
+
 def run_with_progress(stream: DataFrame, name: str) -> tuple[DataFrame, dict[str, int]]:
     """run_to_table, and what the query reported of itself: rows read, rows dropped as late, batches that read rows."""
     spark = stream.sparkSession
     base = f"{shared_dir(spark)}/vantage/stream-{name}-{uuid.uuid4().hex}"
-    query = stream.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    reports = query.recentProgress
-    late = sum(o.numRowsDroppedByWatermark for p in reports for o in p.stateOperators)
-    progress = {"input_rows": sum(p.numInputRows for p in reports), "late_rows": late, "batches": sum(p.numInputRows > 0 for p in reports)}
+    totals = Totals()
+    spark.streams.addListener(totals)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{base}/table").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        progress, ended = totals.of(str(query.runId))
+        if not ended.wait(60):  # reports come in order, so this is the last
+            raise TimeoutError("the stream's reports did not end")
+    finally:
+        spark.streams.removeListener(totals)
     return spark.read.schema(stream.schema).parquet(f"{base}/table"), progress
