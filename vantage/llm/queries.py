@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vantage.runtime import small_batches
 
 WORDS = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +73,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op12_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.pieces import piece_digest
+
+    return piece_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(PIECES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: _in_small_batches(f) for k, f in globals().items() if k.startswith("op") and callable(f)}
 
