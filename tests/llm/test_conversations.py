@@ -7,7 +7,7 @@ import zlib
 from collections import defaultdict
 
 from tests.oracle import connect, differences
-from vantage.llm import conversation_trie, queries
+from vantage.llm import conversation_repair, conversation_trie, queries
 from vantage.llm.running import BASES, PRIME, running
 
 SCHEMA = "conv_id long, turn long, role string, text string, place string, f1 string, part int, rank double, a int, count string"
@@ -121,3 +121,111 @@ def test_trie_of_nothing_and_turnless(spark):
 def test_trie_query_agrees_with_sql(spark):
     sf = "/root/testdata/sf0.001"
     assert differences(queries.queries()["op13_conversation_trie"](spark, sf), connect(sf), queries.oracle_sql()["op13_conversation_trie"]) == ""
+
+
+def cheapest(rows):
+    """(cost, audit, repaired rows) of role, text and fault rows: all edits tried, the least pair taken."""
+    after = {"": "u", "s": "u", "u": "a", "a": "u"}
+    fits = {"": "su", "s": "u", "u": "a", "a": "u"}
+    name = {"u": "user", "a": "assistant"}
+    best = {(len(rows), q): (0, "", ()) for q in ("", "a")}
+    inf = (10**9, "", ())
+    for i in range(len(rows), -1, -1):
+        role, text, fault = rows[i] if i < len(rows) else (None, None, None)
+        base = {}
+        for q in after:
+            options = [best.get((i, q), inf)] if i == len(rows) else []
+            if i < len(rows):
+                add = lambda c, e, row, to: options.append((c + best[i + 1, to][0], e + best[i + 1, to][1], row + best[i + 1, to][2]))  # noqa: B023, E731
+                add(2, "D", (), q)
+                more = 5 if fault == "truncated" else 0
+                if fault not in ("blank", "duplicate"):
+                    if role[:1] and role[0] in fits[q]:
+                        add(more, "K", ((role, text),), role[0])
+                    add(more + 1, "R", ((name[after[q]], text),), after[q])
+            base[q] = min(options, key=lambda x: x[:2])
+        for _ in range(4):  # insertions, until nothing changes
+            for q, to in after.items():
+                c, audit, row = base[to]
+                base[q] = min(base[q], (c + 5, "I" + audit, ((name[to], ""), *row)), key=lambda x: x[:2])
+        best |= {(i, q): x for q, x in base.items()}
+    return best[0, ""]
+
+
+def repaired_by_loops(rows):
+    conv = defaultdict(list)
+    for c, turn, role, text in rows:
+        conv[c]
+        k = zlib.crc32(f"{' ' if c is None else c}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if k:
+            row = (turn is not None, turn or 0, "user" if k == 4 else role, "" if k == 1 else re.sub("[.!?]", "", text) if k == 2 else text)
+            conv[c] += [row] * (2 if k == 3 else 1)
+    out = []
+    for c, found in conv.items():
+        found.sort()
+        said, marked, counts = set(), [], dict(blank=0, duplicate=0, truncated=0)
+        for _, _, role, text in found:
+            last = re.findall(r"[^\x20\x09-\x0D]", text)[-1:]
+            fault = "blank" if not last else "duplicate" if (role, text) in said else "truncated" if last[0] not in ".!?" else None
+            said.add((role, text))
+            marked.append((role, text, fault))
+            if fault:
+                counts[fault] += 1
+        turns = [t for known, t, _, _ in found if known]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[0][:1] + b[0][:1] not in ("su", "ua", "au") for a, b in zip(marked, marked[1:]))
+        cost, audit, kept = cheapest(marked)
+        out.append((c, gaps, *counts.values(), illegal, cost, audit, sha("\n".join(f"{r}:{t}" for r, t in kept))))
+    return out
+
+
+def by_id(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0]))
+
+
+def some_conversations(seed):
+    r = random.Random(seed)
+    roles = ["user", "assistant", "user", "assistant", "system", "tool", "", None]
+    texts = ["Yes.", "No?", "cut", "", " \t", None, "Long. " * 900, "a b", "Fine!"] + [f"text {k}." for k in range(12)]
+    rows = without_ties(odd(seed))
+    for c in range(100, 260):
+        n = 700 if c == 107 else r.randint(0, 9)
+        rows += [(c, t, r.choice(roles), r.choice(texts)) for t in range(n)]
+    return [*rows, (None, 1, "user", "Here."), (None, None, "assistant", "There.")]
+
+
+def test_repair_is_the_cheapest_of_all(spark, monkeypatch):
+    for seed, block in ((1, 256), (2, 3)):
+        monkeypatch.setattr(conversation_repair, "BLOCK", block)
+        rows = some_conversations(seed)
+        df = frame(spark, rows)
+        found = conversation_repair.repair_digest(conversation_repair.damaged(df), df)
+        assert found.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
+        assert by_id(map(tuple, found.collect())) == by_id(repaired_by_loops(rows))
+
+
+def test_repaired_rows_follow_the_grammar(spark):
+    df = frame(spark, some_conversations(5))
+    marked = conversation_repair.with_marks(conversation_repair.damaged(df))
+    found = conversation_repair.audits(conversation_repair.signatures(conversation_repair.fault_rows(marked)))
+    initials = defaultdict(dict)
+    for r in conversation_repair.repaired(marked, found).collect():
+        initials[r.cid][r.place] = r.role[0]
+    assert len(initials) > 100
+    for x in initials.values():
+        assert re.fullmatch("(s?(ua)+)?", "".join(x[k] for k in range(len(x))))
+
+
+def test_repair_of_nothing(spark):
+    empty = frame(spark, [], 1)
+    assert conversation_repair.repair_digest(conversation_repair.damaged(empty), empty).collect() == []
+    gone = next(t for t in range(100) if zlib.crc32(f"3:{t}".encode()) % 20 == 0)
+    df = frame(spark, [(3, gone, "user", "Dropped.")])
+    assert [tuple(r) for r in conversation_repair.repair_digest(conversation_repair.damaged(df), df).collect()] == [(3, 0, 0, 0, 0, 0, 0, "", sha(""))]
+
+
+def test_repair_query_over_whole_conversations(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert by_id(map(tuple, queries.queries()["op11_conversation_repair"](spark, sf).collect())) == by_id(repaired_by_loops(rows))

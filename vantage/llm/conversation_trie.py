@@ -15,12 +15,11 @@ that have most of them find their parent in a broadcast of at most 1,000 rows.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +70,7 @@ def shared_heads(ranked: DataFrame, base: Column, taken: Column, most: int) -> D
 def end_lists(last: DataFrame) -> DataFrame:
     """(a, b, depth, first, n, ids) from (conv_id, a, b, depth): ascending conversations of each sequence, at most CHUNK a row."""
     schema = "a long, b long, depth long, first long, n long, ids array<long>"
+    most = CHUNK
 
     def lists(batches):
         for batch in batches:
@@ -78,7 +78,7 @@ def end_lists(last: DataFrame) -> DataFrame:
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
             begin = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-            at = np.flatnonzero((np.arange(len(a)) - begin) % CHUNK == 0)
+            at = np.flatnonzero((np.arange(len(a)) - begin) % most == 0)
             n = np.diff(np.append(at, len(a)))
             values = pa.ListArray.from_arrays(pa.array(np.append(at, len(a)), pa.int32()), pa.array(ids))
             yield pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(depth[at]), pa.array(ids[at]), pa.array(n), values], ["a", "b", "depth", "first", "n", "ids"])

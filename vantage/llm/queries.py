@@ -73,6 +73,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vantage.llm.conversation_repair import damaged, repair_digest
+
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_digest(damaged(conversations), conversations)
+
+
 def op12_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vantage.llm.pieces import piece_digest
 
