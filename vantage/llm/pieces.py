@@ -14,6 +14,7 @@ alone, each different one once in a worker while it is among the last `limit` to
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 from itertools import chain, groupby
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from vantage.llm.arrays import slices, starts
+from vantage.llm.arrays import list_parts, slices, starts
 from vantage.runtime import unused
 
 SPACE = "▁"
@@ -35,7 +36,7 @@ NEVER = float("-inf")
 class PieceEncoder:
     """Encodes chunks with the vocabulary and scores of a model file; `limit` bounds the chunks and pairs that are kept."""
 
-    def __init__(self, file: str, limit: int = 200_000):
+    def __init__(self, file: str, limit: int = 400_000):
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=file)
         plain = [k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
         self.id = {model.id_to_piece(k): k for k in plain}
@@ -48,7 +49,7 @@ class PieceEncoder:
         self.limit = limit
         self.built: dict[str, list[tuple[float, str, str]] | None] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as 32-bit numbers
         self.known_before = self.known
         tokens = {x for x in self.id if self.merges(x)}
         self.shorter = {x: next((x[:k] for k in range(len(x) - 1, 0, -1) if x[:k] in tokens), x[0]) for x in tokens if len(x) > 1}
@@ -164,22 +165,26 @@ class PieceEncoder:
 
     def ids(self, tokens: list[str]) -> list[int]:
         """Ids of tokens; a letter that the vocabulary lacks gives its bytes' ids, or one unknown id for a run of them."""
-        if self.fallback:
-            return list(chain.from_iterable([self.id[x]] if x in self.id else (self.bytes[b] for b in x.encode()) for x in tokens))
-        return list(chain.from_iterable([self.unknown] if lost else (self.id[x] for x in run) for lost, run in groupby(tokens, lambda x: x not in self.id)))
-
-    def _learn(self, chunk: str) -> tuple[int, ...]:
-        found = self.known_before.get(chunk) or tuple(self.ids(self.tokens(chunk)))
+        found = self.id
+        try:
+            return [found[x] for x in tokens]
+        except KeyError:
+            if self.fallback:
+                return list(chain.from_iterable([found[x]] if x in found else (self.bytes[b] for b in x.encode()) for x in tokens))
+            return list(chain.from_iterable([self.unknown] if lost else (found[x] for x in run) for lost, run in groupby(tokens, lambda x: x not in found)))
+
+    def _learn(self, chunk: str) -> bytes:
+        found = self.known_before.get(chunk) or array("i", self.ids(self.tokens(chunk))).tobytes()
         if len(chunk) <= 64:
             if len(self.known) >= self.limit:
                 self.known_before, self.known = self.known, {}
             self.known[chunk] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, without an end id."""
-        known, learn = self.known, self._learn
-        return list(chain.from_iterable([known.get(x) or learn(x) for x in self.chunk.findall(self.library.normalize(text))]))
+        known, learn = self.known.get, self._learn  # a text that starts a new generation goes on with the old one
+        return np.frombuffer(b"".join([known(x) or learn(x) for x in self.chunk.findall(self.library.normalize(text))]), np.int32)
 
 
 @lru_cache(2)
@@ -197,14 +202,14 @@ def encode_pieces(docs: DataFrame, file: str, end_id: int | None = 2, column: st
     """
     name = unused(docs.drop(column), ids)
     schema = StructType([f for f in docs.schema if f.name != column]).add(name, ArrayType(IntegerType(), False), False)
-    end = [] if end_id is None else [end_id]
+    end = np.array([] if end_id is None else [end_id], np.int32)
 
     def run(batches):
         coder = encoder(file)
         for batch in slices(batches, column):
-            found = [coder.encode(x or "") + end for x in batch.column(column).to_pylist()]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter(chain.from_iterable(found), np.int32, int(n.sum()))
+            found = [coder.encode(x or "") for x in batch.column(column).to_pylist()]
+            n = np.fromiter(map(len, found), np.int64, len(found)) + len(end)
+            flat = np.concatenate([x for ids in found for x in (ids, end)])
             lists = pa.ListArray.from_arrays(pa.array(starts(n), pa.int32()), pa.array(flat))
             rest = [k for k in batch.schema.names if k != column]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in rest), lists], [*rest, name])
@@ -225,7 +230,9 @@ def decode_pieces(rows: DataFrame, file: str, ids: str = "ids", text: str = "tex
         model = encoder(file).library
         for batch in batches:
             for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                found = [model.decode(x) if x else "" for x in part.column(ids).to_pylist()]
+                n, flat = list_parts(part.column(ids).fill_null([]))
+                at, flat = starts(n).tolist(), flat.to_numpy()
+                found = [model.decode(flat[a:b].tolist()) if b > a else "" for a, b in zip(at, at[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string())], [*part.schema.names, name])
 
     return rows.mapInArrow(run, schema)
