@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("metrics", "event_log", "commerce", "corpus", "streams", "records", "keyed_streams", "evidence")
+AREAS = ("metrics", "event_log", "commerce", "corpus", "streams", "records", "keyed_streams", "timed_streams", "evidence")
 
 
 def load_all() -> None:
