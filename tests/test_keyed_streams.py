@@ -76,3 +76,15 @@ def test_progress_is_summed_over_all_reports(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
     assert table.count() == 4 and progress == {"input_rows": 4, "late_rows": 0, "batches": 3}
+
+
+def test_keyed_states_go_after_their_time(spark, tmp_path):
+    schema = "user_id long, event_id long, ts timestamp, event_type string, cents long, source long, seq long, arrived long, key long, lsn long, deleted boolean"
+    row = lambda user, k, minute: (user, k, at(minute), "view", 1, user, 0, k, user, k, False)
+    # the first user falls silent; the second one's rows move the clock on by more than an hour, twice
+    events = stream(spark, tmp_path, [[row(1, 1, 0), row(2, 2, 0)], [row(2, 3, 100)], [row(2, 4, 200)], [row(2, 5, 201)]], schema)
+    for name, made in {"life": K.lifecycle(events, ttl="1 hour"), "nth": K.every_nth(events, 2, ttl="1 hour"), "order": K.reorder(events, ttl="1 hour"), "cdc": K.changes_applied(events, "1 hour"), "once": K.counted_once(events, ttl="1 hour")}.items():
+        query = made.writeStream.format("parquet").option("path", f"{tmp_path}/{name}").option("checkpointLocation", f"{tmp_path}/state-{name}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        left = spark.read.format("statestore").load(f"{tmp_path}/state-{name}").select("key.*").collect()
+        assert [tuple(r) for r in left] == [(2,)], name

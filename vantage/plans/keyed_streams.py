@@ -11,6 +11,7 @@ from vantage.streaming import keyed as K
 from vantage.streaming import windows as S
 
 MOVES = " ".join(f"WHEN {{s}} = '{a}' AND {{k}} = '{kind}' THEN '{b}'" for a, kinds in K.LIFECYCLE.items() for kind, b in kinds.items())
+TTL = "365 days"
 STEP = "CASE " + MOVES + " END"
 
 
@@ -20,14 +21,14 @@ STEP = "CASE " + MOVES + " END"
  SELECT user_id, event_id, state, legal FROM r""")
 def t18(spark, sf_dir):
     """Each event with its user's state after it; illegal ones are marked."""
-    return S.run_to_table(K.lifecycle(S.read_events(spark, sf_dir)), "t18")
+    return S.run_to_table(K.lifecycle(S.read_events(spark, sf_dir), ttl=TTL), "t18")
 
 
 @query("T05_custom_trigger", f"""WITH {EV}, n AS (SELECT user_id, event_id, row_number() OVER w AS seen, CAST(sum(cents) OVER w AS BIGINT) AS total FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
  SELECT * FROM n WHERE seen % 10 = 0""")
 def t05(spark, sf_dir):
     """One window a user, forever, that shows itself at every tenth row."""
-    return S.run_to_table(K.every_nth(S.read_events(spark, sf_dir)), "t05")
+    return S.run_to_table(K.every_nth(S.read_events(spark, sf_dir), ttl=TTL), "t05")
 
 
 @query("T08_reorder_stream", """WITH p AS (SELECT event_id % 10 AS source, event_id // 10 AS seq, event_id % 97 = 0 AS lost FROM events), l AS (SELECT source, coalesce(max(seq) FILTER (lost), -1) AS last FROM p GROUP BY 1),
@@ -37,9 +38,9 @@ def t08(spark, sf_dir):
     """Points of ten sources arrive up to four places late and some twice, one in 97 never; what waits at the end stays in the buffer."""
     e = S.read_events(spark, sf_dir).filter(F.col("event_id") % 97 != 0)
     seq = whole(F.col("event_id"), 10)
-    p = e.select((F.col("event_id") % 10).alias("source"), seq.alias("seq"), (seq + (seq * 7) % 5).alias("arrived"), "event_id")
+    p = e.select("ts", (F.col("event_id") % 10).alias("source"), seq.alias("seq"), (seq + (seq * 7) % 5).alias("arrived"), "event_id")
     twice = F.when(F.col("event_id") % 50 == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return S.run_to_table(K.reorder(p.withColumn("copy", F.explode(twice)).withColumn("arrived", F.col("arrived") + F.col("copy"))), "t08")
+    return S.run_to_table(K.reorder(p.withColumn("copy", F.explode(twice)).withColumn("arrived", F.col("arrived") + F.col("copy")), ttl=TTL), "t08")
 
 
 @query("T09_close_reason", f"""WITH {EV}, c AS (SELECT max(us) AS clock FROM ev), w AS (SELECT user_id, us - us % 3600000000 AS start_us, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total, max(us) AS newest FROM ev GROUP BY ALL)

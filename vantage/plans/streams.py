@@ -13,6 +13,7 @@ from vantage.sources.tables import EV, events as ev, table
 from vantage.streaming import keyed as K
 from vantage.streaming import windows as S
 
+TTL = "365 days"
 CLOSED = """WITH {EV}, m AS (SELECT max(us) - 600000000 AS mark FROM ev), w AS (SELECT us - us % {size} AS start_us, {key}, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total FROM ev GROUP BY ALL)
  SELECT start_us, {name}, n, total FROM w, m WHERE start_us + {size} <= mark"""
 
@@ -95,11 +96,11 @@ def t19(spark, sf_dir):
 @query("T20_cdc_apply", f"WITH {EV}, c AS (SELECT user_id AS key, event_id AS lsn, cents, event_type = 'error' AS deleted FROM ev) SELECT key, arg_max(cents, lsn) AS cents FROM c GROUP BY key HAVING NOT arg_max(deleted, lsn)")
 def t20(spark, sf_dir):
     """The last change of each key by log number; deletes leave nothing, snapshot rows lose to any change."""
-    log = S.read_events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), "cents", (F.col("event_type") == "error").alias("deleted"))
+    log = S.read_events(spark, sf_dir).select("ts", F.col("user_id").alias("key"), F.col("event_id").alias("lsn"), "cents", (F.col("event_type") == "error").alias("deleted"))
     row = F.struct("lsn", "cents", "deleted")
     snapshot = F.struct(F.lit(-1).cast("long").alias("lsn"), F.lit(0).cast("long").alias("cents"), F.lit(False).alias("deleted"))
-    both = log.select("key", F.explode(F.array(row, snapshot)).alias("c")).select("key", "c.*")
-    applied = S.run_to_table(K.changes_applied(both), "t20").groupBy("key").agg(F.max_by(F.struct("cents", "deleted"), "lsn").alias("v"))
+    both = log.select("ts", "key", F.explode(F.array(row, snapshot)).alias("c")).select("ts", "key", "c.*")
+    applied = S.run_to_table(K.changes_applied(both, TTL), "t20").groupBy("key").agg(F.max_by(F.struct("cents", "deleted"), "lsn").alias("v"))
     return applied.filter(~F.col("v.deleted")).select("key", "v.cents")
 
 
@@ -119,9 +120,9 @@ def t22(spark, sf_dir):
 @query("T23_idempotent_counters", f"WITH {EV} SELECT user_id, count(*) AS n FROM ev GROUP BY 1")
 def t23(spark, sf_dir):
     """Events of a user, of which one in 50 comes twice."""
-    e = S.read_events(spark, sf_dir).select("user_id", "event_id")
+    e = S.read_events(spark, sf_dir).select("ts", "user_id", "event_id")
     twice = F.when(F.col("event_id") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    counts = S.run_to_table(K.counted_once(e.withColumn("copy", F.explode(twice))), "t23")
+    counts = S.run_to_table(K.counted_once(e.withColumn("copy", F.explode(twice)), ttl=TTL), "t23")
     return counts.groupBy("user_id").agg(F.max("n").alias("n"))
 
 

@@ -1,6 +1,6 @@
 """Keyed streaming operators with a state of their own.
 
-Each state is a few numbers (or at most `depth` waiting rows) a key. A key's rows of one micro-batch are sorted in its
+Each state is a few numbers (or at most `depth` waiting rows) a key, and goes after `ttl` of event time without a row of its key. A key's rows of one micro-batch are sorted in its
 task, so maxFilesPerTrigger bounds what a hot key holds at once.
 """
 
@@ -25,11 +25,26 @@ def _ordered(frames, by: list[str]) -> pd.DataFrame:
     return pd.concat(list(frames)).sort_values(by, kind="stable")
 
 
-def _stateful(events: DataFrame, key: str, step, output: str, state: str) -> DataFrame:
-    return events.groupBy(key).applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
+def _stateful(events: DataFrame, key: str, step, output: str, state: str, ttl: str | None = None, clock: str = "ts") -> DataFrame:
+    """A state a key. With `ttl`, the state goes once the latest time of all rows is `ttl` past the key's own latest, and rows so late are left out."""
+    if ttl is None:
+        return events.groupBy(key).applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
+
+    def kept(group, frames, handle):
+        if handle.hasTimedOut:
+            handle.remove()
+            return
+        found = list(frames)
+        newest = max((int(f["__ms"].max()) for f in found if f["__ms"].notna().any()), default=0)
+        yield from step(group, iter(found), handle)
+        if handle.exists:
+            handle.setTimeoutTimestamp(max(newest, handle.getCurrentWatermarkMs()) + 1)
+
+    marked = events.withColumn("__ms", F.unix_millis(clock)).withWatermark(clock, ttl)
+    return marked.groupBy(key).applyInPandasWithState(kept, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def lifecycle(events: DataFrame, moves: dict[str, dict[str, str]] = LIFECYCLE, start: str = "new") -> DataFrame:
+def lifecycle(events: DataFrame, moves: dict[str, dict[str, str]] = LIFECYCLE, start: str = "new", ttl: str | None = None) -> DataFrame:
     """(user_id, event_id, state, legal): an illegal event leaves the state alone and is marked, for a side output.
 
     Rows without a user share one key; a null event type is illegal in every state.
@@ -47,10 +62,10 @@ def lifecycle(events: DataFrame, moves: dict[str, dict[str, str]] = LIFECYCLE, s
         state.update((at,))
         yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "state": states, "legal": legal})
 
-    return _stateful(events, "user_id", step, "user_id long, event_id long, state string, legal boolean", "at string")
+    return _stateful(events, "user_id", step, "user_id long, event_id long, state string, legal boolean", "at string", ttl)
 
 
-def every_nth(events: DataFrame, n: int = 10) -> DataFrame:
+def every_nth(events: DataFrame, n: int = 10, ttl: str | None = None) -> DataFrame:
     """(user_id, event_id, seen, total): one global window a key that shows its count and sum at every n-th row."""
 
     def step(key, frames, state):
@@ -62,10 +77,10 @@ def every_nth(events: DataFrame, n: int = 10) -> DataFrame:
         on = counts % n == 0
         yield pd.DataFrame({"user_id": rows["user_id"][on], "event_id": rows["event_id"][on], "seen": counts[on], "total": sums[on]})
 
-    return _stateful(events, "user_id", step, "user_id long, event_id long, seen long, total long", "seen long, total long")
+    return _stateful(events, "user_id", step, "user_id long, event_id long, seen long, total long", "seen long, total long", ttl)
 
 
-def reorder(points: DataFrame, depth: int = 8) -> DataFrame:
+def reorder(points: DataFrame, depth: int = 8, ttl: str | None = None) -> DataFrame:
     """(source, seq, gap): rows in order of seq, each once; gap is how many numbers were given up just before a row.
 
     points holds (source, seq, arrived). Rows wait for a missing predecessor until `depth` of them wait; then the missing
@@ -90,10 +105,10 @@ def reorder(points: DataFrame, depth: int = 8) -> DataFrame:
         state.update((next_seq, sorted(waiting)))
         yield pd.DataFrame(out, columns=["source", "seq", "gap"])
 
-    return _stateful(points, "source", step, "source long, seq long, gap long", "next_seq long, waiting array<long>")
+    return _stateful(points, "source", step, "source long, seq long, gap long", "next_seq long, waiting array<long>", ttl)
 
 
-def changes_applied(changes: DataFrame) -> DataFrame:
+def changes_applied(changes: DataFrame, ttl: str | None = None) -> DataFrame:
     """(key, lsn, cents, deleted): the newest change of a key, once for each micro-batch that brings a newer one.
 
     changes holds (key, lsn, cents, deleted); those without an lsn are left out. The state is the highest log number seen, deletes included, so a change that
@@ -107,7 +122,7 @@ def changes_applied(changes: DataFrame) -> DataFrame:
             state.update((int(last["lsn"].iloc[0]),))
             yield last[["key", "lsn", "cents", "deleted"]]
 
-    return _stateful(changes.filter("lsn IS NOT NULL"), "key", step, "key long, lsn long, cents long, deleted boolean", "lsn long")
+    return _stateful(changes.filter("lsn IS NOT NULL"), "key", step, "key long, lsn long, cents long, deleted boolean", "lsn long", ttl)
 
 
 def complete_transactions(rows: DataFrame, wait: str = "1 hour") -> DataFrame:
@@ -138,7 +153,7 @@ def complete_transactions(rows: DataFrame, wait: str = "1 hour") -> DataFrame:
     return keyed.applyInPandasWithState(step, "tx long, n long", "seen array<long>, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def counted_once(events: DataFrame, ring: int = 64) -> DataFrame:
+def counted_once(events: DataFrame, ring: int = 64, ttl: str | None = None) -> DataFrame:
     """(user_id, n): a key's count after each micro-batch that raises it; an event among the last `ring` ids is a replay.
 
     Rows without a user or an id are left out. The ring bounds the state, so a replay is caught while no more than `ring` newer events of its key have come.
@@ -159,4 +174,4 @@ def counted_once(events: DataFrame, ring: int = 64) -> DataFrame:
             yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
 
     known = events.filter("user_id IS NOT NULL AND event_id IS NOT NULL")
-    return _stateful(known, "user_id", step, "user_id long, n long", "n long, last array<long>")
+    return _stateful(known, "user_id", step, "user_id long, n long", "n long, last array<long>", ttl)
