@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vantage.operators.nearest import exact
+
 # fixed values
 STOP_WORDS = "a an and are as at be by for from has in is it its of on or that the to was with".split()
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -81,13 +83,8 @@ def bm25(queries: DataFrame, docs: DataFrame, top: int = 20, k1: float = 1.5, b:
 
 
 def dense(queries: DataFrame, vectors: DataFrame, top: int = 20) -> DataFrame:
-    """(query_id, vec_id, score, rank) by cosine: a stated query set against all vectors; the planner sends the smaller side out."""
-    to_double = lambda c: F.transform(c, lambda v: v.cast("double"))
-    q = queries.select("query_id", to_double("embedding").alias("q"))
-    pairs = vectors.select("vec_id", to_double("embedding").alias("v")).crossJoin(q)
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).filter(F.col("score") > 0)
-    at = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
-    return scored.withColumn("rank", at).filter(F.col("rank") <= top)
+    """(query_id, vec_id, score, rank) by cosine: a stated query set against all vectors, in blocks."""
+    return exact(queries, vectors, top)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], id_column: str, k: int = 60) -> DataFrame:

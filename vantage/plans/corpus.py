@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vantage.catalog import ORACLES, query
 from vantage.functions.time import whole
 from vantage.operators import text as X
+from vantage.operators import trigrams as G
 from vantage.sources.tables import table
 
 
@@ -165,12 +166,16 @@ def p18(spark, sf_dir):
 
 @query("P19_trigram_index", r"""SELECT doc_id FROM documents WHERE contains(lower(text), 'idiot')""")
 def p19(spark, sf_dir):
-    """Candidates hold all trigrams of the word; each is verified."""
-    word = "idiot"
-    low = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("t"))
-    need = [word[k : k + 3] for k in range(len(word) - 2)]
-    grams = low.select("doc_id", "t", F.array(*[F.contains("t", F.lit(g)) for g in need]).alias("has"))
-    return grams.filter(F.forall("has", lambda x: x)).filter(F.contains("t", F.lit(word))).select("doc_id")
+    """Only blocks of documents that hold all trigrams of the word are read; each text is verified."""
+    return G.search(G.build(table(spark, sf_dir, "documents")), "idiot")
+
+
+@query("P19_blocks_read", r"""WITH g AS (SELECT doc_id // 64 AS block, bool_or(contains(lower(text), 'idi')) AND bool_or(contains(lower(text), 'dio')) AND bool_or(contains(lower(text), 'iot')) AS candidate FROM documents GROUP BY 1) SELECT count(*) AS blocks, count(*) FILTER (candidate) AS to_read FROM g""")
+def p19_blocks(spark, sf_dir):
+    """How many blocks there are, and how many a search for the word reads."""
+    index = G.build(table(spark, sf_dir, "documents"))
+    read = G.candidates(index, "idiot").agg(F.count("*").alias("to_read"))
+    return index.texts.agg(F.countDistinct("block").alias("blocks")).crossJoin(read)  # one row each
 
 
 @query("P25_redaction", r"""SELECT doc_id, len(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\b\d{3}-\d{2}-\d{4}\b', '[SSN]', 'g'), 'AKIA[0-9A-Z]{16}', '[AWS_KEY]', 'g')) AS n, concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'EMAIL' END, CASE WHEN regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b') THEN 'SSN' END, CASE WHEN regexp_matches(text, 'AKIA[0-9A-Z]{16}') THEN 'AWS_KEY' END) AS labels FROM documents""")

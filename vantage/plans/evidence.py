@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vantage.catalog import query
 from vantage.functions.time import DAY, whole
 from vantage.operators import evidence as V
+from vantage.operators import nearest as N
 from vantage.operators import text as X
 from vantage.plans.corpus import PAIRS, TOKENS, token_pairs
 from vantage.sources.tables import EV, LI, events as ev, lineitem as li, table
@@ -69,6 +70,14 @@ def r19(spark, sf_dir):
     return final.groupBy("query_id").agg(F.count("*").alias("found"))
 
 
+@query("R19_index_recall")
+def r19_index(spark, sf_dir):
+    """The ten neighbours of every hundredth vector that an index of random projections finds, of the ten that an exact search finds."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return N.recall(N.approximate(asked, v, N.fit(v), 10), N.exact(asked, v, 10, -2.0))
+
+
 def _any(words: str, cues: list[str]) -> str:
     return f"list_has_any({words}, {cues!r})"
 
