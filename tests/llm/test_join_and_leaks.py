@@ -82,6 +82,22 @@ def test_join_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({r.class_id for r in found.values()})
 
 
+def test_null_and_shared_doc_ids_lose_no_links(spark):
+    a = words(60, 900)
+    found = ngram_join.join_texts(spark.createDataFrame([(None, a), (None, a + " extra word"), (2, a + " other words")], "doc_id long, text string"))
+    assert sorted((r.doc_id or 0, r.class_id, r.n_links, r.n_copies) for r in found.collect()) == [(0, 2, 2, 1), (0, 2, 2, 1), (2, 2, 2, 1)]
+    nobody = ngram_join.join_texts(spark.createDataFrame([(None, a), (None, a + " extra word"), (None, "something else")], "doc_id long, text string"))
+    assert sorted((r.n_links, r.class_id) for r in nobody.collect()) == [(0, None), (1, None), (1, None)]
+    r = random.Random(8)
+    for shared in (5, None):  # all rows have one doc_id, or none
+        texts_ = [edited(words(80, 40 + k % 12), r.choice([0, 1, 2]), r) for k in range(90)]
+        sets = [frozenset(tuple(x.split()[i : i + 5]) for i in range(max(1, len(x.split()) - 4))) for x in texts_]
+        different = set(sets)
+        links = sorted(sum(len(s & t) / len(s | t) >= 0.8 for t in different if t != s) for s in sets)
+        found = ngram_join.join_texts(spark.createDataFrame([(shared, x) for x in texts_], "doc_id long, text string"))
+        assert sorted(x.n_links for x in found.collect()) == links
+
+
 def plain_edits(item, text):
     row = [0] * (len(text) + 1)
     for k, c in enumerate(item, 1):

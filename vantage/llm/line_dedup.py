@@ -92,6 +92,7 @@ def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: in
     marked = unused(docs, "marked")
     docs = docs.withColumn(marked, F.lit(None).cast("binary"))
     between = docs.schema
+    held_table = None  # the last wave's table, which the next wave reads
     for k, wave in enumerate(waves):
         given = spark.sparkContext.broadcast([(r.shard, bytes(r.payload)) for r in arrays.filter(F.col("shard").isin(wave)).select("shard", "payload").collect()] if wave else [])
 
@@ -116,8 +117,10 @@ def mark_lines(docs: DataFrame, arrays: DataFrame, min_docs: int, wave_bytes: in
                 yield finish(plain, marks) if last else pa.record_batch([*plain.columns, pa.array(marks, pa.binary())], names=[*names, marked])
 
         if k:
-            before, docs = docs, settle(docs, "line_marks")
-            discard(before)
+            before, held_table = held_table, settle(docs, "line_marks")
+            docs = held_table
+            if before is not None:
+                discard(before)
         docs = docs.mapInArrow(probe, schema if k + 1 == len(waves) else between)
     return docs
 

@@ -80,8 +80,8 @@ def _children(path: np.ndarray, tokens: np.ndarray, threshold: float) -> tuple[n
 
 
 def members(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
-    """(doc_id, id, n, paths, tokens): each text's set by its 128-bit hash, the set's size, its buckets below the root of
-    every run, and its minimum hashes, cut to a byte each.
+    """(doc_id, text_hash, id, n, paths, tokens): each text's set by its 128-bit hash, the set's size, its buckets below the
+    root of every run, and its minimum hashes, cut to a byte each.
 
     Buckets below the root are chosen on the whole minimum hashes; further down, a byte tells a bucket's sets apart.
     """
@@ -96,9 +96,10 @@ def members(docs: DataFrame, threshold: float, runs: int) -> DataFrame:
             at = starts(np.bincount(row, minlength=len(tokens)) * 8)
             paths = pa.Array.from_buffers(pa.large_binary(), len(tokens), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(path[order].tobytes())])
             small = (mix(tokens) >> U64(56)).astype(np.uint8)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "id": pa.array(_set_ids(sizes, hashes), pa.binary()), "n": pa.array(sizes, pa.int32()), "paths": paths.cast(pa.binary()), "tokens": pa.array([x.tobytes() for x in small], pa.binary())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "id": pa.array(_set_ids(sizes, hashes), pa.binary()), "n": pa.array(sizes, pa.int32()), "paths": paths.cast(pa.binary()), "tokens": pa.array([x.tobytes() for x in small], pa.binary())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, id binary, n int, paths binary, tokens binary")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return own.mapInArrow(run, "doc_id long, text_hash long, id binary, n int, paths binary, tokens binary")
 
 
 def _tokens(column: pa.Array) -> np.ndarray:
@@ -321,13 +322,16 @@ def join_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998, b
 
     Cases: texts without words (null, empty or only marks) are copies of each other; texts of 1 to 4 words have one
     shingle of all words; case and marks don't matter; repeated rows count as copies; a null doc_id gets its class's id,
-    null if all are null; an empty table gives no rows; columns other than doc_id and text are ignored.
+    null if all are null; different texts may share a doc_id, or have none; texts that tie are all linked; texts of any length
+    are taken whole; an empty table gives no rows; columns other than doc_id and text are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = settle(members(own, threshold, runs_for(recall)), "members")
-    sets = settle(rows.groupBy("id").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")), "sets")
+    # a set's text is found again by the least doc_id and the text's hash, so neither null ids nor shared ones are a hot key
+    text_hash = F.coalesce(F.min_by("text_hash", "doc_id"), F.first("text_hash")).alias("text_hash")
+    sets = settle(rows.groupBy("id").agg(F.min("doc_id").alias("first"), text_hash, F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("tokens").alias("tokens"), F.count("*").alias("copies")), "sets")
     coarse = _coarse_classes(sets.filter(F.col("n") > 0), threshold, recall)
-    nodes = coarse.join(sets.select("id", "first", "n"), "id")
+    nodes = coarse.join(sets.select("id", "first", "text_hash", "n"), "id")
     # a class's sets are dealt to blocks of about block_shingles and at most about block_sets; each set goes to the pairs of its block with every block
     sums = nodes.groupBy("root").agg(F.ceil(F.greatest(F.sum("n") / block_shingles, F.count("*") / block_sets)).cast("int").alias("blocks"))
     nodes = nodes.join(sums, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -340,7 +344,9 @@ def join_texts(docs: DataFrame, threshold: float = 0.8, recall: float = 0.998, b
             out = pa.array([flat[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())
             yield pa.record_batch([found, out, *(batch.column(x) for x in ("id", "root", "blocks", "own"))], names=["found", "hashes", "id", "root", "blocks", "own"])
 
-    picked = own.join(nodes.select(F.col("first").alias("doc_id"), "id", "root", "blocks", "own"), "doc_id")
+    wanted = nodes.select("first", F.col("text_hash").alias("its_hash"), "id", "root", "blocks", "own")
+    hashed = own.withColumn("text_hash", F.xxhash64("text"))
+    picked = hashed.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("text_hash") == F.col("its_hash")))
     whole = picked.mapInArrow(hashes, "found binary, hashes binary, id binary, root binary, blocks int, own int").filter(F.col("found") == F.col("id")).drop("found")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = whole.select("id", "root", "own", "hashes", other)
