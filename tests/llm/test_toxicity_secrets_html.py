@@ -198,3 +198,10 @@ def test_hostile_pages_take_time_in_proportion(page):
     start = time.process_time()
     html_text.main_text(page)
     assert time.process_time() - start < 15
+
+
+def test_linked_text_of_an_article_stays():
+    menu = "<nav><ul><li><a href=/>Home of all things</a></li></ul></nav>"
+    page = menu + "<article><h1>Title here</h1><p>Some words of the text, and some more of them.</p><ul><li><a href=x>linked item</a></li><li>plain item</li></ul><figure><figcaption><a href=y>A linked caption</a></figcaption></figure><p><a href=z>A paragraph that is one link, from end to end.</a></p></article><footer>Made by us.</footer>"
+    assert html_text.main_text(page) == "Title here Some words of the text, and some more of them. linked item plain item A linked caption A paragraph that is one link, from end to end."
+    assert html_text.main_text(menu + "<article><p><a href=z>One link, and nothing else.</a></p></article>") == "One link, and nothing else."

@@ -6,7 +6,7 @@ smoothed over the paths in page order and fused; the nodes whose score is at lea
 blocks and headings of the same article come back afterwards: those in the content's nearest common container, or, where
 that is the whole page, those between content and the headings before it.
 
-Tags and class or id words are a second signal: each element of a region that is no part of an article multiplies the
+Links count against a path outside articles only. Tags and class or id words are a second signal: each element of a region that is no part of an article multiplies the
 scores below it by a weight less than one, and <article> and <main> by one above. The elements around the best path take
 nothing away, so an article that lies whole in such an element loses nothing by it; only inside <nav>, <footer> and their like there is no article at all.
 """
@@ -161,7 +161,7 @@ def text_nodes(page: str) -> tuple[list[Node], Paths]:
         if not raw:
             return
         text = html.unescape(raw) if "&" in raw else raw
-        _, path, mark, outside, _ = stack[-1]
+        _, path, mark, outside, in_article = stack[-1]
         if fresh or not nodes or mark != nodes[-1].mark:  # an inline element may have a weight too
             if not text.strip():
                 if not fresh:
@@ -171,7 +171,7 @@ def text_nodes(page: str) -> tuple[list[Node], Paths]:
             fresh = False
         node = nodes[-1]
         node.parts.append(text)
-        if places.get("a"):
+        if places.get("a") and not in_article:  # a link in an article is a part of its text
             node.linked += len(text.strip())
 
     def close(k: int) -> None:
