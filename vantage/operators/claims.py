@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from vantage.runtime import settle
+
 # fixed values: months by language; numbers as words; words that make a number larger; units behind and before a number
 MONTHS = {
     1: "january enero जनवरी", 2: "february febrero फ़रवरी फरवरी", 3: "march marzo मार्च", 4: "april abril अप्रैल", 5: "may mayo मई", 6: "june junio जून",
@@ -117,29 +119,33 @@ def quantities(text: Column, locale: Column, number_words: bool = False) -> Colu
     a number or, as a sign or code, right before it; `$` is the peso in es-MX. With number_words, words such as three count as well.
     A null text has none.
     """
-    plain = F.translate(F.coalesce(text, F.lit("")), "०१२३४५६७८९", "0123456789")
-    dates, work = _dates(plain, locale)
-    group = lambda k: F.regexp_extract_all(work, F.lit(_WHOLE), F.lit(k))
-    tokens = F.arrays_zip(group(1).alias("before"), group(2).alias("token"), group(3).alias("scale"), group(4).alias("unit"))
     whole = lambda x, p: x.rlike(f"(?iu)^(?:{p})$")
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
 
-    def quantity(x):
+    def quantity(x: Column) -> Column:
         scale = reduce(lambda c, p: c.when(whole(x["scale"], p[0]), p[1]), SCALES[1:], F.when(whole(x["scale"], SCALES[0][0]), SCALES[0][1])).otherwise(1.0)
         unit = reduce(lambda c, p: c.when(whole(x["unit"], p[0]), p[1]), UNITS[1:], F.when(whole(x["unit"], UNITS[0][0]), UNITS[0][1]))
         sign = F.rtrim(F.translate(F.lower(x["before"]), ".", ""))
         before = F.when(sign == "$", F.when(locale == "es-MX", "MXN").otherwise("USD")).otherwise(F.element_at(_map(SYMBOLS), sign))
         return F.struct((_value(x["token"], locale) * scale).alias("value"), F.coalesce(unit, F.when(sign != "", before)).alias("unit"))
 
-    # the list is bound once as a variable, else each use would search the text anew
-    def finish(q):
-        found = F.concat(dates, F.filter(q, lambda x: x["value"].isNotNull()).cast(QUANTITY))
-        if number_words:
-            known = _map({w: float(k) for k, ws in NUMBER_WORDS.items() for w in ws.split()})
-            spoken = F.filter(F.transform(words(work), lambda w: F.element_at(known, w)), lambda v: v.isNotNull())
-            found = F.concat(found, F.transform(spoken, lambda v: F.struct(v.alias("value"), F.lit(None).cast("string").alias("unit"))))
-        return F.struct(found.alias("found"), F.exists(q, lambda x: x["value"].isNull()).alias("unread"))
+    def numbers(work: Column) -> Column:
+        group = lambda k: F.regexp_extract_all(work, F.lit(_WHOLE), F.lit(k))
+        tokens = F.arrays_zip(group(1).alias("before"), group(2).alias("token"), group(3).alias("scale"), group(4).alias("unit"))
+        found = F.transform(tokens, quantity)
+        if not number_words:
+            return found
+        known = _map({w: float(k) for k, ws in NUMBER_WORDS.items() for w in ws.split()})
+        spoken = F.filter(F.transform(words(work), lambda w: F.element_at(known, w)), lambda v: v.isNotNull())
+        return F.concat(found, F.transform(spoken, lambda v: F.struct(v.alias("value"), F.lit(None).cast("string").alias("unit"))))
+
+    # each step's result is bound once as a variable, else every use would search the text anew
+    def read(plain: Column) -> Column:
+        dates, work = _dates(plain, locale)
+        finish = lambda q: F.struct(F.concat(dates, F.filter(q, lambda x: x["value"].isNotNull()).cast(QUANTITY)).alias("found"), F.exists(q, lambda x: x["value"].isNull()).alias("unread"))
+        return bound(bound(work, numbers), finish)
 
-    return F.element_at(F.transform(F.array(F.transform(tokens, quantity)), finish), 1)
+    return bound(F.translate(F.coalesce(text, F.lit("")), "०१२३४५६७८९", "0123456789"), read)
 
 
 def close(a: Column, b: Column, least: float = 1e-9) -> Column:
@@ -310,7 +316,7 @@ def verify_answers(claims: DataFrame, context: DataFrame, nli: Callable, judge:
     dropped claim that qualifies it; cited ones that limit what they say where the claim doesn't; and such ones at most `radius` places
     from a cited one in its section, unless an accepted claim of the answer cites them.
     """
-    checked = verify_claims(claims, context, nli, judge)
+    checked = settle(verify_claims(claims, context, nli, judge), "claims_checked")
     listed = checked.groupBy("answer_id").agg(F.sort_array(F.collect_list(F.struct("nth", "cid", "qualifies", "accepted"))).alias("all"))
     start = F.map_from_entries(F.transform("all", lambda x: F.struct(x["cid"], x["accepted"])))
     drop = lambda m, x: F.when(F.coalesce(~F.element_at(m, x["qualifies"]), F.lit(False)), F.transform_values(m, lambda k, v: v & (k != x["cid"]))).otherwise(m)

@@ -2,7 +2,7 @@
 
 import importlib
 
-AREAS = ("metrics", "event_log", "commerce", "corpus", "streams", "records", "keyed_streams", "timed_streams", "evidence")
+AREAS = ("metrics", "event_log", "commerce", "corpus", "streams", "records", "keyed_streams", "timed_streams", "evidence", "claims", "blocks")
 
 
 def load_all() -> None:
