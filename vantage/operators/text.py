@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.operators.nearest import exact
+from vantage.runtime import settle
 
 # fixed values
 STOP_WORDS = "a an and are as at be by for from has in is it its of on or that the to was with".split()
@@ -69,12 +70,15 @@ def bm25(queries: DataFrame, docs: DataFrame, top: int = 20, k1: float = 1.5, b:
     Only postings of terms that some query holds are joined. Scores are rounded to 6 places, ties go to the lesser id.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    t = docs.select("doc_id", tokens("text").alias("t")).select("doc_id", F.explode("t").alias("term"), F.size("t").alias("length"))
-    # other terms go before anything is counted or shuffled
-    hit = t.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    size = docs.select("doc_id", F.size(tokens("text")).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    held = terms.select("term").distinct().withColumn("held", F.lit(True))
+    # one pass over the texts: all tokens that no query holds count together, under a null term
+    t = docs.select("doc_id", F.explode(tokens("text")).alias("term")).join(held, "term", "left")
+    counted = settle(t.groupBy("doc_id", F.when(F.col("held"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")), "postings")
+    lengths = counted.groupBy("doc_id").agg(F.sum("tf").alias("length"))
+    hit = counted.filter(F.col("term").isNotNull())
+    size = docs.agg(F.count("*").alias("n")).crossJoin(counted.agg(F.sum("tf").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("mean"))  # one row
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hit.join(df, "term").crossJoin(F.broadcast(size))
+    scored = hit.join(df, "term").join(lengths, "doc_id").crossJoin(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     total = scored.select("term", "doc_id", part.alias("part")).join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
@@ -96,6 +100,35 @@ def fuse(lists: list[tuple[DataFrame, float]], id_column: str, k: int = 60) -> D
     return out.groupBy("query_id", id_column).agg(F.round(F.sum("part"), 8).alias("score"))
 
 
+def slot_vectors(texts: DataFrame, key: str, slots: int = 256) -> DataFrame:
+    """(key, embedding): counts of the tokens of each text in `slots` slots by their hashes. Texts without tokens are left out."""
+    slot = F.conv(F.substring(F.md5("w"), 31, 2), 16, 10).cast("int") % slots
+    counts = texts.select(key, F.explode(tokens("text")).alias("w")).groupBy(key, slot.alias("slot")).agg(F.count("*").cast("double").alias("n"))
+    by_slot = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"))  # at most one entry a slot
+    return by_slot.select(key, F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding"))
+
+
+def hybrid(queries: DataFrame, docs: DataFrame, age_days: Column, each: int = 20, reranked: int = 12, floor: float = 0.05, top: int = 5, half_life: float = 90.0) -> DataFrame:
+    """(query_id, doc_id, score, rank): the best of two searches of queries (query_id, text) over docs (doc_id, text).
+
+    `each` documents by BM25 and as many by the cosine of hashed counts are fused by their ranks; the `reranked` best of them are scored by the words they share with the query, those below
+    `floor` go, and a fifth of the score is freshness, which halves in half_life days. Ties go to the lesser doc_id.
+    """
+    by_words = bm25(queries, docs, each).select("query_id", "doc_id", "rank")
+    vectors = slot_vectors(docs, "doc_id").withColumnRenamed("doc_id", "vec_id")
+    by_vector = exact(slot_vectors(queries, "query_id"), vectors, each).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    fused = fuse([(by_words, 1.0), (by_vector, 1.0)], "doc_id")
+    order = Window.partitionBy("query_id")
+    fused = fused.withColumn("at", F.row_number().over(order.orderBy(F.desc("score"), "doc_id"))).filter(F.col("at") <= reranked).select("query_id", "doc_id")
+    own = lambda df, key, name: df.select(key, F.array_distinct(tokens("text")).alias(name))
+    t = fused.join(own(docs, "doc_id", "t"), "doc_id").join(own(queries, "query_id", "q"), "query_id")
+    rerank = 0.6 * F.size(F.array_intersect("q", "t")) / F.size("q") + 0.25 * jaccard(F.col("q"), F.col("t"))
+    fresh = F.pow(F.lit(0.5), age_days / half_life)
+    scored = t.withColumn("rerank", rerank).filter(F.col("rerank") >= floor).withColumn("score", F.round((1 - 0.2) * F.col("rerank") + 0.2 * fresh, 6))
+    at = F.row_number().over(order.orderBy(F.desc("score"), "doc_id")).cast("long")
+    return scored.withColumn("rank", at).filter(F.col("rank") <= top).select("query_id", "doc_id", "score", "rank")
+
+
 def redact(text: Column) -> tuple[Column, Column]:
     """The text with addresses, numbers and keys replaced, and the labels of what was found."""
     kinds = (("EMAIL", EMAIL), ("SSN", SSN), ("AWS_KEY", AWS_KEY))

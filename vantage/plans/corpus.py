@@ -284,6 +284,19 @@ def r08(spark, sf_dir):
     return scored.withColumn("rank", at.cast("long")).filter(F.col("rank") <= 5).select("query_id", "doc_id", "score", "rank")
 
 
+DENSE = """{name} AS (SELECT {id}, slot, count(*) AS n FROM (SELECT {id}, CAST('0x' || substr(md5(unnest(t)), 31, 2) AS BIGINT) AS slot FROM (SELECT {id}, {tokens} AS t FROM {table})) GROUP BY ALL), {name}_len AS (SELECT {id}, sqrt(sum(n * n)) AS length FROM {name} GROUP BY 1)"""
+
+
+@query("R08_hybrid_dense", ORACLES["R05_bm25"].rsplit(" SELECT query_id, doc_id, score, rank FROM bm", 1)[0] + ", " + DENSE.format(name="dv", id="doc_id", tokens=TOKENS, table="documents") + ", " + DENSE.format(name="qv", id="item_id", tokens=TOKENS, table="benchmark") + f""",
+ dn AS (SELECT item_id AS query_id, doc_id, round(sum(dv.n * qv.n) / max(dv_len.length) / max(qv_len.length), 6) AS score FROM dv JOIN qv USING (slot) JOIN dv_len USING (doc_id) JOIN qv_len USING (item_id) GROUP BY ALL), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM dn WHERE score > 0 QUALIFY rank <= 20),
+ fa AS (SELECT query_id, doc_id, round(CAST(sum(1.0 / (60 + rank)) AS DOUBLE), 8) AS fused FROM (SELECT query_id, doc_id, rank FROM bm UNION ALL SELECT query_id, doc_id, rank FROM dr) GROUP BY ALL), fu AS (SELECT query_id, doc_id FROM fa QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id) <= 12),
+ t AS (SELECT query_id, fu.doc_id, list_distinct({TOKENS.replace("text", "d.text")}) AS t, list_distinct({TOKENS.replace("text", "b.text")}) AS q FROM fu JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = query_id), r AS (SELECT query_id, doc_id, 0.6 * len(list_intersect(q, t)) / len(q) + 0.25 * len(list_intersect(q, t)) / len(list_distinct(list_concat(q, t))) AS rerank FROM t), x AS (SELECT query_id, doc_id, round(0.8 * rerank + 0.2 * pow(0.5, (doc_id % 365) / 90.0), 6) AS score FROM r WHERE rerank >= 0.05) SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x QUALIFY rank <= 5""")
+def r08_dense(spark, sf_dir):
+    """Twenty by words and twenty by vectors, fused, twelve reranked, with a floor and freshness, the best five."""
+    d, q = table(spark, sf_dir, "documents").select("doc_id", "text"), benchmark(spark, sf_dir)
+    return X.hybrid(q, d, age_days=F.col("doc_id") % 365)
+
+
 @query("R09_conflicts", r"""WITH c AS (SELECT source AS key, n_chars % 3 AS value, max(doc_id) AS ver FROM documents GROUP BY ALL) SELECT key, arg_max(value, ver) AS resolved, count(*) AS candidates FROM c GROUP BY key HAVING count(*) > 1""")
 def r09(spark, sf_dir):
     """The freshest of several values wins; how many there were stays known."""
