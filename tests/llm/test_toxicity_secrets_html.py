@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.data import docs, plain, rows, words
 from vantage.llm import html_text, secrets, toxicity
-from vantage.llm.automata import Automaton
+from vantage.llm.automata import Automaton, Letters
 
 
 def test_toxicity_on_held_out_rows(spark):
@@ -205,3 +205,44 @@ def test_linked_text_of_an_article_stays():
     page = menu + "<article><h1>Title here</h1><p>Some words of the text, and some more of them.</p><ul><li><a href=x>linked item</a></li><li>plain item</li></ul><figure><figcaption><a href=y>A linked caption</a></figcaption></figure><p><a href=z>A paragraph that is one link, from end to end.</a></p></article><footer>Made by us.</footer>"
     assert html_text.main_text(page) == "Title here Some words of the text, and some more of them. linked item plain item A linked caption A paragraph that is one link, from end to end."
     assert html_text.main_text(menu + "<article><p><a href=z>One link, and nothing else.</a></p></article>") == "One link, and nothing else."
+
+
+def planted_formats(each=6, seed=99):
+    """(format, string): strings of formats that no pattern names, drawn apart from the examples that are learned."""
+    r = random.Random(seed)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    both = letters + letters.upper() + "0123456789"
+    some = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    made = {
+        "hex": lambda: some("0123456789abcdef", 24), "unique id": lambda: "-".join(some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), "12": lambda: some(both, 12), "24": lambda: some(both, 24),
+        "40": lambda: some(both, 40), "ghp": lambda: "ghp_" + some(both, 36), "sk": lambda: "sk_live_" + some(both, 24), "base 64": lambda: some(both + "+/", 43) + "=", "access": lambda: "AKIA" + some(letters.upper() + "0123456789", 10),
+    }
+    return [(name, f()) for name, f in made.items() for _ in range(each)]
+
+
+def test_formats_beyond_the_patterns_are_found(spark):
+    planted = planted_formats()
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    odd = ["www.example.com/some-long-path/index.html", "averylongfilename_with_parts.tar.gz", "4111-1111-1111-1111", "state-of-the-art", "foo_bar_baz_qux", "INTERNATIONALIZATION"]
+    rows_ = [(10**9 + k, f"Some words stand before {v} and some after it.") for k, v in enumerate([v for _, v in planted] + odd)]
+    both = clean.unionByName(spark.createDataFrame(rows_, "doc_id long, text string"))
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "format"] for r in secrets.find_secrets(both).collect()}
+    caught = [k for k, (_, v) in enumerate(planted) if found[10**9 + k] == [(24, 24 + len(v))]]
+    assert len(caught) >= 0.9 * len(planted)
+    assert not [k for k, s in found.items() if s and not 10**9 <= k < 10**9 + len(planted)]
+
+
+def test_given_credentials_make_a_format(spark):
+    r = random.Random(3)
+    own = lambda: "zq" + "".join(r.choice("xyzwv") for _ in range(14))
+    given = spark.createDataFrame([("house", own()) for _ in range(200)] + [(None, "lost"), ("house", None), ("house", "")], "kind string, value string")
+    texts = [f"{words(20, k)} " + (own() if k < 20 else "") for k in range(200)]
+    found = {x.doc_id: x.spans for x in secrets.find_secrets(plain(spark, texts), given=given).collect()}
+    assert sum(len(found[k]) == 1 for k in range(20)) >= 18 and sum(len(found[k]) for k in range(20, 200)) == 0
+
+
+def test_letters_score_each_letter_by_its_share():
+    m = Letters(["aab", "b"])
+    a, b = m.scores(["a", "b"]).tolist()
+    assert a == b and abs(m.scores(["aabb"])[0] - (4 * (a - m.last) + m.last)) < 1e-9
+    assert m.scores(["é"])[0] < a and m.scores([""])[0] == m.last and len(m.scores([])) == 0 and len(Letters([]).scores(["x"])) == 1

@@ -176,3 +176,24 @@ class Automaton:
         found = np.empty(len(texts))
         found[order] = out + self.last[state]
         return found
+
+
+class Letters:
+    """Strings of letters that are drawn one by one, each by its share in the samples: what a string is likely to be that no
+    automaton's prefix tree holds."""
+
+    def __init__(self, samples: list[str]):
+        counts = Counter("".join(samples))
+        total, kinds = counts.total() + len(samples) + 1, len(counts) + len(SYMBOL) + 1
+        self.known = np.array(sorted(map(ord, counts)) or [0], np.uint32)
+        share = [counts.get(chr(k), 0) for k in self.known.tolist()] + [0]
+        self.logs = np.log((np.array(share) + 0.5) / (total + 0.5 * kinds))
+        self.last = math.log((len(samples) + 1) / total)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Natural log of the likelihood of each whole text."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        column = np.minimum(np.searchsorted(self.known, points), len(self.known) - 1)
+        sums = np.concatenate([[0.0], np.cumsum(np.where(self.known[column] == points, self.logs[column], self.logs[-1]))])
+        ends = np.cumsum([0, *map(len, texts)])
+        return sums[ends[1:]] - sums[ends[:-1]] + self.last

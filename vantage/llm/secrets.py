@@ -1,7 +1,8 @@
-"""Secret scans: fixed patterns, and automata learned from what the patterns find that score every candidate.
+"""Secret scans: fixed patterns, and automata learned from labelled credentials that score every candidate.
 
-The values that the patterns find label themselves: they are the credentials, by kind, and the other runs of credential
-characters in the corpus are the counterexamples, those with letters apart from those without. Each sample is the `sample` distinct strings with the least hashes, so
+Labelled credentials are the values that the patterns find, by kind, and examples of formats that no pattern names: those
+of a table that the caller gives, or drawn from descriptions of formats in public documentation (EXAMPLES). The other runs of
+credential characters in the corpus are the counterexamples, those without letters, those without small letters and others apart. Each sample is the `sample` distinct strings with the least hashes, so
 they are drawn from the whole corpus and have a bound; strings are learned whole, and those longer than LONGEST_SAMPLE are
 no samples. A candidate is any run of at least 8 credential characters, a pattern's credential included. Its score is by
 how many nats a character the best automaton of credentials finds it likelier than the best of the others does; outside the
@@ -11,6 +12,7 @@ patterns' spans it is a secret where that exceeds a margin.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -18,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.llm.arrays import list_parts, slices, texts
-from vantage.llm.automata import Automaton
+from vantage.llm.automata import Automaton, Letters
 from vantage.runtime import discard, settle
 
 ASSIGN = re.compile(r"(?ia)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -32,8 +34,20 @@ KINDS = ("assign", "access", "hex", "format")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
 NOT_RUN = "[^A-Za-z0-9+/_.=-]+"
 LEAST_RUN, LONGEST_SAMPLE = 8, 4096
-PLAIN = ("word", "number")  # runs outside the patterns' spans, with letters and without
+PLAIN = ("number", "capitals", "word")  # runs outside the patterns' spans: without letters, without small ones, and others
+CAPITALS = re.compile("[^a-z]*")
 NUMBER = re.compile("[0-9+/_.=-]*")
+# fixed values: parts of credential formats, each an own text or (characters, least and most of them)
+_HEX, _ALNUM, _UPPER, _BASE64 = "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+EXAMPLES = {
+    "code host token": ["ghp_", (_ALNUM, 36, 36)],
+    "payment key": ["sk_live_", (_ALNUM, 24, 24)],
+    "access id": ["AKIA", (_UPPER, 8, 16)],
+    "unique id": [(_HEX, 8, 8), "-", (_HEX, 4, 4), "-", (_HEX, 4, 4), "-", (_HEX, 4, 4), "-", (_HEX, 12, 12)],
+    "padded base 64": [(_BASE64, 42, 43), "="],
+    "short hex": [(_HEX, 20, 31)],
+    "letters and digits": [(_ALNUM, 20, 64)],
+}
 SPANS = "array<struct<start:int,end:int,kind:string,score:double>>"
 
 
@@ -93,9 +107,9 @@ def labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
                 least[kind] = dict(sorted(held.items(), key=lambda x: (x[1], x[0]))[:sample])
 
         def add_plain(values) -> None:
-            parts: tuple[list, list] = ([], [])
+            parts: tuple[list, list, list] = ([], [], [])
             for v in values:
-                parts[NUMBER.fullmatch(v) is not None].append(v)
+                parts[0 if NUMBER.fullmatch(v) else 1 if CAPITALS.fullmatch(v) else 2].append(v)
             for kind, some in zip(PLAIN, parts, strict=True):
                 add(kind, some)
 
@@ -125,39 +139,65 @@ def labelled(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
     return found
 
 
+def examples(formats: dict[str, list] = EXAMPLES, each: int = 400) -> list[tuple[str, str]]:
+    """(kind, value): `each` strings of each format, the same ones every time."""
+    out = []
+    for kind, parts in formats.items():
+        r = random.Random(kind)
+        draw = lambda x, r=r: x if isinstance(x, str) else "".join(r.choices(x[0], k=r.randint(x[1], x[2])))
+        out += [(f"example {kind}", "".join(map(draw, parts))) for _ in range(each)]
+    return out
+
+
 def _alphabet(value: str) -> str:
     """Credentials of different alphabets are different formats; one automaton would give all the widest."""
     return "hex" if re.fullmatch("[0-9a-f]*", value) else "letters and digits" if value.isalnum() else "any"
 
 
-def learn(docs: DataFrame, sample: int = 1500) -> dict[str, Automaton]:
-    """An automaton for each kind and alphabet of credentials found, and for plain runs. sample bounds what reaches the
-    driver."""
+def learn(docs: DataFrame, sample: int = 1500, given: list[tuple[str, str]] = ()) -> dict[str, Automaton | Letters]:
+    """An automaton for each kind and alphabet of credentials found, for each kind given, and for plain runs. sample bounds
+    what reaches the driver of each kind."""
     found: dict[str, list[str]] = {}
+    for kind, value in given:
+        found.setdefault(kind, []).append(value)
     for kind, value in labelled(docs, sample):
         found.setdefault(kind if kind in PLAIN else f"{kind} {_alphabet(value)}", []).append(value)
-    return {kind: Automaton(sorted(values), join=kind not in PLAIN) for kind, values in found.items()}
+    models = {kind: Automaton(sorted(values), join=kind not in PLAIN) for kind, values in found.items()}
+    # a plain run that leaves the automaton of plain runs is still made of their letters
+    return models | {f"{kind} letters": Letters(found[kind]) for kind in PLAIN if kind in found}
 
 
-def likelihoods(words: list[str], automata: dict[str, Automaton]) -> np.ndarray:
+def given_labels(given: DataFrame, sample: int) -> list[tuple[str, str]]:
+    """(kind, value) of a caller's labelled credentials: the `sample` distinct ones of least hash of each kind; null and longest ones are left out."""
+    known = given.select(F.concat(F.lit("given "), F.col("kind").cast("string")).alias("kind"), F.col("value").cast("string").alias("value")).filter((F.length("value") > 0) & (F.length("value") <= LONGEST_SAMPLE) & F.col("kind").isNotNull()).distinct()
+    at = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    return [(r.kind, r.value) for r in known.withColumn("at", at).filter(F.col("at") <= sample).orderBy("kind", "at").collect()]
+
+
+def likelihoods(words: list[str], automata: dict[str, Automaton | Letters]) -> np.ndarray:
     """By how many nats a character the best automaton of credentials beats that of plain runs; -inf without any."""
     length = np.array([len(x) for x in words], np.float64)
     score = {kind: a.scores(words) for kind, a in automata.items()}
-    plain = [x for kind, x in score.items() if kind in PLAIN] or [-4.5 * length]
-    secret = [x for kind, x in score.items() if kind not in PLAIN] or [np.full(len(words), -np.inf)]
+    is_plain = lambda kind: kind.split(" ")[0] in PLAIN
+    plain = [x for kind, x in score.items() if is_plain(kind)] or [-4.5 * length]
+    secret = [x for kind, x in score.items() if not is_plain(kind)] or [np.full(len(words), -np.inf)]
     return (np.max(secret, axis=0) - np.max(plain, axis=0)) / length
 
 
-def find_secrets(docs: DataFrame, sample: int = 1500, margin: float = 0.5) -> DataFrame:
+def find_secrets(docs: DataFrame, sample: int = 1500, margin: float = 0.5, given: DataFrame | None = None) -> DataFrame:
     """One row for each document: (doc_id, spans), spans an array of (start, end, kind, score) by start, then kind.
 
+    given: labelled credentials (kind, value) besides those that the patterns find, of which the `sample` least by hash of each kind count;
+    unset: examples().
+
     Positions are code points, ends exclusive. A pattern's span has the score of its credential and stays whatever it is.
-    Cases: a null or empty text has no spans; equal texts have equal spans; kinds may overlap each other; without any
+    Cases: a null or empty text has no spans; equal texts have equal spans; texts and runs of any length are scored whole; kinds may overlap each other; without any
     labelled credential only the patterns count; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    given = spark.sparkContext.broadcast(learn(own, sample))
+    more = examples() if given is None else given_labels(given, sample)
+    given = spark.sparkContext.broadcast(learn(own, sample, more))
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())]))
 
     def scan(batches):
