@@ -167,3 +167,20 @@ def test_hot_hosts_are_split_and_rare_words_count(spark):
     keys = spark.createDataFrame([(k, w) for k in range(4) for w in ("a", f"b{k}")], "row long, key string")
     values = spark.createDataFrame([("a", 1.0), *((f"b{k}", 2.0) for k in range(4))], "key string, value double")
     assert sorted(r.value for r in url_filter.look_up(keys, values, often=1).collect()) == [1.0] * 4 + [2.0] * 4
+
+
+def test_long_names_take_time_in_proportion_and_few_tables_stay(spark):
+    import os
+    import time
+    from vantage.runtime import shared_dir
+
+    there = lambda: set(os.listdir(f"{shared_dir(spark)}/vantage")) if os.path.isdir(f"{shared_dir(spark)}/vantage") else set()
+    before, took = there(), []
+    for n in (1000, 30_000):
+        urls = ["http://casinowin.example.com/free", "https://" + "ab" * (n // 2) + ".org/fr/" + "c" * n, None]
+        began = time.time()
+        found = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+        took.append(time.time() - began)
+        assert len(found) == 3 and {r.page_id: r.rule for r in found}[1] == "org/fr/"
+    assert took[1] < took[0] + 20
+    assert sorted(x.split("-")[0] for x in there() - before) == ["page_sums", "page_sums", "urls", "urls"]  # what the two results read

@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vantage.runtime import settle
+from vantage.runtime import discard, settle
+
+# no word inside a name is longer; a whole name may be a word of any length
+LONGEST_WORD = 32
 
 # fixed values: rules in the order (verdict, host/path)
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -93,7 +96,7 @@ def names_of(column: str) -> Column:
 _BLOCK, _ALLOW = frozenset(BLOCK_SEEDS), frozenset(ALLOW_SEEDS)
 
 
-def lexicon(rows: DataFrame) -> tuple[DataFrame, int]:
+def lexicon(rows: DataFrame, made: list[DataFrame] | None = None) -> tuple[DataFrame, int]:
     """(word, c) of the words that names are split into, and the sum of c. rows: (host, path).
 
     c: in how many places beside its own one a name stands between separators, so that no host, however many pages it
@@ -110,22 +113,38 @@ def lexicon(rows: DataFrame) -> tuple[DataFrame, int]:
     share = max(1, total // 20_000)
     seeds = [(w, share * (1 if len(w) < 3 else 10)) for w in (*BLOCK_SEEDS, *ALLOW_SEEDS)]
     more = rows.sparkSession.createDataFrame(seeds, "word string, c long")
-    return settle(found.unionByName(more).groupBy("word").agg(F.sum("c").alias("c")), "words"), total + sum(c for _, c in seeds)
+    words = settle(found.unionByName(more).groupBy("word").agg(F.sum("c").alias("c")), "words")
+    discard(found)
+    if made is not None:
+        made.append(words)
+    return words, total + sum(c for _, c in seeds)
 
 
 def splits(rows: DataFrame) -> DataFrame:
     """(key, value): every name of the hosts and paths with its words.
 
-    Names meet the counts of their substrings, of every length that a word has, in a join, so no part of the lexicon is left
-    out. A word that other words make up,
+    Names meet the counts of their substrings of up to LONGEST_WORD letters, and of the whole name, in a join, so no part of the lexicon is
+    left out and a name's rows grow with its length. A word that other words make up,
     all of them of four letters or more common than it, is a compound and doesn't count as a word; seeds always do.
     """
-    known, total = lexicon(rows)
-    names = settle(rows.select(F.explode(F.concat(names_of("host"), names_of("path"))).alias("name")).distinct(), "names")
-    lengths = sorted(r.n for r in known.select(F.length("word").alias("n")).distinct().collect())  # as many as words have lengths
-    width = F.filter(F.lit(lengths), lambda n: n <= F.length("name"))
-    parts = F.flatten(F.transform(width, lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, n))))
-    held = settle(names.select("name", F.explode(F.array_distinct(parts)).alias("word")).filter((F.length("word") > 2) | (F.col("word") == F.col("name"))).join(known, "word"), "held")
+    made: list[DataFrame] = []
+    known, total = lexicon(rows, made)
+    names = settle(rows.select(F.explode(F.concat(names_of("host"), names_of("path"))).alias("name")).distinct().withColumn("id", F.md5("name")), "names")
+    lengths = sorted(r.n for r in known.select(F.length("word").alias("n")).filter((F.col("n") > 2) & (F.col("n") <= LONGEST_WORD)).distinct().collect())  # at most as many as a word's letters
+
+    def parts(batches):
+        ids, found = [], []
+        for batch in batches:
+            for key, name in zip(batch.column("id").to_pylist(), batch.column("name").to_pylist(), strict=True):
+                some = {name, *(name[k : k + n] for n in lengths for k in range(len(name) - n + 1))}
+                ids += [key] * len(some)
+                found += some
+                while len(found) >= 10_000:
+                    yield pa.record_batch({"id": pa.array(ids[:10_000], pa.string()), "word": pa.array(found[:10_000], pa.string())})
+                    del ids[:10_000], found[:10_000]
+        yield pa.record_batch({"id": pa.array(ids, pa.string()), "word": pa.array(found, pa.string())})
+
+    held = settle(names.mapInArrow(parts, "id string, word string").join(known, "word").select("id", "word", "c"), "held")
 
     def compounds(batches):
         for batch in batches:
@@ -145,18 +164,24 @@ def splits(rows: DataFrame) -> DataFrame:
             yield pa.record_batch({"key": pa.array(names, pa.string()), "value": pa.array(out, pa.list_(pa.string()))})
 
     gathered = F.collect_list(F.struct("word", "c")).alias("held")
-    joined = settle(held.groupBy("name").agg(gathered).mapInArrow(compounds, "word string"), "compounds")
-    plain = names.join(held.join(joined, "word", "left_anti").groupBy("name").agg(gathered), "name", "left")
-    return settle(plain.mapInArrow(split, "key string, value array<string>"), "splits")
+    joined = settle(names.join(held.groupBy("id").agg(gathered), "id").select("name", "held").mapInArrow(compounds, "word string"), "compounds")
+    plain = names.join(held.join(joined, "word", "left_anti").groupBy("id").agg(gathered), "id", "left").select("name", "held")
+    out = settle(plain.mapInArrow(split, "key string, value array<string>"), "splits")
+    for x in (*made, names, held, joined):
+        discard(x)
+    return out
 
 
-def look_up(keys: DataFrame, table: DataFrame, often: int = 10_000) -> DataFrame:
+def look_up(keys: DataFrame, table: DataFrame, often: int = 10_000, made: list[DataFrame] | None = None) -> DataFrame:
     """(row, key, value) for each of the keys (row, key), all of which are in table (key, value).
 
-    The keys that most rows have are broadcast; the others, each on few rows, are joined.
+    The keys that most rows have are broadcast; the others, each on few rows, are joined. The table that the result reads is
+    added to `made`.
     """
     top = keys.groupBy("key").count().orderBy(F.desc("count"), "key").limit(often).select("key")
     near = settle(table.join(top, "key", "left_semi").withColumn("near", F.lit(True)), "near")
+    if made is not None:
+        made.append(near)
     first = keys.join(F.broadcast(near), "key", "left")
     far = first.filter(F.col("near").isNull()).select("row", "key").join(table, "key")
     return first.filter("near").select("row", "key", "value").unionByName(far.select("row", "key", "value"))
@@ -177,7 +202,9 @@ def learn(words: DataFrame, bad: DataFrame) -> tuple[DataFrame, float]:
     both = counts.unionByName(more).groupBy("key").agg(F.sum("b").alias("b"), F.sum("a").alias("a"))
     nb, na, v = both.agg(F.sum("b"), F.sum("a"), F.count("*")).head()
     ratio = F.log((F.col("b") + 0.1) / (nb + 0.1 * v)) - F.log((F.col("a") + 0.1) / (na + 0.1 * v))
-    return settle(both.select("key", ratio.alias("value")), "ratios"), math.log((pages[0] + 1) / (pages[1] + 1))
+    out = settle(both.select("key", ratio.alias("value")), "ratios")
+    discard(counts)
+    return out, math.log((pages[0] + 1) / (pages[1] + 1))
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -185,7 +212,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     score: log odds of block to allow by the model; the verdict is the rule's where one fits, else block where score > 0.
     Cases: a null url or one without :// has an empty host and path and is allowed unless the classes' odds say block;
-    repeated rows are judged each; an empty table gives no rows; other columns are ignored.
+    repeated rows are judged each; urls of any length are read whole; an empty table gives no rows; other columns are ignored.
     """
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = settle(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
@@ -193,16 +220,23 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     kinds = [named.select("row", F.lit(k).alias("kind"), F.explode(names_of(c)).alias("key")) for k, c in (("h:", "host"), ("p:", "path"))]
     # a name's place stays with its row's number while it is looked up
     marked = kinds[0].unionByName(kinds[1]).select(F.struct("row", "kind").alias("row"), "key")
-    found = look_up(marked, splits(named))
+    made = [splits(named)]
+    found = look_up(marked, made[0], made=made)
     words = settle(found.select("row.row", F.col("row.kind").alias("kind"), F.explode("value").alias("word")), "page_words")
+    for x in made:
+        discard(x)
     block, allow = F.col("word").isin(*_BLOCK), F.col("word").isin(*_ALLOW)
     seeds = words.filter(block | allow).groupBy("row").agg(F.collect_set("word").alias("seeds"))
     is_block = lambda x: x.isin(*_BLOCK)
     looks = F.exists("seeds", lambda x: is_block(x) & ~x.isin(*WEAK)) | (F.size(F.filter("seeds", is_block)) > 1)
     bad = rows.select("row").join(seeds, "row", "left").select("row", F.coalesce(looks & ~F.exists("seeds", lambda x: x.isin(*_ALLOW)), F.lit(False)).alias("bad"))
     keys = words.select("row", F.concat("kind", "word").alias("key"))
-    ratios, prior = learn(keys, settle(bad, "page_classes"))
-    sums = look_up(keys, ratios).groupBy("row").agg(F.sum("value").alias("sum"))
+    classes = settle(bad, "page_classes")
+    ratios, prior = learn(keys, classes)
+    made = [words, classes, ratios]
+    sums = settle(look_up(keys, ratios, made=made).groupBy("row").agg(F.sum("value").alias("sum")), "page_sums")
+    for x in made:
+        discard(x)
     # sums are rounded, for their order is open
     scored = rows.join(sums, "row", "left").withColumn("score", F.round(F.lit(prior) + F.coalesce("sum", F.lit(0.0)), 9))
     ruled = scored.withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules))
