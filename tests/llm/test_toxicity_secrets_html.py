@@ -189,7 +189,7 @@ def test_path_scores_equal_their_definition(k):
 
 def test_pages_without_an_article_and_regions_by_tag():
     assert html_text.main_text("<body><nav><a href=x>One</a></nav><footer>All rights, of all, are kept. Yes.</footer></body>") == ""
-    page = "<body><form><nav><a href=x>Menu</a></nav><div class=m><h1>Head</h1><p>One, two, three and four. Five, six.</p><p>Short.</p></div><aside>Old notes, of old days.</aside></form></body>"
+    page = "<body><form><nav><a href=x>Menu</a></nav><div class=m><h1>Head</h1><p>One, two, three and four. Five, six.</p><p>Short.</p></div><aside>Old words, of old days.</aside></form></body>"
     assert html_text.main_text(page) == "Head One, two, three and four. Five, six. Short."
 
 
