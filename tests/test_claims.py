@@ -101,7 +101,7 @@ def test_claims_are_checked_in_order(spark):
     assert found.columns[-3:] == ["accepted", "reasons", "nli"]
 
 
-def test_answers_and_their_notes(spark):
+def test_answers_and_what_limits_them(spark):
     ok, bad = "Employees travelling to Madrid can claim a per-diem of €85 per day.", "Employees travelling to Madrid can claim €95 per day."
     row = lambda a, n, text, cite, q=None: (a, f"C{n}", n, text, "en-US", [cite], q, None, None, 0.97, True)
     rows = [
@@ -111,6 +111,6 @@ def test_answers_and_their_notes(spark):
     ]
     answers, found = C.verify_answers(spark.createDataFrame(rows, CLAIM), context(spark, 3), *MODELS)
     assert sorted(map(tuple, answers.collect())) == [(0, "VERIFIED"), (1, "PARTIAL"), (2, "DROPPED")]
-    got = {(r.answer_id, r.cid): (r.accepted, r.notes, r.reasons[-1:]) for r in found.collect()}
+    got = {(r.answer_id, r.cid): (r.accepted, r.limits_shown, r.reasons[-1:]) for r in found.collect()}
     assert got[0, "C1"] == (True, ["S4.2"], []) and got[1, "C1"] == (True, ["S1.3"], [])
     assert got[2, "C2"] == (False, [], ["dropped with C1"]) and got[2, "C3"] == (False, [], ["dropped with C2"])

@@ -310,9 +310,9 @@ def verify_claims(claims: DataFrame, context: DataFrame, nli: Callable[[Column,
 
 
 def verify_answers(claims: DataFrame, context: DataFrame, nli: Callable, judge: Callable, radius: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(answers, claims): (answer_id, status) with VERIFIED, PARTIAL or DROPPED, and verify_claims() with `notes`.
+    """(answers, claims): (answer_id, status) with VERIFIED, PARTIAL or DROPPED, and verify_claims() with `limits_shown`.
 
-    A claim that qualifies a dropped one is dropped too, in the order of nth. notes lists sentences to show beside an accepted claim: those of a
+    A claim that qualifies a dropped one is dropped too, in the order of nth. limits_shown lists sentences to show beside an accepted claim: those of a
     dropped claim that qualifies it; cited ones that limit what they say where the claim doesn't; and such ones at most `radius` places
     from a cited one in its section, unless an accepted claim of the answer cites them.
     """
@@ -334,8 +334,8 @@ def verify_answers(claims: DataFrame, context: DataFrame, nli: Callable, judge:
     beside = beside.select("answer_id", "cid", F.col("beside").alias("sid")).join(cites.select("answer_id", "sid").distinct(), ["answer_id", "sid"], "left_anti").select("answer_id", "cid", "sid")
     lost = c.filter(~F.col("accepted") & F.col("qualifies").isNotNull()).select("answer_id", F.col("qualifies").alias("cid"), F.explode("cites").alias("sid"))
     lost = lost.join(limits.select("answer_id", "sid"), ["answer_id", "sid"], "left_semi").join(c.filter("accepted").select("answer_id", "cid"), ["answer_id", "cid"], "left_semi").select("answer_id", "cid", "sid")
-    notes = own.unionByName(beside).unionByName(lost).groupBy("answer_id", "cid").agg(F.sort_array(F.collect_set("sid")).alias("notes"))
-    c = c.join(notes, ["answer_id", "cid"], "left").withColumn("notes", F.coalesce("notes", F.array().cast("array<string>")))
+    shown_beside = own.unionByName(beside).unionByName(lost).groupBy("answer_id", "cid").agg(F.sort_array(F.collect_set("sid")).alias("limits_shown"))
+    c = c.join(shown_beside, ["answer_id", "cid"], "left").withColumn("limits_shown", F.coalesce("limits_shown", F.array().cast("array<string>")))
     counts = c.groupBy("answer_id").agg(F.count_if("accepted").alias("kept"), F.count("*").alias("n"))
     status = F.when(F.col("kept") == F.col("n"), "VERIFIED").when(F.col("kept") > 0, "PARTIAL").otherwise("DROPPED")
     return counts.select("answer_id", status.alias("status")), c
