@@ -36,7 +36,7 @@ NEVER = float("-inf")
 class PieceEncoder:
     """Encodes chunks with the vocabulary and scores of a model file; `limit` bounds the chunks and pairs that are kept."""
 
-    def __init__(self, file: str, limit: int = 250_000):
+    def __init__(self, file: str, limit: int = 320_000):
         self.library = model = sentencepiece.SentencePieceProcessor(model_file=file)
         plain = [k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
         self.id = {model.id_to_piece(k): k for k in plain}
