@@ -206,3 +206,16 @@ def test_hops_stop_where_nothing_is_new(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (8, 9), (2, 1)], "a long, b long")
     found = hops(edges, spark.createDataFrame([(1,)], "id long"), 20).collect()
     assert sorted(tuple(r) for r in found) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+
+
+def test_holders_against_all_pairs(spark):
+    r = random.Random(8)
+    draw = lambda n: "".join(r.choice("abcd é.") for _ in range(n))
+    items = ["", None, "a", "é", draw(5), draw(15), draw(16), draw(17), "a" * 60] + [draw(r.randrange(18, 300)) for _ in range(30)]
+    texts = [None, "", "a", "a" * 59, "a" * 61, draw(3000)] + [draw(r.randrange(200)) + r.choice(items[3:]) + draw(r.randrange(50)) for _ in range(80)]
+    queries = spark.createDataFrame(list(enumerate(items)), "query_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (7, texts[7]), (3, texts[9])], "doc_id long, text string")
+    want = {(q, d) for q, x in enumerate(items) for d, t in enumerate(texts) for y in (t, texts[9] if d == 3 else t) if x is not None and y is not None and x in y}
+    found = [tuple(x) for x in text.holders(queries, docs).collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert text.holders(queries.limit(0), docs).count() == 0 and text.holders(queries, docs.limit(0)).count() == 0

@@ -64,6 +64,42 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return t.select(key, F.explode("t").alias("term"), F.size("t").alias("length")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
+# places after a character that is no letter or digit and before one that is
+WORD_START = r"(?<=[^\p{L}\p{N}])(?=[\p{L}\p{N}])"
+
+
+def _grams(text: str, width: int, at: str = "") -> Column:
+    """Every run of `width` characters of a text, repeats included, or those at places that match `at`; none of a shorter text.
+
+    One pass of a pattern: substring() would count from a text's beginning at each place.
+    """
+    return F.regexp_extract_all(F.col(text), F.lit(f"(?s){at}(?=(.{{{width}}}))"), F.lit(1))
+
+
+def holders(queries: DataFrame, docs: DataFrame, width: int = 16, every: int = 4) -> DataFrame:
+    """(query_id, doc_id), each pair once: the documents whose text holds a query's text whole.
+
+    Of the runs of `width` characters only those that start a word inside a text, and whose hash is divisible by `every`,
+    become rows, in queries and documents alike, so a document that holds a query has the query's first such run too. A
+    query without one, because it is short or has few words, is found by its own beginning among all runs of that length.
+    Each candidate is then tested on the whole texts. The time grows with the texts' length, however long one is.
+    Cases: a null text holds nothing and is held by nothing; an empty query is held by every text that isn't null; rows that
+    repeat or share an id give a pair once.
+    """
+    sampled = lambda text: F.filter(_grams(text, width, WORD_START), lambda g: F.pmod(F.xxhash64(g), F.lit(every)) == 0)
+    own = queries.select("query_id", F.col("text").alias("q")).filter(F.col("q").isNotNull())
+    keyed = own.withColumn("key", F.try_element_at(sampled("q"), F.lit(1)))
+    rest = keyed.filter(F.col("key").isNull()).withColumn("key", F.substring("q", 1, width))
+    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
+    grams = texts.select("doc_id", F.explode(F.array_distinct(sampled("text"))).alias("key"))
+    found = grams.join(keyed.filter(F.col("key").isNotNull()), "key").select("doc_id", "query_id", "q")
+    lengths = [r.n for r in rest.select(F.length("key").alias("n")).distinct().collect()]  # at most width + 1 numbers
+    for n in lengths:
+        runs = texts.select("doc_id", F.explode(F.array_distinct(_grams("text", n))).alias("key")) if n else texts.select("doc_id", F.lit("").alias("key"))
+        found = found.unionByName(runs.join(rest.filter(F.length("key") == n), "key").select("doc_id", "query_id", "q"))
+    return found.distinct().join(texts, "doc_id").filter(F.contains("text", F.col("q"))).select("query_id", "doc_id").distinct()
+
+
 def bm25(queries: DataFrame, docs: DataFrame, top: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_id, score, rank): the best documents of many queries at once.
 

@@ -21,12 +21,8 @@ def benchmark(spark, sf_dir) -> DataFrame:
 
 
 def relevant(spark, sf_dir) -> DataFrame:
-    """(query_id, doc_id) of the documents that hold a benchmark text whole: they share its first shingle, then are tested."""
-    q = benchmark(spark, sf_dir).select("query_id", F.col("text").alias("q"), F.substring("text", 1, 16).alias("key"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    starts = d.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 15, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(16))))).alias("key"))
-    found = starts.join(q, "key").select("doc_id", "query_id", "q").distinct()  # texts join what is left
-    return found.join(d, "doc_id").filter(F.contains("text", F.col("q"))).select("query_id", "doc_id").distinct()
+    """(query_id, doc_id) of the documents that hold a benchmark text whole."""
+    return X.holders(benchmark(spark, sf_dir), table(spark, sf_dir, "documents"))
 
 
 @query("X01_tokens", r"""SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with'))) AS n, md5(array_to_string(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: w NOT IN ('a','an','and','are','as','at','be','by','for','from','has','in','is','it','its','of','on','or','that','the','to','was','with')), ' ')) AS h FROM documents""")
