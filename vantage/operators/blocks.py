@@ -6,6 +6,8 @@ its parts between blank lines, where it is longer than a chunk). Everything is c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ MARK, ROW, CELL = "\x01", "\x03", "\x04"
 UNIT = "struct<text:string,n:int,glued:boolean>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once, also if it is read at every element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blocks(html: Column) -> Column:
     """Array of (pos, kind, text) of a page: kind is h1 to h6, p, li, table or pre; other elements are p. Null: none.
 
@@ -28,8 +35,9 @@ def blocks(html: Column) -> Column:
     body = F.regexp_replace(F.regexp_replace(F.translate(body, MARK + ROW + CELL, ""), r"(?i)<tr\b[^>]*>", ROW), r"(?i)<t[dh]\b[^>]*>", CELL)
     marked = F.regexp_replace(body, _BLOCK, f"{MARK}$1$2{MARK}")
     # parts alternate: text, tag, text, tag; what follows a closing tag is a paragraph of its own
-    parts = F.split(marked, MARK)
-    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int")), lambda k: F.struct(k.alias("pos"), F.lower(F.get(parts, 2 * k - 1)).alias("tag"), F.get(parts, 2 * k).alias("raw")))
+    places = lambda parts: F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int"))
+    pair = lambda parts: lambda k: F.struct(k.alias("pos"), F.lower(F.get(parts, 2 * k - 1)).alias("tag"), F.get(parts, 2 * k).alias("raw"))
+    pairs = _once(F.split(marked, MARK), lambda parts: F.transform(places(parts), pair(parts)))
 
     def block(x: Column) -> Column:
         tag = F.coalesce(x["tag"], F.lit(""))
@@ -84,9 +92,9 @@ def _grouped(lines: Column, header: Column, between: str, most: int) -> Column:
 
 def units(block: Column, target: int, most: int) -> Column:
     """The units of a block: (text, n, glued); glued ones open with a qualifier and stay with the unit before."""
-    lines = F.split(block["text"], "\n")
-    body = F.when(F.size(lines) > 1, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1)))).otherwise(lines)
-    table = _grouped(body, F.when(F.size(lines) > 1, lines[0]).otherwise(""), "\n", target)
+    body = lambda x: F.when(F.size(x) > 1, F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(1)))).otherwise(x)
+    head = lambda x: F.when(F.size(x) > 1, x[0]).otherwise("")
+    table = _once(F.split(block["text"], "\n"), lambda x: _once(head(x), lambda h: _grouped(body(x), h, "\n", target)))
     code = F.when(_count(block["text"]) <= most, F.array(block["text"])).otherwise(_grouped(F.split(block["text"], r"\n\s*\n"), F.lit(""), "\n\n", most))
     found = F.when(block["kind"] == "table", table).when(block["kind"] == "pre", code).when(block["kind"] == "li", F.array(block["text"])).otherwise(sentences(block["text"]))
     opens = lambda t: F.array_contains(F.array(*[F.startswith(t, F.lit(q)) for q in QUALIFIERS]), True)
@@ -113,7 +121,10 @@ def block_chunks(pages: DataFrame, key: str = "page_id", html: str = "html", tar
     A unit that opens with a qualifier joins the chunk before it while `most` words hold; a unit longer than that is a chunk of its own. A section of less than `least`
     words joins the next one while `target` words hold. breadcrumb is the heading path of a chunk's first unit; headings are no part of the texts.
     """
-    listed = _with_lists(with_headings(blocks(F.col(html))), most)
+    # each step is a column of its own: a step that reads the one before it twice doesn't work it out twice
+    steps = pages.select(key, blocks(F.col(html)).alias("found")).select(key, with_headings(F.col("found")).alias("found"))
+    steps = steps.select(key, _with_lists(F.col("found"), most).alias("found"))
+    listed = F.col("found")
     unit = "array<struct<text:string,n:int,glued:boolean,crumb:string,section:int>>"
     crumb = lambda b: F.array_join(F.transform(b["path"], lambda h: h["title"]), " › ")
     whole = lambda b: F.array(F.struct(b["text"].alias("text"), _count(b["text"]).alias("n"), F.lit(False).alias("glued")).cast(UNIT))
@@ -132,6 +143,6 @@ def block_chunks(pages: DataFrame, key: str = "page_id", html: str = "html", tar
         done = F.when(joins | now.isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(now)))
         return F.struct(done.alias("done"), F.when(joins, more).otherwise(fresh).cast(chunk).alias("now"))
 
-    packed = F.aggregate(all_units, start, step, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
-    rows = pages.select(key, F.posexplode(packed).alias("chunk", "c"))
+    packed = F.aggregate("units", start, step, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    rows = steps.select(key, all_units.alias("units")).select(key, F.posexplode(packed).alias("chunk", "c"))
     return rows.select(key, "chunk", F.col("c.crumb").alias("breadcrumb"), F.col("c.n").cast("long").alias("n_tokens"), F.col("c.text").alias("chunk_text"))

@@ -122,13 +122,16 @@ def verify(claims: DataFrame, evidence: DataFrame, low: float = 0.5, high: float
     return j.select("claim_id", "score", status.alias("status"))
 
 
-def rerank(pairs: DataFrame, embed: Callable[[Column], Column], score: Callable[[Column, Column], Column], top: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
-    """(query, doc, score, rank): pairs (query, doc, q, d) of texts ranked by a caller's models.
+def rerank(pairs: DataFrame, queries: DataFrame, docs: DataFrame, embed: Callable[[Column], Column], score: Callable[[Column, Column], Column], top: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """(query, doc, score, rank): pairs (query, doc) ranked by a caller's models over queries (query, q) and docs (doc, d).
 
     embed: from a text column to a vector column; score: from two vector columns to a number, null where the model gave no
-    answer; such pairs come last and have the rank null. Ties go to the lesser doc.
+    answer; such pairs come last and have the rank null. Ties go to the lesser doc. Each text is embedded once, and only
+    vectors meet the pairs.
     """
-    scored = pairs.select(query, doc, F.round(score(embed(F.col("q")), embed(F.col("d"))), 6).alias("score"))
+    left, right = queries.select(query, embed(F.col("q")).alias("x")), docs.select(doc, embed(F.col("d")).alias("y"))
+    met = pairs.select(query, doc).join(left, query).join(right, doc)
+    scored = met.select(query, doc, F.round(score(F.col("x"), F.col("y")), 6).alias("score"))
     at = F.row_number().over(Window.partitionBy(query).orderBy(F.col("score").desc_nulls_last(), doc)).cast("long")
     ranked = scored.withColumn("rank", F.when(F.col("score").isNotNull(), at))
     return ranked.filter(F.coalesce(F.col("rank") <= top, F.lit(True)))

@@ -113,14 +113,16 @@ def e02(spark, sf_dir):
     """An embedder and a reranker handed in as column functions; one that gives no answer for some pairs."""
     def embed(text):
         slot = F.transform(X.tokens(text), lambda w: F.conv(F.substring(F.md5(w), 32, 1), 16, 10).cast("int"))
-        return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(slot, lambda x: x == i)).cast("double"))
+        # the slots are the one element of an array, so that they are worked out once a text and not once a number
+        counts = F.transform(F.array(slot), lambda s: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(s, lambda x: x == i)).cast("double")))
+        return F.get(counts, F.lit(0))
 
     def score(a, b):
         return F.when(F.col("doc_id") % 13 != 0, X.cosine(a, b))
 
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("d"))
-    return V.rerank(token_pairs(spark, sf_dir).select("query_id", "doc_id").join(q, "query_id").join(d, "doc_id"), embed, score, 10)
+    return V.rerank(token_pairs(spark, sf_dir), q, d, embed, score, 10)
 
 
 @query("E03_gates", r"""SELECT conv_id, turn, CASE WHEN length(text) % 11 = 0 OR length(text) % 7 = 0 THEN 'unanswered' WHEN (length(text) % 100) / 100.0 >= 0.5 AND contains(text, 'th') THEN 'pass' ELSE 'fail' END AS verdict FROM conversations WHERE role = 'assistant'""")
