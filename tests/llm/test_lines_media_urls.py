@@ -1,5 +1,7 @@
 import hashlib
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -7,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.data import docs, rows
 from vantage.llm import line_dedup, media, mph, ogg, url_filter
@@ -184,3 +187,33 @@ def test_long_names_take_time_in_proportion_and_few_tables_stay(spark):
         assert len(found) == 3 and {r.page_id: r.rule for r in found}[1] == "org/fr/"
     assert took[1] < took[0] + 20
     assert sorted(x.split("-")[0] for x in there() - before) == ["page_sums", "page_sums", "urls", "urls"]  # what the two results read
+
+
+def test_verdicts_are_those_of_a_plain_model(spark):
+    r = random.Random(31)
+    names = "casinowin freebets garden alphabet newsroom pillshop museum shop tian thble onlinecasinohub".split()
+    urls = [f"http://{r.choice(names)}.example.{r.choice(['com', 'org'])}/{r.choice(['en', 'de', 'it'])}/{r.choice(names)}/{r.randrange(99)}" for _ in range(150)]
+    urls += [None, "", "no scheme", "http://casinowin.net/x", urls[0]]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = {x.page_id: x for x in url_filter.judge(pages).collect()}
+    rows = pages.select(url_filter.host_of(pages.url).alias("host"), F.lower(url_filter.path_of(pages.url)).alias("path"))
+    parts = {x.key: x.value for x in url_filter.splits(rows).collect()}
+    names_in = lambda s: ["#" if x.isdigit() else x for x in re.findall(r"[^\W\d_]+|\d+", s)]
+    words = {k: [kind + w for kind, s in (("h:", x.host), ("p:", x.path.lower())) for name in names_in(s) for w in parts[name]] for k, x in found.items()}
+    block, allow, weak = set(url_filter.BLOCK_SEEDS), set(url_filter.ALLOW_SEEDS), url_filter.WEAK
+    held = {k: {w[2:] for w in ws} for k, ws in words.items()}
+    bad = {k: (bool((ws & block) - weak) or len(ws & block) > 1) and not ws & allow for k, ws in held.items()}
+    counts = {True: Counter(w for k, ws in words.items() if bad[k] for w in ws), False: Counter(w for k, ws in words.items() if not bad[k] for w in ws)}
+    tokens = {c: max(1, sum(counts[c].values())) for c in counts}
+    for c, seeds in ((True, url_filter.BLOCK_SEEDS), (False, url_filter.ALLOW_SEEDS)):
+        for w in seeds:
+            counts[c]["h:" + w] += 0.1 * tokens[c] / len(seeds)
+    size, total = len({*counts[True], *counts[False]}), {c: sum(counts[c].values()) for c in counts}
+    log = lambda c, w: math.log((counts[c][w] + 0.1) / (total[c] + 0.1 * size))
+    prior = math.log((sum(bad.values()) + 1) / (len(bad) - sum(bad.values()) + 1))
+    assert len(found) == len(urls) and 10 < sum(bad.values()) < 130
+    for k, x in found.items():
+        want = prior + sum(log(True, w) - log(False, w) for w in words[k])
+        assert abs(x.score - want) < 1e-6
+        assert x.rule is not None or x.verdict == ("block" if want > 0 else "allow")
+    assert found[len(urls) - 1].score == found[0].score

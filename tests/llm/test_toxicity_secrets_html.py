@@ -1,12 +1,15 @@
 import hashlib
+import math
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 
 from tests.llm.data import docs, plain, rows, words
 from vantage.llm import html_text, secrets, toxicity
+from vantage.llm.arrays import mix
 from vantage.llm.automata import Automaton, Letters
 
 
@@ -35,6 +38,44 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == own.columns and {r.score for r in kept.collect()} == {9} and kept.count() == sum(not x.predicted for x in found.values())
 
 
+def plain_ftrl(examples, epochs=2, alpha=1.0, beta=1.0, l1=5.0, l2=0.5):
+    """FTRL-proximal with a dictionary entry a feature: examples are (hash, features, label)."""
+    z, n = {}, {}
+    weight = lambda f: 0.0 if abs(z.get(f, 0.0)) <= l1 else -(z[f] - math.copysign(l1, z[f])) / ((beta + math.sqrt(n[f])) / alpha + l2)
+    for epoch in range(epochs):
+        for k in sorted(range(len(examples)), key=lambda k: int(mix(np.array([examples[k][0]], np.int64).view(np.uint64) + np.uint64(epoch))[0])):
+            _, some, label = examples[k]
+            w = {f: weight(f) for f in some}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for f in some:
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / alpha * w[f]
+                n[f] = n.get(f, 0.0) + g * g
+    return {f: weight(f) for f in z}
+
+
+def test_toxicity_scores_are_those_of_a_plain_fit(spark):
+    r = random.Random(21)
+    common, bad = "ka lo mi ne su ta ri po we".split(), "scum moron".split()
+    texts = [" ".join(r.choice(bad if k % 4 == 0 and r.random() < 0.15 else common) for _ in range(r.randrange(5, 60))) for k in range(400)]
+    labels = {k: int(any(w in bad for w in t.split())) for k, t in enumerate(texts)}
+    rows = [(k, t) for k, t in enumerate(texts)] + [(400, "")]
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {x.doc_id: (x.h, x.c) for x in own.selectExpr("doc_id", "xxhash64(doc_id) h", "crc32(cast(cast(doc_id as string) as binary)) % 5 c").collect()}
+
+    def features(text):
+        w = text.split()
+        return {"constant", *w, *((s, a, b) for s in (1, 2, 3) for a, b in zip(w, w[s:], strict=False))}
+
+    weights = plain_ftrl([(hashes[k][0], features(texts[k]), y) for k, y in labels.items() if hashes[k][1]])
+    shift = weights["constant"] + min(math.log(5), max(-weights["constant"] / 2, 0))
+    found = toxicity.judge(own, spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")).collect()
+    assert len(found) == len(rows) and len({round(x.score, 6) for x in found}) > 20
+    for x in found:
+        total = shift + sum(weights.get(f, 0.0) for f in features(dict(rows)[x.doc_id]) - {"constant"})
+        assert abs(x.score - 1 / (1 + math.exp(-total))) < 1e-3
+        assert x.held_out == (hashes[x.doc_id][1] == 0)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {x.score for x in toxicity.judge(docs(spark), none).collect()} == {0.0}
