@@ -191,8 +191,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.06, slice_
     rate: edits allowed per character of the item, at most 1/16, so that the lemma's bound is positive for every item.
     Cases: null or empty texts have no places; items of fewer than 8 characters after white space is squeezed are too short
     to tell and have none; an item that occurs again without overlap has a row for each; places of an item that
-    overlap are one, and an item that repeats itself has one a window of twice its length; repeated rows count each; an empty table gives no rows; columns other than doc_id, item_id
-    and text are ignored. doc_id and item_id may be null.
+    overlap are one, and an item that repeats itself has one a window of twice its length; repeated rows, of documents or items, count
+    each; of overlapping places with equal edits the earlier one counts; texts and items of any length are read whole; an empty table
+    gives no rows; columns other than doc_id, item_id and text are ignored. doc_id and item_id may be null.
     """
     if not 0 <= rate <= 0.5 / Q:
         raise ValueError(f"rate must be between 0 and {0.5 / Q}")

@@ -148,8 +148,9 @@ def drop_lines(docs: DataFrame, min_docs: int = 10, wave_bytes: int = 64 << 20)
 
     A key is the line without ASCII white space at both ends, A-Z lower-cased; empty keys always stay. A null text counts
     as one empty line and becomes an empty text. All lines of a key go, in every document, repeats included; the rest is
-    joined by line feeds, so a document may become empty. An empty table gives no rows. Other columns are kept as they
-    are.
+    joined by line feeds, so a document may become empty. A text or line of any length counts whole; repeated rows are
+    documents of their own; keys that tie in their counts have the same fate. An empty table gives no rows. Other columns,
+    doc_id too, may be null and are kept as they are.
     """
     schema = docs.schema
 

@@ -58,7 +58,11 @@ def feature(payload: bytes, times: list[float]) -> str:
 
 
 def to_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, media): each whole text as an Ogg file. A null or empty text becomes 64 zero samples."""
+    """(doc_id, media): each whole text as an Ogg file. A null or empty text becomes 64 zero samples.
+
+    Cases: a text of any length is stored whole, in memory of a few times its length; equal texts have equal files, repeated
+    rows each; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
+    """
 
     def store(batches):
         for batch in slices(batches, "text"):
@@ -71,7 +75,7 @@ def to_media(docs: DataFrame) -> DataFrame:
 def media_features(media: DataFrame) -> DataFrame:
     """Read media columns back: every checksum is verified, the streams are separated, and features are computed.
 
-    Cases: equal media give equal rows; a damaged file fails the task with what is wrong; an empty table gives no rows;
+    Cases: equal media give equal rows, repeated rows each; a damaged, empty or null file fails the task; files of any length are read whole; an empty table gives no rows;
     other columns are ignored.
     """
 

@@ -203,7 +203,7 @@ def pack(docs: DataFrame, file: str, max_tokens: int = 2048, end_id: int = 0) ->
     """Pack whole documents into sequences of at most max_tokens ids.
 
     Cases: a null or empty text is one piece that holds the end id; repeated rows are packed each; equal lengths are
-    placed in any order; an empty table gives no rows; columns other than doc_id and text are ignored; a null doc_id
+    placed in any order; a text of any length is cut into pieces of max_tokens ids, all of which are packed; an empty table gives no rows; columns other than doc_id and text are ignored; a null doc_id
     is kept.
     """
     return place_pieces(settle(pieces_of(docs, file, max_tokens, end_id), "pieces"), max_tokens)

@@ -130,6 +130,6 @@ def encode_and_read(docs: DataFrame, file: str, end_id: int = 2, shard_tokens: i
     """Write docs as token files and read them back.
 
     Cases: a null or empty text holds the end id alone; repeated rows follow each other, and the rows of one doc_id may lie in several parts; a null doc_id comes first and
-    stays null; an empty table gives no rows; columns other than doc_id and text are ignored.
+    stays null; rows that tie in doc_id stand in the order of their ids within a part; a text of any length lies whole in one part; an empty table gives no rows; columns other than doc_id and text are ignored.
     """
     return read_files(write_files(docs, file, end_id, shard_tokens))

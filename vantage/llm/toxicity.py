@@ -117,7 +117,8 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = 16_000, cost: float
     but at most half of what the constant takes off them: words, not the shift, carry a text to 0.5. The default was
     chosen by cross-validation in four folds over labelled rows that are not held out: see README.
 
-    Cases: a null or empty text is scored by the constant alone; equal texts score alike; labels of absent documents,
+    Cases: a null or empty text is scored by the constant alone; a text of any length is scored whole, in memory of its own
+    length; equal texts score alike, repeated rows each; labels of absent documents,
     null labels and repeated ones (the larger counts) do no harm; without any weight (no labels, or very few) every score
     is 0; an empty table gives no rows. A column that has the name `into` already is an error.
     """

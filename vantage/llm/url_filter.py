@@ -212,7 +212,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
     score: log odds of block to allow by the model; the verdict is the rule's where one fits, else block where score > 0.
     Cases: a null url or one without :// has an empty host and path and is allowed unless the classes' odds say block;
-    repeated rows are judged each; urls of any length are read whole; an empty table gives no rows; other columns are ignored.
+    repeated rows are judged each, alike; odds that tie allow; urls of any length are read whole; an empty table gives no rows; other columns are ignored.
     """
     urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = settle(urls.withColumn("row", F.monotonically_increasing_id()), "urls")
