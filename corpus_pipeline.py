@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, with
 n_chars following the text.
+
+Cases that hold for every stage: columns may be null, and other columns, whatever their names, go through unchanged; an
+empty table gives no rows; texts of any length are read whole; repeated rows are documents of their own until ngram_join
+keeps one of them; n_chars is only worked out anew where a stage changes texts.
 """
 
 from __future__ import annotations
@@ -19,31 +23,37 @@ from vantage.runtime import discard, settle, small_batches
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose score is 0.5 or more."""
+    """Drop documents whose score is 0.5 or more. Null and empty texts, and all texts where there are no labels, stay."""
     small_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines found in at least 10 documents. A document that only held such lines stays, with an empty text."""
+    """Drop lines found in at least 10 documents. A document that only held such lines stays, with an empty text.
+
+    A null text becomes an empty one, with n_chars 0; empty lines stay.
+    """
     small_batches(spark)
     return drop_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of texts with similarity 0.8 or more."""
+    """Keep one document of each class of texts with similarity 0.8 or more: that of the least doc_id, once.
+
+    Texts without words, null and empty ones included, are one class; documents without a doc_id stay.
+    """
     small_batches(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a benchmark item."""
+    """Drop documents that hold a benchmark item. Null and empty texts hold none; documents without a doc_id stay."""
     small_batches(spark)
     return drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of at most 2048 tokens."""
+    """Pack what is left into sequences of at most 2048 tokens. A null or empty text is one piece that holds the end id."""
     small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
