@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vantage.operators.nearest import exact
-from vantage.runtime import settle
+from vantage.runtime import discard, settle
 
 # fixed values
 STOP_WORDS = "a an and are as at be by for from has in is it its of on or that the to was with".split()
@@ -76,28 +76,31 @@ def _grams(text: str, width: int, at: str = "") -> Column:
     return F.regexp_extract_all(F.col(text), F.lit(f"(?s){at}(?=(.{{{width}}}))"), F.lit(1))
 
 
-def holders(queries: DataFrame, docs: DataFrame, width: int = 16, every: int = 4) -> DataFrame:
+def holders(queries: DataFrame, docs: DataFrame, width: int = 16) -> DataFrame:
     """(query_id, doc_id), each pair once: the documents whose text holds a query's text whole.
 
-    Of the runs of `width` characters only those that start a word inside a text, and whose hash is divisible by `every`,
-    become rows, in queries and documents alike, so a document that holds a query has the query's first such run too. A
-    query without one, because it is short or has few words, is found by its own beginning among all runs of that length.
-    Each candidate is then tested on the whole texts. The time grows with the texts' length, however long one is.
+    Of the runs of `width` characters only those that start a word inside a text become rows, as hashes, in queries and
+    documents alike, so a document that holds a query has the query's first such run too. A query without one, because it is
+    short or has no second word, is found by its own beginning among all runs of that length. Each candidate is then tested on the whole texts. The time grows with the texts' length, however long one is.
     Cases: a null text holds nothing and is held by nothing; an empty query is held by every text that isn't null; rows that
     repeat or share an id give a pair once.
     """
-    sampled = lambda text: F.filter(_grams(text, width, WORD_START), lambda g: F.pmod(F.xxhash64(g), F.lit(every)) == 0)
+    hashed = lambda grams: F.transform(grams, lambda g: F.xxhash64(g))
+    starting = lambda text: hashed(_grams(text, width, WORD_START))
     own = queries.select("query_id", F.col("text").alias("q")).filter(F.col("q").isNotNull())
-    keyed = own.withColumn("key", F.try_element_at(sampled("q"), F.lit(1)))
-    rest = keyed.filter(F.col("key").isNull()).withColumn("key", F.substring("q", 1, width))
+    start = F.substring("q", 1, width)
+    first = own.select("query_id", F.try_element_at(starting("q"), F.lit(1)).alias("key"), F.xxhash64(start).alias("whole"), F.length(start).alias("n"))
+    # written, so that the planner knows how small they are before it decides how to join
+    keys = settle(first.select("query_id", F.coalesce("key", "whole").alias("key"), F.when(F.col("key").isNull(), F.col("n")).alias("n")), "item_keys")
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull())
-    grams = texts.select("doc_id", F.explode(F.array_distinct(sampled("text"))).alias("key"))
-    found = grams.join(keyed.filter(F.col("key").isNotNull()), "key").select("doc_id", "query_id", "q")
-    lengths = [r.n for r in rest.select(F.length("key").alias("n")).distinct().collect()]  # at most width + 1 numbers
-    for n in lengths:
-        runs = texts.select("doc_id", F.explode(F.array_distinct(_grams("text", n))).alias("key")) if n else texts.select("doc_id", F.lit("").alias("key"))
-        found = found.unionByName(runs.join(rest.filter(F.length("key") == n), "key").select("doc_id", "query_id", "q"))
-    return found.distinct().join(texts, "doc_id").filter(F.contains("text", F.col("q"))).select("query_id", "doc_id").distinct()
+    runs = lambda grams: texts.select("doc_id", F.explode(F.array_distinct(grams)).alias("key"))
+    found = runs(starting("text")).join(keys.filter(F.col("n").isNull()), "key").select("query_id", "doc_id")
+    for n in [r.n for r in keys.select("n").filter(F.col("n").isNotNull()).distinct().collect()]:  # at most width + 1 numbers
+        some = runs(hashed(_grams("text", n))) if n else texts.select("doc_id", F.xxhash64(F.lit("")).alias("key"))
+        found = found.unionByName(some.join(keys.filter(F.col("n") == n), "key").select("query_id", "doc_id"))
+    pairs = settle(found.distinct(), "candidates")
+    discard(keys)
+    return texts.join(pairs, "doc_id").join(own, "query_id").filter(F.contains("text", F.col("q"))).select("query_id", "doc_id").distinct()
 
 
 def bm25(queries: DataFrame, docs: DataFrame, top: int = 20, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -297,7 +300,7 @@ def near_duplicates(docs: DataFrame, least: float = 0.9, hashes: int = 128, rows
     same way, and clusters are the components of those links. No row is made for a pair.
     """
     from vantage.operators.graph import components
-    from vantage.runtime import settle
+    from vantage.runtime import discard, settle
 
     plain = F.coalesce("text", F.lit(""))
     own = shingles(plain, between=r"[^\p{L}\p{M}\p{N}]+")
