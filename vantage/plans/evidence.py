@@ -57,17 +57,8 @@ COSINE = "list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
  SELECT query_id, count(*) AS found FROM f WHERE final <= 10 AND place <= 10 GROUP BY 1""")
 def r19(spark, sf_dir):
     """Of the ten exact neighbours of every hundredth vector, how many a search over 8-bit vectors finds: 20 kept, then rescored."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    most = F.greatest(F.array_max(F.transform("e", F.abs)), F.lit(1e-9))
-    v = e.withColumn("m", most).withColumn("q", F.transform("e", lambda x: F.round(x * 127 / F.col("m")).cast("tinyint")))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = lambda a, b: F.round(dot(F.col(a), F.col(b)) / F.sqrt(dot(F.col(a), F.col(a)) * dot(F.col(b), F.col(b))), 6)
-    asked = v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("e").alias("qe"), F.col("q").alias("qq"))
-    p = v.crossJoin(asked).select("query_id", "vec_id", cosine("e", "qe").alias("exact"), cosine("q", "qq").alias("rough"))
-    at = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "vec_id"))
-    kept = p.withColumn("place", at("exact")).withColumn("seat", at("rough")).filter(F.col("seat") <= 20)
-    final = kept.withColumn("final", at("exact")).filter((F.col("final") <= 10) & (F.col("place") <= 10))
-    return final.groupBy("query_id").agg(F.count("*").alias("found"))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return N.quantised_recall(v.filter(F.col("vec_id") % 100 == 0).withColumnRenamed("vec_id", "query_id"), v)
 
 
 @query("R19_index_recall")
