@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from vantage.catalog import query
 from vantage.functions.time import DAY, HOUR, MINUTE, whole
 from vantage.operators.graph import closure
+from vantage.operators.nearest import within
 from vantage.operators.temporal import capped_sessions
-from vantage.operators.text import cosine
 from vantage.runtime import shared_dir
 from vantage.sources.tables import EV, LI, OR, events as ev, lineitem, orders, table
 
@@ -262,12 +262,11 @@ def r25(spark, sf_dir):
     return gone.filter(F.col("lag_seconds") > 300)
 
 
-@query("R27_selective_recall", r"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id) SELECT query_id, vec_id, score FROM p WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 3""")
+@query("R27_selective_recall", r"""WITH p AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id) SELECT query_id, vec_id, score FROM p WHERE score >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 3""")
 def r27(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    q = v.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
-    p = v.join(q, "label").filter(F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score")).filter(F.col("score") >= 0.15)
-    return p.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("at") <= 3).drop("at")
+    """Every fiftieth vector's three nearest others of its label."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return within(v.filter(F.col("vec_id") % 50 == 0).withColumnRenamed("vec_id", "query_id"), v, "label", 0.15, 3).select("query_id", "vec_id", "score")
 
 
 @query("R29_policy_audit", r"""SELECT conv_id % 4 AS release, avg(CASE WHEN len(text) < 100 THEN 1.0 ELSE 0.0 END) AS abstained, avg(CASE WHEN len(text) < 100 THEN 1.0 ELSE 0.0 END) <= 0.3 AS passed FROM conversations WHERE role = 'assistant' GROUP BY 1""")
