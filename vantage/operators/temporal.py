@@ -53,6 +53,25 @@ def trailing(events: DataFrame, key: str, time: str, widths: dict[str, int], val
     return out
 
 
+def trailing_distinct(events: DataFrame, key: str, time: str, value: str, width: int) -> DataFrame:
+    """Each row with n, how many different values the key has in the `width` up to and at the row's time. Rows without a key or a time are left out.
+
+    A value counts from a row until `width` after it, or on while it comes again, so n is a running sum of values that begin to count less those that
+    end: two rows of a key and time for each stretch at most, whatever the width holds.
+    """
+    known = events.filter(F.col(key).isNotNull() & F.col(time).isNotNull())
+    same = Window.partitionBy(key, value).orderBy(time)
+    before, after = F.lag(time).over(same), F.lead(time).over(same)
+    counts = F.col(value).isNotNull()
+    marked = known.withColumn("__first", counts & (before.isNull() | (before < F.col(time) - width))).withColumn("__last", counts & (after.isNull() | (after > F.col(time) + width)))
+    # a row asks at its own time; what ends is a row that asks nothing
+    change = lambda at, by, asks: F.struct(at.alias("at"), by.cast("long").alias("by"), F.lit(asks).alias("asks"))
+    own, end = change(F.col(time), F.col("__first").cast("int"), True), change(F.col(time) + width + 1, F.lit(-1), False)
+    rows = marked.withColumn("__c", F.explode(F.when(F.col("__last"), F.array(own, end)).otherwise(F.array(own))))
+    span = Window.partitionBy(key).orderBy("__c.at").rangeBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("n", F.sum("__c.by").over(span)).filter("__c.asks").select(*events.columns, "n")
+
+
 def attribute(touches: DataFrame, outcomes: DataFrame, key: str, width: int) -> DataFrame:
     """Each outcome with the last touch of the key in the width before it, one touch at most.
 

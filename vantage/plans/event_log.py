@@ -529,8 +529,7 @@ def w07(spark, sf_dir):
 
 @query("W08_distinct_in_window", f"""WITH {EV} SELECT a.event_id, count(DISTINCT b.user_id) AS users FROM ev a JOIN ev b ON a.k = b.k AND b.us <= a.us AND b.us >= a.us - 86400000000 GROUP BY 1""")
 def w08(spark, sf_dir):
-    span = Window.partitionBy("k").orderBy("us").rangeBetween(-DAY, 0)
-    return ev(spark, sf_dir).select("event_id", F.size(F.collect_set("user_id").over(span)).cast("long").alias("users"))
+    return T.trailing_distinct(ev(spark, sf_dir), "k", "us", "user_id", DAY).select("event_id", F.col("n").alias("users"))
 
 
 @query("W10_rolling_breaker", f"""WITH {EV}, r AS (SELECT event_id, count(*) OVER w AS n, count(*) FILTER (event_type = 'error') OVER w AS bad FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 259200000000 PRECEDING AND CURRENT ROW)) SELECT event_id FROM r WHERE n >= 5 AND CAST(bad AS DOUBLE) / n > 0.4""")
