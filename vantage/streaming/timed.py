@@ -21,29 +21,32 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from vantage.runtime import shared_dir
+from vantage.streaming.ordered import in_order
 
 
 def timed(rows: DataFrame, key: str, step: Callable, output: str, state: str, slack: str, order: list[str]) -> DataFrame:
     """rows.groupBy(key) with a state and timers over `arrived`.
 
     step(key, found, values, clock) takes a key, an iterator over its new rows, its state or None, and the watermark in ms; found has no
-    rows when a timer fires. It returns (output rows, new state or None, time of the next timer in ms).
+    rows when a timer fires. A key with many new rows is taken in pieces, one call each. It returns (output rows, new state or None, time of the next timer in ms).
     """
     names = StructType.fromDDL(output).names
     marked = rows.filter(F.col(key).isNotNull() & F.col("arrived").isNotNull()).withColumn("ms", F.unix_millis("arrived")).withWatermark("arrived", slack)
 
     def run(group, frames, handle):
-        fired = handle.hasTimedOut
-        found = pd.DataFrame() if fired else pd.concat(list(frames)).sort_values(["ms", *order], kind="stable")
         clock = handle.getCurrentWatermarkMs()
-        out, values, timer = step(group[0], found.itertuples(index=False), handle.get if handle.exists else None, clock)
+        existed, values = handle.exists, handle.get if handle.exists else None
+        pieces = [pd.DataFrame()] if handle.hasTimedOut else in_order((f.drop(columns=[key, "arrived"]) for f in frames), ["ms", *order])
+        timer = 0
+        for found in pieces:
+            out, values, timer = step(group[0], found.itertuples(index=False), values, clock)
+            if out:
+                yield pd.DataFrame(out, columns=names)
         if values is not None:
             handle.update(values)
             handle.setTimeoutTimestamp(max(timer, clock) + 1)
-        elif handle.exists:
+        elif existed:
             handle.remove()
-        if out:
-            yield pd.DataFrame(out, columns=names)
 
     return marked.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.EventTimeTimeout)
 
