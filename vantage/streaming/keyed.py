@@ -1,7 +1,7 @@
 """Keyed streaming operators with a state of their own.
 
 Each state is a few numbers (or at most `depth` waiting rows) a key, and goes after `ttl` of event time without a row of its key. A key's rows of one micro-batch are sorted in its
-task, so maxFilesPerTrigger bounds what a hot key holds at once.
+task, in pieces where they are many (ordered.py).
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from vantage.streaming.ordered import in_order
+
 # fixed values: state after each kind of event, by state; what is absent is illegal
 LIFECYCLE = {
     "new": {"signup": "active", "view": "new"},
@@ -21,10 +23,6 @@ LIFECYCLE = {
 }
 
 
-def _ordered(frames, by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(frames)).sort_values(by, kind="stable")
-
-
 def _stateful(events: DataFrame, key: str, step, output: str, state: str, ttl: str | None = None, clock: str = "ts") -> DataFrame:
     """A state a key. With `ttl`, the state goes once the latest time of all rows is `ttl` past the key's own latest, and rows so late are left out."""
     if ttl is None:
@@ -34,9 +32,15 @@ def _stateful(events: DataFrame, key: str, step, output: str, state: str, ttl: s
         if handle.hasTimedOut:
             handle.remove()
             return
-        found = list(frames)
-        newest = max((int(f["__ms"].max()) for f in found if f["__ms"].notna().any()), default=0)
-        yield from step(group, iter(found), handle)
+        newest = 0
+
+        def timed():
+            nonlocal newest
+            for f in frames:
+                newest = max(newest, int(f["__ms"].max()) if f["__ms"].notna().any() else 0)
+                yield f
+
+        yield from step(group, timed(), handle)
         if handle.exists:
             handle.setTimeoutTimestamp(max(newest, handle.getCurrentWatermarkMs()) + 1)
 
@@ -52,15 +56,15 @@ def lifecycle(events: DataFrame, moves: dict[str, dict[str, str]] = LIFECYCLE, s
 
     def step(key, frames, state):
         at = state.get[0] if state.exists else start
-        rows = _ordered(frames, ["ts", "event_id"])
-        states, legal = [], []
-        for kind in rows["event_type"]:
-            to = moves.get(at, {}).get(kind)
-            at = to or at
-            states.append(at)
-            legal.append(to is not None)
+        for rows in in_order(frames, ["ts", "event_id"]):
+            states, legal = [], []
+            for kind in rows["event_type"]:
+                to = moves.get(at, {}).get(kind)
+                at = to or at
+                states.append(at)
+                legal.append(to is not None)
+            yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "state": states, "legal": legal})
         state.update((at,))
-        yield pd.DataFrame({"user_id": rows["user_id"], "event_id": rows["event_id"], "state": states, "legal": legal})
 
     return _stateful(events, "user_id", step, "user_id long, event_id long, state string, legal boolean", "at string", ttl)
 
@@ -70,12 +74,14 @@ def every_nth(events: DataFrame, n: int = 10, ttl: str | None = None) -> DataFra
 
     def step(key, frames, state):
         seen, total = state.get if state.exists else (0, 0)
-        rows = _ordered(frames, ["ts", "event_id"])
-        counts = seen + pd.Series(range(1, len(rows) + 1), index=rows.index)
-        sums = total + rows["cents"].fillna(0).astype("int64").cumsum()
-        state.update((int(counts.iloc[-1]), int(sums.iloc[-1])))
-        on = counts % n == 0
-        yield pd.DataFrame({"user_id": rows["user_id"][on], "event_id": rows["event_id"][on], "seen": counts[on], "total": sums[on]})
+        for rows in in_order(frames, ["ts", "event_id"]):
+            rows = rows.reset_index(drop=True)
+            counts = seen + pd.Series(range(1, len(rows) + 1), index=rows.index)
+            sums = total + rows["cents"].fillna(0).astype("int64").cumsum()
+            seen, total = int(counts.iloc[-1]), int(sums.iloc[-1])
+            on = counts % n == 0
+            yield pd.DataFrame({"user_id": rows["user_id"][on], "event_id": rows["event_id"][on], "seen": counts[on], "total": sums[on]})
+        state.update((seen, total))
 
     return _stateful(events, "user_id", step, "user_id long, event_id long, seen long, total long", "seen long, total long", ttl)
 
@@ -90,20 +96,21 @@ def reorder(points: DataFrame, depth: int = 8, ttl: str | None = None) -> DataFr
 
     def step(key, frames, state):
         next_seq, waiting = (state.get[0], set(state.get[1])) if state.exists else (0, set())
-        out = []
-        for seq in _ordered(frames, ["arrived", "seq"])["seq"].tolist():
-            if seq >= next_seq:
-                waiting.add(seq)
-            gap = 0
-            if len(waiting) >= depth and next_seq not in waiting:
-                least = min(waiting)
-                gap, next_seq = least - next_seq, least
-            while next_seq in waiting:
-                waiting.remove(next_seq)
-                out.append((key[0], next_seq, gap))
-                gap, next_seq = 0, next_seq + 1
+        for rows in in_order((f[["arrived", "seq"]] for f in frames), ["arrived", "seq"]):
+            out = []
+            for seq in rows["seq"].tolist():
+                if seq >= next_seq:
+                    waiting.add(seq)
+                gap = 0
+                if len(waiting) >= depth and next_seq not in waiting:
+                    least = min(waiting)
+                    gap, next_seq = least - next_seq, least
+                while next_seq in waiting:
+                    waiting.remove(next_seq)
+                    out.append((key[0], next_seq, gap))
+                    gap, next_seq = 0, next_seq + 1
+            yield pd.DataFrame(out, columns=["source", "seq", "gap"])
         state.update((next_seq, sorted(waiting)))
-        yield pd.DataFrame(out, columns=["source", "seq", "gap"])
 
     return _stateful(points, "source", step, "source long, seq long, gap long", "next_seq long, waiting array<long>", ttl)
 
