@@ -132,32 +132,38 @@ def changes_applied(changes: DataFrame, ttl: str | None = None) -> DataFrame:
     return _stateful(changes.filter("lsn IS NOT NULL"), "key", step, "key long, lsn long, cents long, deleted boolean", "lsn long", ttl)
 
 
-def complete_transactions(rows: DataFrame, wait: str = "1 hour") -> DataFrame:
+def complete_transactions(rows: DataFrame, wait: str = "1 hour", buckets: int = 1024) -> DataFrame:
     """(tx, n): each transaction when as many different rows as its `expected` have come; what the watermark passes without
-    them is given up, and its state goes.
+    them is given up, and it leaves the state.
 
-    rows holds (tx, row_id, expected, ts); a row that comes again counts once, rows with a null among them are left out.
+    rows holds (tx, row_id, expected, ts); a row that comes again counts once, rows with a null among them are left out. A state holds the open
+    transactions of a bucket, so that Python is called once a bucket and micro-batch; a complete one keeps one row until the watermark passes it.
     """
+    names = ["tx", "row_id", "ms", "done"]
 
     def step(key, frames, state):
-        if state.hasTimedOut:
+        clock = state.getCurrentWatermarkMs()
+        held = pd.DataFrame(dict(zip(names, state.get, strict=True)) if state.exists else {c: [] for c in names}).astype({"tx": "int64", "row_id": "int64", "ms": "int64", "done": bool})
+        new = [] if state.hasTimedOut else [f[["tx", "row_id", "ms", "expected"]].assign(done=False) for f in frames]
+        pool = pd.concat([held.assign(expected=-1), *new])
+        by_tx = pool.groupby("tx")
+        newest, done, expected = by_tx["ms"].max(), by_tx["done"].max(), by_tx["expected"].max()
+        n = pool.drop_duplicates(["tx", "row_id"]).groupby("tx").size()
+        full = ~done & (expected >= 0) & (n >= expected)
+        if full.any():
+            yield pd.DataFrame({"tx": full.index[full], "n": n[full].to_numpy()})
+        kept = pool.drop_duplicates(["tx", "row_id"])
+        kept = kept.assign(ms=kept["tx"].map(newest), done=kept["tx"].map(done | full))
+        kept = kept[(kept["ms"] >= clock) & ~(kept["done"] & kept.duplicated("tx"))]
+        if len(kept):
+            state.update(tuple(kept[c].tolist() for c in names))
+            state.setTimeoutTimestamp(max(int(kept["ms"].min()), clock) + 1)
+        elif state.exists:
             state.remove()
-            return
-        seen, done = (set(state.get[0]), state.get[1]) if state.exists else (set(), False)
-        expected, newest = 0, 0
-        for f in frames:
-            seen |= {int(x) for x in f["row_id"]}
-            expected = int(f["expected"].max())
-            newest = max(newest, int(f["ms"].max()))
-        full = not done and len(seen) >= expected
-        if full:
-            yield pd.DataFrame({"tx": [key[0]], "n": [len(seen)]})
-        state.update((sorted(seen), done or full))
-        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + 1)
-
-    known = rows.select("tx", "row_id", "expected", "ts").dropna().withColumn("ms", F.unix_millis("ts"))
-    keyed = known.withWatermark("ts", wait).groupBy("tx")
-    return keyed.applyInPandasWithState(step, "tx long, n long", "seen array<long>, done boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+    known = rows.select("tx", "row_id", "expected", "ts").dropna().withColumn("ms", F.unix_millis("ts")).withColumn("bucket", F.pmod(F.xxhash64("tx"), F.lit(buckets)))
+    keyed = known.withWatermark("ts", wait).groupBy("bucket")
+    return keyed.applyInPandasWithState(step, "tx long, n long", "tx array<long>, row_id array<long>, ms array<long>, done array<boolean>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counted_once(events: DataFrame, ring: int = 64, ttl: str | None = None) -> DataFrame:
