@@ -114,3 +114,26 @@ def test_answers_and_what_limits_them(spark):
     got = {(r.answer_id, r.cid): (r.accepted, r.limits_shown, r.reasons[-1:]) for r in found.collect()}
     assert got[0, "C1"] == (True, ["S4.2"], []) and got[1, "C1"] == (True, ["S1.3"], [])
     assert got[2, "C2"] == (False, [], ["dropped with C1"]) and got[2, "C3"] == (False, [], ["dropped with C2"])
+
+
+def test_texts_are_searched_once_and_after_the_shuffle(spark):
+    row = (0, "C1", 1, "Employees get 24 days.", "en-US", ["S4.1"], None, None, None, 0.97, True)
+    found = C.verify_claims(spark.createDataFrame([row], CLAIM), context(spark, 1), *MODELS)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[\\wऀ-ॿ']+") <= 6  # signs and number words of the sentence and the claim, before some 180
+    assert plan.index("RepartitionByExpression") < plan.rindex("transform(")
+    assert plan.rindex("[\\wऀ-ॿ']+") < plan.rindex("RepartitionByExpression")  # below it texts are as they were
+
+
+@pytest.mark.parametrize(
+    ("text", "locale", "found"),
+    [
+        ("\x012\x023 and $4\x01", "en-US", [(2.0, None), (3.0, None), (4.0, "USD")]),
+        ("1 enero 2 febrero 2024 and 2024-05-06", "es-ES", [(20240506.0, "DATE"), (2024.0, None), (20240202.0, "DATE"), (2024.0, None), (1.0, None)]),
+        ("up to 1234 items on 3 may 2024", "en-US", [(20240503.0, "DATE"), (2024.0, None), (1234.0, None)]),
+        ("may 3 2024, 1 234,5 €", "es-ES", [(20240503.0, "DATE"), (2024.0, None), (1234.5, "EUR")]),
+        ("rs. 5 crore, 6 % and 7", "en-IN", [(50000000.0, "INR"), (6.0, "%"), (7.0, None)]),
+    ],
+)
+def test_quantities_from_one_search(spark, text, locale, found):
+    assert read(spark, text, locale) == (found, False)
