@@ -4,10 +4,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from vantage import catalog
 from vantage.operators import nearest as N
 from vantage.operators import temporal as T
+from vantage.operators import text as X
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -64,3 +66,18 @@ def test_distinct_values_in_a_trailing_width(spark):
     want = [(i, len({u for _, b, s, u in rows if b == k and s is not None and t - 6 <= s <= t} - {None})) for i, k, t, _ in rows if k is not None and t is not None]
     assert sorted((x.id, x.n) for x in found.collect()) == want
     assert "collect_set" not in plan(catalog.QUERIES["W08_distinct_in_window"](spark, SMALL))
+
+
+def test_shingles_from_hashes_of_words():
+    r = random.Random(5)
+    texts = [[], [], ["a"], ["a", "b", "c"], ["a", "b", "c", "d"], ["b", "a", "c", "d"], *[[r.choice("abc") for _ in range(r.randint(0, 60))] for _ in range(300)]]
+    code = {w: r.getrandbits(63) for w in "abc" + "d"}
+    whole = [7, 8, *range(100, 100 + len(texts) - 2)]
+    batch = pa.record_batch({"doc_id": pa.array(range(len(texts))), "whole": pa.array(whole), "w": pa.array([[code[w] for w in t] for t in texts], pa.list_(pa.int64()))})
+    got = [x for b in X._runs(5)([batch, batch.slice(3, 0)]) for x in b.to_pylist()]
+    plain = [{tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))} if t else {("", whole[k])} for k, t in enumerate(texts)]
+    assert [x["doc_id"] for x in got] == list(range(len(texts)))
+    assert [len(x["s"]) for x in got] == [len(p) for p in plain] and all(x["s"] == sorted(set(x["s"])) for x in got)
+    for x, p in zip(got[:60], plain, strict=False):
+        for y, q in zip(got[:60], plain, strict=False):
+            assert len(set(x["s"]) & set(y["s"])) == len(p & q) and (x["id"] == y["id"]) == (p == q)
