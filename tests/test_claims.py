@@ -137,3 +137,11 @@ def test_texts_are_searched_once_and_after_the_shuffle(spark):
 )
 def test_quantities_from_one_search(spark, text, locale, found):
     assert read(spark, text, locale) == (found, False)
+
+
+def test_statuses_need_no_limits(spark):
+    row = (0, "C1", 1, "Employees get 24 days of annual leave.", "en-US", ["S4.1"], None, None, None, 0.97, True)
+    answers, found = C.verify_answers(spark.createDataFrame([row], CLAIM), context(spark, 1), *MODELS)
+    analysed = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "limits" not in analysed(answers) and "limits_shown" in analysed(found)
+    assert answers.first().status == "VERIFIED"

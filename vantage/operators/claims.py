@@ -353,6 +353,7 @@ def verify_answers(claims: DataFrame, context: DataFrame, nli: Callable, judge:
     c = checked.join(final, ["answer_id", "cid"])
     dropped = F.when(F.col("accepted") & ~F.col("stands"), F.array(F.concat(F.lit("dropped with "), "qualifies"))).otherwise(F.array().cast("array<string>"))
     c = c.withColumn("reasons", F.concat("reasons", dropped)).withColumn("accepted", F.col("stands")).drop("stands")
+    counts = c.groupBy("answer_id").agg(F.count_if("accepted").alias("kept"), F.count("*").alias("n"))  # without what is only shown
 
     limits = context.withColumn("limits", qualified(F.col("text"), F.col("locale"))).select("answer_id", "sid", "doc_id", "section", "ordinal", "limits")
     cites = c.filter("accepted").select("answer_id", "cid", qualified(F.col("text"), F.col("locale")).alias("limited"), F.explode("cites").alias("sid"))
@@ -365,6 +366,5 @@ def verify_answers(claims: DataFrame, context: DataFrame, nli: Callable, judge:
     lost = lost.join(limits.select("answer_id", "sid"), ["answer_id", "sid"], "left_semi").join(c.filter("accepted").select("answer_id", "cid"), ["answer_id", "cid"], "left_semi").select("answer_id", "cid", "sid")
     shown_beside = own.unionByName(beside).unionByName(lost).groupBy("answer_id", "cid").agg(F.sort_array(F.collect_set("sid")).alias("limits_shown"))
     c = c.join(shown_beside, ["answer_id", "cid"], "left").withColumn("limits_shown", F.coalesce("limits_shown", F.array().cast("array<string>")))
-    counts = c.groupBy("answer_id").agg(F.count_if("accepted").alias("kept"), F.count("*").alias("n"))
     status = F.when(F.col("kept") == F.col("n"), "VERIFIED").when(F.col("kept") > 0, "PARTIAL").otherwise("DROPPED")
     return counts.select("answer_id", status.alias("status")), c
